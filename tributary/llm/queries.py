@@ -5,17 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, langid, media
 from .common import documents
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(documents(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlap_digest(decontaminate.find_overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_decontamination": op7_decontamination}
+    return {f.__name__: f for f in (op5_language_id, op6_media_columns, op7_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
