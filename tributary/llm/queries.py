@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media
+from . import decontaminate, langid, media, packing
 from .common import documents
 
 
@@ -25,8 +25,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlap_digest(decontaminate.find_overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), packing.default_tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_id, op6_media_columns, op7_decontamination)}
+    return {f.__name__: f for f in (op5_language_id, op6_media_columns, op7_decontamination, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
