@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, packing
+from . import decontaminate, langid, media, packing, sharding
 from .common import documents
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
     model = langid.fit(docs.filter(~F.col("held_out")))
@@ -30,7 +34,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_id, op6_media_columns, op7_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op3_sharding, op5_language_id, op6_media_columns, op7_decontamination, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
