@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, media, packing, sharding
+from . import decontaminate, langid, linededup, media, packing, sharding
 from .common import documents
 
 
@@ -29,13 +29,43 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlap_digest(decontaminate.find_overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), packing.default_tokenizer())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op5_language_id, op6_media_columns, op7_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op3_sharding, op5_language_id, op6_media_columns, op7_decontamination, op8_line_dedup, op9_packing)}
+
+
+LINE_DEDUP_SQL = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i AS line_no, trim(regexp_replace(lower(lines[i + 1]), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm
+      FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM docs)),
+e AS (SELECT *, string_split(norm, ' ') AS w, len(string_split(norm, ' ')) AS n, doc_id * 1000000 + line_no AS ord
+      FROM l WHERE len(string_split(norm, ' ')) >= 5),
+u AS (SELECT norm, any_value(w) AS w, any_value(n) AS n, min(ord) AS ord FROM e GROUP BY norm),
+v AS (SELECT norm, ord, i, array_to_string(list_concat(w[1:i], w[i + 2:]), ' ') AS cut
+      FROM (SELECT *, unnest(range(n)) AS i FROM u)),
+s AS (SELECT norm, ord, min(ord) OVER (PARTITION BY i, cut) AS earliest FROM v),
+d AS (SELECT v.norm AS long_norm, v.ord AS long_ord, u.norm AS short_norm, u.ord AS short_ord FROM v JOIN u ON u.norm = v.cut),
+near AS (SELECT norm FROM s WHERE earliest < ord
+         UNION SELECT long_norm FROM d WHERE short_ord < long_ord
+         UNION SELECT short_norm FROM d WHERE long_ord < short_ord),
+gone AS (SELECT DISTINCT e.doc_id, e.line_no FROM e JOIN u USING (norm) LEFT JOIN near USING (norm)
+         WHERE near.norm IS NOT NULL OR e.ord > u.ord),
+g AS (SELECT doc_id, list(line_no) AS gone FROM gone GROUP BY doc_id),
+eligible AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+r AS (SELECT docs.doc_id, lines, coalesce(gone, []) AS gone, gone IS NULL OR len(gone) < eligible.n AS kept
+      FROM docs LEFT JOIN g USING (doc_id) LEFT JOIN eligible USING (doc_id))
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_removed, kept,
+       CASE WHEN kept THEN array_to_string([lines[i + 1] FOR i IN range(len(lines)) IF NOT list_contains(gone, i)], chr(10)) ELSE '' END AS text
+FROM r
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": LINE_DEDUP_SQL}
