@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, media, packing, sharding
+from . import decontaminate, langid, linededup, media, minhash, packing, sharding
 from .common import documents
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.class_report(documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(documents(spark, sf_dir))
 
@@ -38,7 +42,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op5_language_id, op6_media_columns, op7_decontamination, op8_line_dedup, op9_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_sharding, op5_language_id, op6_media_columns, op7_decontamination, op8_line_dedup, op9_packing)}
 
 
 LINE_DEDUP_SQL = r"""
