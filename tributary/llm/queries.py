@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, media, minhash, packing, sharding
+from . import decontaminate, langid, licenses, linededup, media, minhash, packing, sharding
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.class_report(documents(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_digest(licenses.scan(documents(spark, sf_dir)))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(documents(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_sharding, op5_language_id, op6_media_columns, op7_decontamination, op8_line_dedup, op9_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_sharding, op5_language_id, op6_media_columns, op7_decontamination, op8_line_dedup, op9_packing)}
 
 
 LINE_DEDUP_SQL = r"""
@@ -72,4 +76,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": LINE_DEDUP_SQL}
+    return {"op2_license_scan": licenses.oracle(), "op8_line_dedup": LINE_DEDUP_SQL}
