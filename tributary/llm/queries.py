@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, linededup, media, minhash, packing, sharding
+from . import decontaminate, langid, licenses, linededup, lmscore, media, minhash, packing, sharding
 from .common import documents
 
 
@@ -45,8 +45,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), packing.default_tokenizer())
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lmscore.score(docs, lmscore.count(docs, lmscore.good_documents(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_sharding, op5_language_id, op6_media_columns, op7_decontamination, op8_line_dedup, op9_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_sharding, op5_language_id, op6_media_columns, op7_decontamination, op8_line_dedup, op9_packing, op10_lm_scoring)}
 
 
 LINE_DEDUP_SQL = r"""
