@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, linededup, lmscore, media, minhash, packing, sharding
+from . import decontaminate, langid, licenses, linededup, lmscore, media, minhash, packing, pii, sharding
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(documents(spark, sf_dir))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
     model = langid.fit(docs.filter(~F.col("held_out")))
@@ -51,7 +55,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_sharding, op5_language_id, op6_media_columns, op7_decontamination, op8_line_dedup, op9_packing, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_sharding, op4_personal_data, op5_language_id, op6_media_columns, op7_decontamination, op8_line_dedup, op9_packing, op10_lm_scoring)}
 
 
 LINE_DEDUP_SQL = r"""
