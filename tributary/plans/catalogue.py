@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tributary.plans import graph_queries
+
+MODULES = (graph_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for m in MODULES for k, q in m.REGISTRY.queries.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in m.REGISTRY.sql.items()}
