@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.scalars import number
-from tributary.operators.keys import duplicates, null_keys, orphans
+from tributary.operators.keys import null_keys, orphans
 from tributary.schema import Database
 
 
@@ -35,8 +35,11 @@ def violations(db: Database) -> DataFrame:
 
 def key_problems(df: DataFrame, key: list[str]) -> DataFrame:
     """One row: keys that repeat, and rows with a null in the key."""
-    d = duplicates(df, key).agg(F.count("*").alias("n_duplicate"))
-    return d.crossJoin(F.broadcast(null_keys(df, key).agg(F.count("*").alias("n_null"))))
+    null = F.lit(False)
+    for k in key:
+        null |= F.col(k).isNull()
+    per = df.groupBy(*key).agg(F.count("*").alias("n")).select("n", null.alias("null"))
+    return per.agg(F.count(F.when(F.col("n") > 1, 1)).alias("n_duplicate"), F.coalesce(F.sum(F.when(F.col("null"), F.col("n"))), F.lit(0)).alias("n_null"))
 
 
 def label_report(rows: DataFrame, label: str, split: str = "split") -> DataFrame:

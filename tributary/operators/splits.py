@@ -40,14 +40,14 @@ def time_split(rows: DataFrame, time: str, *, label: str | None = None, fraction
     """
     labelled = F.lit(True) if label is None else F.col(label).isNotNull()
     counts = rows.filter(labelled).groupBy(F.col(time).alias("__t")).agg(F.count("*").alias("n")).withColumn("day", F.date_trunc("day", F.col("__t").cast("timestamp")))
-    total = counts.agg(F.sum("n").alias("total"))
+    total = counts.agg(F.sum("n")).scalar()
     days = counts.groupBy("day").agg(F.sum("n").alias("m"))
     later = days.select("day", (F.sum("m").over(Window.orderBy(F.desc("day"))) - F.col("m")).alias("after"))
     from_end = F.sum("n").over(Window.partitionBy("day").orderBy(F.desc("__t")))
-    reach = counts.withColumn("upto", from_end).join(later, "day").crossJoin(F.broadcast(total))
-    edge = reach.filter(F.col("after") + F.col("upto") >= _wanted(F.col("total"), fraction)).agg(F.max("__t").alias("__edge"))
-    split = F.when(~labelled, TEST).when(F.col(time) >= F.col("__edge"), VALIDATION).otherwise(TRAIN)
-    return rows.crossJoin(F.broadcast(edge)).withColumn("split", split).drop("__edge")
+    reach = counts.withColumn("upto", from_end).join(later, "day")
+    edge = reach.filter(F.col("after") + F.col("upto") >= _wanted(total, fraction)).agg(F.max("__t")).scalar()
+    split = F.when(~labelled, TEST).when(F.col(time) >= edge, VALIDATION).otherwise(TRAIN)
+    return rows.withColumn("split", split)
 
 
 def hash_split(rows: DataFrame, key: list[str], *, label: str | None = None, fraction: float = 0.1, seed: int = 42, order: Column | None = None) -> DataFrame:
@@ -60,10 +60,10 @@ def hash_split(rows: DataFrame, key: list[str], *, label: str | None = None, fra
     own = rows.withColumn("__h", order if order is not None else order_key(seed, *key)).withColumn("__b", F.when(labelled, F.substring("__h", 1, 3)).otherwise(F.lit("-")))
     counts = own.filter("__b <> '-'").groupBy("__b").agg(F.count("*").alias("__n"))
     before = counts.select(F.col("__b").alias("__k"), (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
-    total = counts.agg(F.sum("__n").alias("__total"))
+    total = counts.agg(F.sum("__n")).scalar()
     inside = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *key))
-    ranked = own.withColumn("__i", inside).join(before, F.col("__b") == F.col("__k"), "left").crossJoin(F.broadcast(total))
-    split = F.when(F.col("__b") == "-", TEST).when(F.col("__before") + F.col("__i") <= _wanted(F.col("__total"), fraction), VALIDATION).otherwise(TRAIN)
+    ranked = own.withColumn("__i", inside).join(before, F.col("__b") == F.col("__k"), "left")
+    split = F.when(F.col("__b") == "-", TEST).when(F.col("__before") + F.col("__i") <= _wanted(total, fraction), VALIDATION).otherwise(TRAIN)
     return ranked.withColumn("split", split).select(*rows.columns, "split")
 
 

@@ -55,10 +55,10 @@ def time_stats(df: DataFrame, column: str, name: str | None = None) -> DataFrame
     running = days.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
     total = df.agg(F.count(t).alias("total"), F.min(t).alias("oldest"), F.max(t).alias("newest"))
     inside = F.sum("n").over(Window.partitionBy("block").orderBy("t"))
-    ranked = counts.withColumn("upto", inside).join(running, "block").crossJoin(F.broadcast(total))
-    ranked = ranked.filter((F.col("before") + F.col("upto") > F.call_function("div", F.col("total"), F.lit(2))) & (F.col("before") + F.col("upto") - F.col("n") <= F.call_function("div", F.col("total"), F.lit(2))))
-    median = ranked.agg(F.min("t").alias("median"))
-    out = total.crossJoin(F.broadcast(median))
+    middle = F.call_function("div", df.agg(F.count(t)).scalar(), F.lit(2))
+    upto = F.col("before") + F.col("upto")
+    median = counts.withColumn("upto", inside).join(running, "block").filter((upto > middle) & (upto - F.col("n") <= middle)).agg(F.min("t")).scalar()
+    out = total.withColumn("median", median)
     year = lambda c: F.coalesce(F.year(c), F.lit(-1))
     return out.select(F.lit(name or column).alias("column"), F.col("total").alias("n"), year("oldest").alias("min_year"), year("newest").alias("max_year"), *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("oldest", "median", "newest")])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tributary.plans import graph_queries
+from tributary.plans import feature_queries, graph_queries, path_queries, task_queries
 
-MODULES = (graph_queries,)
+MODULES = (graph_queries, task_queries, feature_queries, path_queries)
 
 
 def queries() -> dict:

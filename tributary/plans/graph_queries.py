@@ -22,7 +22,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 @REGISTRY.add("""
-WITH seeds AS (SELECT c_custkey AS seed_id, TIMESTAMP '1999-01-01 00:00:00' AS seed_time FROM customer WHERE c_custkey % 10 = 0),
+WITH seeds AS (SELECT c_custkey AS seed_id, TIMESTAMP '1999-01-01 00:00:00' AS seed_time FROM customer),
 h1 AS (SELECT seed_id, seed_time, o_orderkey, row_number() OVER (PARTITION BY seed_id ORDER BY md5(concat_ws('|', '42', '1', CAST(seed_id AS string), CAST(o_orderkey AS string))), o_orderkey) AS rk
        FROM seeds JOIN orders ON o_custkey = seed_id WHERE o_orderdate <= seed_time),
 s1 AS (SELECT * FROM h1 WHERE rk <= 4),
@@ -36,7 +36,7 @@ FROM seeds LEFT JOIN s1 ON seeds.seed_id = s1.seed_id LEFT JOIN s2 ON s1.seed_id
 def ego_two_hop_features(spark, sf_dir):
     """Customers, up to four of their orders and two lines of each, none later than the seed."""
     customer, orders, lines = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    seeds = customer.filter(F.col("c_custkey") % 10 == 0).select(F.col("c_custkey").alias("seed_id"), F.lit(CUTOFF).cast("timestamp_ntz").alias("seed_time"))
+    seeds = customer.select(F.col("c_custkey").alias("seed_id"), F.lit(CUTOFF).cast("timestamp_ntz").alias("seed_time"))
     orders = orders.select(F.col("o_custkey").alias("seed_id"), "o_orderkey", "o_orderdate")
     first = sampling.sample_neighbours(seeds, orders, ["seed_id"], tree=["seed_id"], fanout=4, order=[order_key(42, 1, "seed_id", "o_orderkey"), F.col("o_orderkey")], time="o_orderdate").select("seed_id", "seed_time", "o_orderkey")
     lines = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
@@ -168,14 +168,14 @@ def dangling_fk_after_cutoff(spark, sf_dir):
 
 
 @REGISTRY.add("""
-WITH s AS (SELECT c_custkey AS tree_id, c_custkey AS node_id, 880000000 AS seed_time FROM customer WHERE c_custkey % 7 = 0),
+WITH s AS (SELECT c_custkey AS tree_id, c_custkey AS node_id, 880000000 AS seed_time FROM customer),
 r AS (SELECT tree_id, event_id AS src_id, node_id AS dst_id, row_number() OVER (PARTITION BY tree_id ORDER BY md5(concat_ws('|', '42', '1', CAST(tree_id AS string), 'f2p_user_id', CAST(node_id AS string), CAST(event_id AS string))), event_id) AS rk
       FROM s JOIN events ON user_id = node_id WHERE epoch_us(ts) // 1000000 <= 4000000000)
 SELECT CAST(tree_id AS BIGINT) AS tree_id, 'f2p_user_id' AS edge_type, src_id, CAST(dst_id AS BIGINT) AS dst_id, 1 AS hop FROM r WHERE rk <= 3""")
 def sample_one_hop_temporal(spark, sf_dir):
-    """Up to three events of each seventh customer."""
+    """Up to three events of each customer."""
     db = database(spark, sf_dir, ["customer", "events"])
-    seeds = db["customer"].filter(F.col("c_custkey") % 7 == 0).select(F.col("c_custkey").alias("tree_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"), F.lit(4000000000).alias("seed_time"))
+    seeds = db["customer"].select(F.col("c_custkey").alias("tree_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"), F.lit(4000000000).alias("seed_time"))
     return sampling.khop(seeds, graph.edges(db, directions=(False,)), [3])[1]
 
 
@@ -192,21 +192,21 @@ def _khop_sql(fan: dict[str, int], trees: str, hops: str = "1") -> str:
     return f"WITH trees AS ({trees}) " + " UNION ALL ".join(parts)
 
 
-@REGISTRY.add(_khop_sql({"f2p_o_custkey": 4, "f2p_user_id": 2}, f"SELECT CAST(c_custkey AS BIGINT) AS tree_id, CAST(c_custkey AS BIGINT) AS node_id, {_SEED_TIME} AS seed_time FROM customer WHERE c_custkey % 5 = 0"))
+@REGISTRY.add(_khop_sql({"f2p_o_custkey": 4, "f2p_user_id": 2}, f"SELECT CAST(c_custkey AS BIGINT) AS tree_id, CAST(c_custkey AS BIGINT) AS node_id, {_SEED_TIME} AS seed_time FROM customer"))
 def sample_per_relation_fanout(spark, sf_dir):
-    """Four orders and two events of each fifth customer."""
+    """Four orders and two events of each customer."""
     db = database(spark, sf_dir, ["customer", "orders", "events"])
-    seeds = db["customer"].filter(F.col("c_custkey") % 5 == 0).select(F.col("c_custkey").alias("tree_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"), F.lit(_SEED_TIME).cast("bigint").alias("seed_time"))
+    seeds = db["customer"].select(F.col("c_custkey").alias("tree_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"), F.lit(_SEED_TIME).cast("bigint").alias("seed_time"))
     taken = sampling.khop(seeds, graph.edges(db, directions=(False,)), [{"f2p_o_custkey": 4, "f2p_user_id": 2}])[1]
     return taken.select("tree_id", "edge_type", "src_id", "dst_id")
 
 
-@REGISTRY.add(_khop_sql({"f2p_o_custkey": 3}, f"SELECT CAST(c_custkey AS string) || '@' || CAST(t AS string) AS tree_id, CAST(c_custkey AS BIGINT) AS node_id, {_SEED_TIME} + t * 31536000 AS seed_time FROM customer, (VALUES (-1), (0), (1)) AS times(t) WHERE c_custkey % 9 = 0"))
+@REGISTRY.add(_khop_sql({"f2p_o_custkey": 3}, f"SELECT CAST(c_custkey AS string) || '@' || CAST(t AS string) AS tree_id, CAST(c_custkey AS BIGINT) AS node_id, {_SEED_TIME} + t * 31536000 AS seed_time FROM customer, (VALUES (-1), (0), (1)) AS times(t)"))
 def sample_disjoint_trees(spark, sf_dir):
-    """The same customers at three times: a tree each."""
+    """All customers at three times: a tree each."""
     db = database(spark, sf_dir, ["customer", "orders"])
     times = F.explode(F.array(*[F.lit(t) for t in (-1, 0, 1)])).alias("t")
-    rows = db["customer"].filter(F.col("c_custkey") % 9 == 0).select("c_custkey", times)
+    rows = db["customer"].select("c_custkey", times)
     seeds = rows.select(F.concat_ws("@", F.col("c_custkey").cast("string"), F.col("t").cast("string")).alias("tree_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"), (F.lit(_SEED_TIME) + F.col("t") * 31536000).cast("bigint").alias("seed_time"))
     return sampling.khop(seeds, graph.edges(db, directions=(False,)), [3])[1].select("tree_id", "edge_type", "src_id", "dst_id")
 
