@@ -44,15 +44,16 @@ def normalized(line: Column) -> Column:
 def _half(second: bool, m: Column) -> Column:
     """Hash of the first m // 2 words, or of the last m - m // 2."""
     h = F.floor(m / 2).cast("int")
-    words = F.slice("words", (F.col("n") - (m - h) + 1).cast("int"), (m - h).cast("int")) if second else F.slice("words", F.lit(1), h)
-    return F.xxhash64(F.lit(int(second)), m.cast("int"), F.array_join(words, " "))
+    words = F.call_function("substring_index", F.col("norm"), F.lit(" "), h - m.cast("int") if second else h)
+    return F.xxhash64(F.lit(int(second)), m.cast("int"), words)
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """id, hash of text, line number, normalised line, its words and their number, of lines with enough words."""
+def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, hash of text, line number, normalised line and its number of words, of every line."""
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    lines = lines.select("id", "th", "line_no", normalized(F.col("line")).alias("norm")).withColumn("words", F.split("norm", " "))
-    return lines.withColumn("n", F.size("words")).filter(F.col("n") >= min_words)
+    lines = lines.select("id", "th", "line_no", normalized(F.col("line")).alias("norm"))
+    blanks = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit("")))
+    return lines.withColumn("n", F.when(F.col("norm") == "", 0).otherwise(blanks + 1))
 
 
 def _line_hash() -> list[Column]:
@@ -101,7 +102,9 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     m = F.col("n")
     halves = [_half(second, x).alias(f"k{second:d}{j}") for second in (False, True) for j, x in enumerate((m, m - 1))]
     keys = [f"k{s}{j}" for s in (0, 1) for j in (0, 1)]
-    lines = materialize(line_table(docs, id_col, text_col, min_words).select("id", "th", "line_no", *_line_hash(), *halves), "lines")
+    # lines too short are left out only when read again: a filter here would normalise every line twice
+    lines = materialize(line_table(docs, id_col, text_col).select("id", "th", "line_no", "n", *_line_hash(), *halves), "lines")
+    lines = lines.filter(F.col("n") >= min_words)
     first = F.min(F.struct("id", "th", "line_no")).alias("first")
     distinct = materialize(lines.groupBy("h1", "h2").agg(first, F.count("*").alias("times"), *[F.max(k).alias(k) for k in keys]), "lines-distinct")
     release(spark)
@@ -113,9 +116,12 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     release(spark)
 
     # the words of those lines, from where each stands first; lid follows the order of first standing
-    wanted = maybe.select("h1", "h2", F.col("first.id").alias("__id"), F.col("first.th").alias("__th"), F.col("first.line_no").alias("__no"))
-    text = line_table(docs, id_col, text_col, min_words).select("id", "th", "line_no", "norm", "n")
-    found = text.join(wanted, text["id"].eqNullSafe(wanted["__id"]) & (text["th"] == wanted["__th"]) & (text["line_no"] == wanted["__no"])).select("h1", "h2", "id", "th", "line_no", "norm", "n")
+    wanted = maybe.groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_list(F.struct("first.line_no", "h1", "h2")).alias("wanted"))
+    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    text = text.join(wanted, text["id"].eqNullSafe(wanted["__id"]) & (text["th"] == wanted["__th"]))
+    picked = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["line_no"].alias("line_no"), F.get(lines, w["line_no"]).alias("line"))))[0]
+    found = text.select("id", "th", F.inline(picked)).select("h1", "h2", "id", "th", "line_no", normalized(F.col("line")).alias("norm"))
+    found = found.withColumn("n", F.size(F.split("norm", " ")))
     found = found.dropDuplicates(["h1", "h2"])
     order = ["id", "th", "line_no", "h1", "h2"]
     likely = materialize(found.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("lid"), "h1", "h2", "norm", "n"), "lines-likely")
