@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col(c: Column | str) -> Column:
@@ -86,7 +87,7 @@ def bucket(c: Column | str, edges: tuple[int, ...]) -> Column:
     return out.otherwise(F.lit(f"{low}+"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blake2b_key(seed: pd.Series, key: pd.Series) -> pd.Series:
     """BLAKE2b over the seed and key as text, for orders that must match that hash."""
     return pd.Series([hashlib.blake2b(repr((int(s), (k,))).encode(), digest_size=16).hexdigest() for s, k in zip(seed, key, strict=True)])
