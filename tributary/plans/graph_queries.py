@@ -119,14 +119,14 @@ def fk_edges_reverse(spark, sf_dir):
 
 @REGISTRY.add(f"SELECT edge_type, src_type, dst_type, count(*) AS n_edges FROM ({_edge_sql(False)} UNION ALL {_edge_sql(True)}) GROUP BY ALL")
 def edge_type_counts(spark, sf_dir):
-    return graph.counts(graph.edges(database(spark, sf_dir, KEYED)))
+    return graph.counts(graph.edges(database(spark, sf_dir, KEYED, dense=False)))
 
 
 @REGISTRY.add(f"""WITH e AS ({_edge_sql(False)} UNION ALL {_edge_sql(True)})
 SELECT 'edge' AS part, src_type || '__' || edge_type || '__' || dst_type AS name, count(*) AS n, count(src_time) AS n_timed FROM e GROUP BY ALL
 """ + "".join(f" UNION ALL SELECT 'node', '{t}', count(*), {f'count({c})' if c else '0'} FROM {t}" for t, c in TABLES.items() if t in KEYED))
 def graph_report(spark, sf_dir):
-    db = database(spark, sf_dir, KEYED)
+    db = database(spark, sf_dir, KEYED, dense=False)
     return graph.report(graph.nodes(db), graph.edges(db))
 
 
