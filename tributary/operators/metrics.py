@@ -80,3 +80,28 @@ def binary_loss(prediction: Column, target: Column) -> Column:
 def link_loss(positive: Column, negative: Column) -> Column:
     x = negative - positive
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def pages(df: DataFrame, key: str, anchors: list[int], size: int) -> DataFrame:
+    """The first ``size`` rows from each anchor on, by key, repeats left out."""
+    parts = [df.filter(F.col(key) >= a).orderBy(key).limit(size) for a in anchors]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.dropDuplicates([key])
+
+
+def share(df: DataFrame, key: str, modulus: int, *columns: str) -> DataFrame:
+    """Every ``modulus``-th key whose ``columns`` are set: a cheap sample for profiling."""
+    out = df.filter(F.pmod(F.col(key), F.lit(modulus)) == 0)
+    for c in columns:
+        out = out.filter(F.col(c).isNotNull())
+    return out
+
+
+def observed(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, object]:
+    """``df`` and an observation of it: counts and measures that come with the first action, without a pass of their own."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count("*").alias("rows"), *measures), seen
