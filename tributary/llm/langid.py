@@ -136,8 +136,8 @@ def _sure(margin: float) -> float:
 
 def _svm(x: np.ndarray, y: np.ndarray, steps: int = 120, penalty: float = 1e-4) -> np.ndarray:
     """Linear machines with squared hinge loss, one column of y (+1, -1, or 0 for rows
-    that don't count) each, by accelerated gradient descent; classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    that don't count) each, by accelerated gradient descent; classes weigh the same.
+    The last column of x is 1."""
     weight = np.zeros_like(y)
     for k in range(y.shape[1]):
         for s in (-1, 1):
@@ -153,15 +153,14 @@ def _svm(x: np.ndarray, y: np.ndarray, steps: int = 120, penalty: float = 1e-4)
     return w
 
 
-def train(labelled: list[tuple[str, np.ndarray]]) -> Model:
-    langs = sorted({lang for lang, _ in labelled})
+def train(of: list[str], x: np.ndarray) -> Model:
+    """A model from languages and their texts' features, with a last column of ones."""
+    langs = sorted(set(of))
     families = sorted({family_of(x) for x in langs})
     members = [[x for x in langs if family_of(x) == f] for f in families]
     pairs = [(f, a, b) for f, own in enumerate(members) for a in range(len(own)) for b in range(a + 1, len(own))]
-    if not labelled:
+    if not of:
         return Model([], [], [], np.zeros((DIMS + 1, 0), np.float32))
-    x = np.stack([v for _, v in labelled])
-    of = [lang for lang, _ in labelled]
     y = np.zeros((len(of), len(families) + len(pairs)), np.float32)
     for i, lang in enumerate(of):
         f = families.index(family_of(lang))
@@ -178,7 +177,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_
     own = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return train([])
+        return train([], np.zeros((0, DIMS + 1), np.float32))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.5 * per_language / n))])
     drawn = own.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
     drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
@@ -190,13 +189,15 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_
                 x = x.astype(np.float16)
                 yield pa.RecordBatch.from_arrays([own.column("lang"), own.column("h"), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "h", "x"])
 
-    rows = sorted(map_arrow(drawn, vectors, "lang string, h long, x binary").collect(), key=lambda r: (r["lang"], r["h"]))
-    kept: dict[str, list] = {}
-    for r in rows:
-        own = kept.setdefault(r["lang"], [])
-        if len(own) < per_language:
-            own.append((r["lang"], np.frombuffer(r["x"], np.float16).astype(np.float32)))
-    return train([x for own in kept.values() for x in own])
+    found = map_arrow(drawn, vectors, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    langs, taken = found["lang"].to_pylist(), []
+    for i, lang in enumerate(langs):
+        if i < per_language or langs[i - per_language] != lang:
+            taken.append(i)
+    x = np.ones((len(taken), DIMS + 1), np.float32)
+    for row, i in enumerate(taken):
+        x[row, :-1] = np.frombuffer(found["x"][i].as_py(), np.float16)
+    return train([langs[i] for i in taken], x)
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
