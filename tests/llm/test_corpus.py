@@ -224,6 +224,21 @@ def test_samples_agree_as_often_as_sets_are_alike():
         assert abs((s[0] == s[1]).mean() - true) < 0.06
 
 
+def test_copies_alike_only_through_their_original(spark):
+    """A large group whose members are near the original but not near each other is one class."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for k in rng.sample(range(400), 7):
+            own[k] = "".join(rng.choice("abcdefghij") for _ in range(6))
+        rows.append((i, " ".join(own)))
+    rows.append((300, " ".join(base)))
+    got = minhash.class_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got.select("class_id").distinct().count() == 1
+
+
 def test_near_duplicate_edges(spark, odd, none):
     got = minhash.class_report(odd)
     assert got.count() == odd.count()
