@@ -93,6 +93,11 @@ def test_every_row_once_an_epoch(spark):
     assert seeds.epoch_order(df, "k", epoch=0, batch_size=2, block_rows=3, max_batches=1).count() <= 2
 
 
+def test_class_count(spark):
+    df = spark.createDataFrame([(0, [1, 4]), (0, [])], "y int, m array<int>")
+    assert (seeds.class_count(df, "y"), seeds.class_count(df, "m"), seeds.class_count(df.limit(0), "y")) == (1, 5, 0)
+
+
 def test_default_split(spark):
     rows = spark.createDataFrame([(0, day(1), 1), (1, day(2), 0), (2, day(3), 1), (3, day(4), 0), (4, day(4), 1), (5, day(5), None)], "k int, t timestamp_ntz, y int")
     got = {r["k"]: r["split"] for r in splits.default_split(rows, ["k"], time="t", label="y", fraction=0.2).collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.scalars import order_key
+from tributary.functions.scalars import binary_label, order_key
 
 
 def epoch_order(rows: DataFrame, key: str, *, epoch: int, batch_size: int, block_rows: int = 4096, seed: int = 42, max_batches: int | None = None) -> DataFrame:
@@ -39,8 +39,6 @@ def coverage(order: DataFrame) -> DataFrame:
 
 def target_value(df: DataFrame, label: str, task_type: str) -> DataFrame:
     """``df`` with the label in the type its task trains on."""
-    from tributary.functions.scalars import binary_label
-
     c = {"binary_classification": binary_label(label), "multiclass_classification": F.col(label).cast("bigint"), "multilabel_classification": F.col(label).cast("array<float>")}.get(task_type, F.col(label).cast("double"))
     return df.withColumn(label, c)
 
@@ -48,4 +46,5 @@ def target_value(df: DataFrame, label: str, task_type: str) -> DataFrame:
 def class_count(rows: DataFrame, label: str) -> int:
     """Greatest label plus one: of the elements where labels are lists, 0 where there are none."""
     x = F.array_max(label) if rows.schema[label].dataType.simpleString().startswith("array") else F.col(label)
-    return int((rows.agg(F.max(x).cast("bigint")).first()[0] if rows.columns else None) or -1) + 1
+    most = rows.agg(F.max(x).cast("bigint")).first()[0]
+    return 0 if most is None else most + 1

@@ -161,7 +161,7 @@ def text_embed_hashed(spark, sf_dir):
 
 @REGISTRY.add("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props_decode(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_field(F.from_json("props", "k bigint"), "k").alias("k") if hasattr(F, "get_field") else F.from_json("props", "k bigint")["k"].alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
 @REGISTRY.add("SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS acctbal, CAST(length(c_name) AS BIGINT) AS n_name, lower(regexp_replace(regexp_replace(c_name, '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug FROM customer")
