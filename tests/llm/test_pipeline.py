@@ -39,3 +39,18 @@ def test_pipeline(spark, tmp_path):
     assert set(out.doc_id) == kept["decontamination"]
     full = out.groupby("sequence_id").length.sum()
     assert (full.iloc[:-1] == 2048).all()
+
+
+def test_texts_of_no_learned_language_go(spark, sf, tmp_path):
+    """Junk with letters and a language that wasn't learned go; clean documents held out from training stay."""
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
+    learned = docs.filter("lang <> 'fr'")
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(n)) for n in (20, 100, 400)]
+    junk += ['<div class="x"><span style="color:red"></span></div>' * 9, "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему."]
+    planted = spark.createDataFrame([(-1 - i, t, "en", "a", len(t)) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    other = docs.filter("lang = 'fr' AND n_chars > 200").selectExpr("-1000 - doc_id AS doc_id", "text", "CAST(NULL AS string) AS lang", "source", "n_chars")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, learned.unionByName(planted).unionByName(other), str(tmp_path)).collect()}
+    assert not [i for i in kept if -1000 < i < 0]
+    assert len([i for i in kept if i <= -1000]) <= 0.05 * other.count()
+    assert len([i for i in kept if i >= 0]) >= 0.99 * learned.count()

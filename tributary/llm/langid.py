@@ -9,6 +9,11 @@ length one).  Training fits a bounded sample of labelled texts (``PER_LANGUAGE``
 for each language, drawn by the hash of the text, copies counted once);
 prediction is one pass over the texts without a shuffle.
 
+The machines always choose one of the learned languages, so whether a text is of any
+of them is decided apart (``reject``): its likelihood under each language's mean
+frequencies, over that of even frequencies, must not lie further below the usual
+than ``SLACK`` times what texts of that language do that the mean has not seen.
+
 Defined cases: null text or a text without a letter gives ``und`` with score 0;
 one learned language is given to every text with letters; none learned gives
 ``und``.  Equal texts get equal results, whatever their other columns.
@@ -31,6 +36,12 @@ DIMS = 1 << 13
 #: Bound on the sample: labelled texts of each language.
 PER_LANGUAGE = 400
 UNKNOWN = "und"
+#: A text is of a language if it is at most this many times further from the usual than the learned ones.
+SLACK = 8.0
+#: Even part of a language's frequencies, so that n-grams it hasn't shown cost a bounded amount.
+EVEN = 0.1
+#: Letters' worth of doubt: a text of this many n-grams may lie 1.4 times as far off as a very long one.
+DOUBT = 64
 
 # Language families of ISO 639-1 codes.  A language that is not listed is a family of its own.
 FAMILIES = {
@@ -65,7 +76,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def features(column: pa.Array):
-    """(first, last, matrix) for runs of texts: matrix holds their feature rows."""
+    """(first, last, matrix, sizes) for runs of texts: their feature rows, and their numbers of n-grams."""
     raw, offsets = text_buffer(column)
     for i, j in chunks(offsets):
         for a in range(i, j, 256):
@@ -88,7 +99,7 @@ def features(column: pa.Array):
                 counts += np.bincount((text_of[: len(code)] * DIMS + at)[ok], minlength=len(counts))
             rows = counts.reshape(b - a, DIMS)
             total = rows.sum(1, keepdims=True)
-            yield a, b, np.sqrt(rows / np.maximum(total, 1))
+            yield a, b, np.sqrt(rows / np.maximum(total, 1)), total[:, 0]
 
 
 def has_letter(text: str | None) -> bool:
@@ -101,6 +112,9 @@ class Model:
     members: list[list[str]]  # languages of each family
     pairs: list[tuple[int, int, int]]  # family, and the two places in members
     weights: np.ndarray  # DIMS + 1 rows; families first, then pairs
+    profiles: np.ndarray | None = None  # DIMS rows; of each language, the gain of an n-gram over even frequencies
+    usual: np.ndarray | None = None  # of each language, the mean gain of its texts
+    limit: np.ndarray | None = None  # of each language, how far below that a text may lie
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         if not self.families:
@@ -130,6 +144,46 @@ class Model:
         return out
 
 
+    def typical(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each text, of so many n-grams, is of one of the learned languages."""
+        if self.profiles is None:
+            return np.ones(len(x), bool)
+        return (_distance((x * x) @ self.profiles, self.usual, sizes) <= self.limit).any(1)
+
+
+def _distance(gain: np.ndarray, usual: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How far each text's gain lies below the usual, short texts with more room."""
+    return (usual - gain) / np.sqrt(1 + DOUBT / np.maximum(sizes, 1))[:, None]
+
+
+def _profile(f: np.ndarray) -> np.ndarray:
+    return np.log((1 - EVEN) * f.mean(0) * DIMS + EVEN)
+
+
+def _profiles(of: list[str], x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Profiles, usual gains and limits of the languages, each text judged by the half it is not in.
+
+    The limit comes from the 0.95 quantile, as labelled texts hold some junk.  A language of
+    fewer than eight texts tells nothing about its own spread and takes every text.
+    """
+    profiles, usual, limit = [], [], []
+    for lang in sorted(set(of)):
+        own = [i for i, a in enumerate(of) if a == lang]
+        f = x[own, :-1] ** 2
+        n = sizes[own]
+        profiles.append(_profile(f))
+        if len(own) < 8:
+            usual.append(0.0)
+            limit.append(np.inf)
+            continue
+        gain = np.empty(len(own))
+        for k in (0, 1):
+            gain[k::2] = f[k::2] @ _profile(f[1 - k :: 2])
+        usual.append(float(np.median(gain)))
+        limit.append(SLACK * max(0.0, float(np.quantile(_distance(gain[:, None], np.array(usual[-1:]), n), 0.95))))
+    return np.stack(profiles, 1).astype(np.float32), np.array(usual), np.array(limit)
+
+
 def _sure(margin: float) -> float:
     return float(1 / (1 + np.exp(-2 * margin)))
 
@@ -153,8 +207,8 @@ def _svm(x: np.ndarray, y: np.ndarray, steps: int = 120, penalty: float = 1e-4)
     return w
 
 
-def train(of: list[str], x: np.ndarray) -> Model:
-    """A model from languages and their texts' features, with a last column of ones."""
+def train(of: list[str], x: np.ndarray, sizes: np.ndarray) -> Model:
+    """A model from languages and their texts' features, with a last column of ones, and numbers of n-grams."""
     langs = sorted(set(of))
     families = sorted({family_of(x) for x in langs})
     members = [[x for x in langs if family_of(x) == f] for f in families]
@@ -169,7 +223,7 @@ def train(of: list[str], x: np.ndarray) -> Model:
         for k, (g, a, b) in enumerate(pairs):
             if g == f and lang in (members[f][a], members[f][b]):
                 y[i, len(families) + k] = 1 if lang == members[f][a] else -1
-    return Model(families, members, pairs, _svm(x, y))
+    return Model(families, members, pairs, _svm(x, y), *_profiles(of, x, sizes))
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -177,19 +231,19 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_
     own = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return train([], np.zeros((0, DIMS + 1), np.float32))
+        return train([], np.zeros((0, DIMS + 1), np.float32), np.zeros(0))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.5 * per_language / n))])
     drawn = own.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
     drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def vectors(batches):
         for batch in batches:
-            for a, b, x in features(batch.column("text")):
+            for a, b, x, sizes in features(batch.column("text")):
                 own = batch.slice(a, b - a)
                 x = x.astype(np.float16)
-                yield pa.RecordBatch.from_arrays([own.column("lang"), own.column("h"), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "h", "x"])
+                yield pa.RecordBatch.from_arrays([own.column("lang"), own.column("h"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(sizes, pa.float32())], ["lang", "h", "x", "size"])
 
-    found = map_arrow(drawn, vectors, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    found = map_arrow(drawn, vectors, "lang string, h long, x binary, size float").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     langs, taken = found["lang"].to_pylist(), []
     for i, lang in enumerate(langs):
         if i < per_language or langs[i - per_language] != lang:
@@ -197,7 +251,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_
     x = np.ones((len(taken), DIMS + 1), np.float32)
     for row, i in enumerate(taken):
         x[row, :-1] = np.frombuffer(found["x"][i].as_py(), np.float16)
-    return train([langs[i] for i in taken], x)
+    return train([langs[i] for i in taken], x, found["size"].to_numpy()[taken])
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -210,7 +264,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list
         for batch in batches:
             texts = batch.column("__text")
             found: list[tuple[str, float]] = []
-            for a, b, x in features(texts):
+            for _, _, x, _ in features(texts):
                 found += shared.value.predict(x)
             sure = [f if has_letter(t.as_py()) else (UNKNOWN, 0.0) for f, t in zip(found, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([f[0] for f in sure], pa.string()), pa.array([f[1] for f in sure], pa.float64())], [*keep, "lang_pred", "score"])
@@ -218,8 +272,9 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list
     return map_arrow(source, run, T.StructType([*(source.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
-def reject(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """``docs`` without the rows whose language can't be told (``und``, or a score below ``min_score``)."""
+def reject(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = 0.0, learned_only: bool = False) -> DataFrame:
+    """``docs`` without the rows whose language can't be told (``und``, or a score below ``min_score``)
+    and, if ``learned_only``, those that are of no learned language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -227,8 +282,9 @@ def reject(docs: DataFrame, model: Model, *, text_col: str = "text", min_score:
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at)
             keep: list[bool] = []
-            for _, _, x in features(texts):
-                keep += [lang != UNKNOWN and score >= min_score for lang, score in shared.value.predict(x)]
+            for _, _, x, sizes in features(texts):
+                own = shared.value.typical(x, sizes) if learned_only else np.ones(len(x), bool)
+                keep += [k and lang != UNKNOWN and score >= min_score for k, (lang, score) in zip(own.tolist(), shared.value.predict(x), strict=True)]
             yield batch.filter(pa.array([k and has_letter(t.as_py()) for k, t in zip(keep, texts, strict=True)], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
