@@ -341,6 +341,24 @@ def test_language_accuracy_on_held_out_documents(spark, docs, odd, none):
     assert set(langid.predict(docs.limit(5), one).toPandas().lang_pred) == {"de"}
 
 
+def test_copies_do_not_thin_the_sample(spark):
+    """A language whose rows are mostly copies still gives all its distinct texts."""
+    rng = random.Random(9)
+    few, many = [prose(rng, 12) for _ in range(3)], [f"zw{i} qy{i} " + prose(rng, 8) for i in range(50)]
+    docs = spark.createDataFrame([(t, "aa") for t in few], "text string, lang string").crossJoin(spark.range(4000)).drop("id").unionByName(spark.createDataFrame([(t, "bb") for t in many], "text string, lang string"))
+    seen = {}
+
+    def train(of, x, sizes):
+        seen.update({lang: of.count(lang) for lang in of})
+
+    own, langid.train = langid.train, train
+    try:
+        langid.fit(docs, per_language=5)
+    finally:
+        langid.train = own
+    assert seen == {"aa": 3, "bb": 5}
+
+
 # ---- 6 media
 
 

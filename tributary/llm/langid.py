@@ -6,7 +6,7 @@ machines separate its languages by majority of votes, then by margin.  All read
 the same features: frequencies of byte 2-, 3- and 4-grams of the whole
 lower-cased text, hashed to ``DIMS`` places, square-rooted (so every text has
 length one).  Training fits a bounded sample of labelled texts (``PER_LANGUAGE``
-for each language, drawn by the hash of the text, copies counted once);
+for each language, or all its distinct texts, drawn by the hash of the text);
 prediction is one pass over the texts without a shuffle.
 
 The machines always choose one of the learned languages, so whether a text is of any
@@ -228,12 +228,13 @@ def train(of: list[str], x: np.ndarray, sizes: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from the labelled rows of ``docs`` (null labels and texts don't count)."""
-    own = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    own = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    # distinct texts, as copies may be most of a language's rows: 1.5 times the bound of them is drawn, or all there are
+    counts = {r["lang"]: r["n"] for r in own.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([], np.zeros((0, DIMS + 1), np.float32), np.zeros(0))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.5 * per_language / n))])
-    drawn = own.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
+    drawn = own.filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")])
     drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def vectors(batches):
