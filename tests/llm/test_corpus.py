@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.llm import components, decontaminate, langid, licenses, linededup, lmscore, media, minhash, packing, pii, queries, sharding, textbytes
+from tributary.llm import components, decontaminate, langid, licenses, linededup, lmscore, media, minhash, packing, pii, queries, sharding, textbytes, tokens
 from tributary.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -417,6 +417,18 @@ def test_ids_are_those_of_the_tokenizer(docs):
         assert theirs.encode(text or "", add_special_tokens=False).ids == ids.tolist()
 
 
+def test_ids_of_more_words_than_are_remembered(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 20)
+    monkeypatch.setattr(tokens, "CHUNK_CHARS", 100)
+    path = packing.default_tokenizer()
+    own, theirs = Encoder(path), Encoder(path).tokenizer
+    rng = random.Random(2)
+    first = prose(rng, 10)
+    texts = [first, f"{first} {prose(rng, 200)}", first, prose(rng, 15), "", prose(rng, 21)]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert theirs.encode(text, add_special_tokens=False).ids == ids.tolist()
+
+
 def test_hilbert_steps_by_one():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = packing.hilbert(grid, 3)

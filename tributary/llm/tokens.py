@@ -27,7 +27,7 @@ SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 CHUNK_CHARS = 1 << 20
-#: Words remembered by a worker; about 60 MB.
+#: Words remembered by a worker from chunk to chunk; about 60 MB.  A chunk with more is held whole.
 CACHE_WORDS = 1 << 20
 
 
@@ -109,8 +109,6 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """hashes: sorted, none of them known."""
-        if len(self.known) + len(hashes) > CACHE_WORDS:
-            self._forget()
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))
@@ -148,12 +146,15 @@ class Encoder:
         starts, ends = word_spans(code)
         distinct, first, inverse = np.unique(span_hashes(code, starts, ends), return_index=True, return_inverse=True)
         new = self._place(distinct) < 0
+        if len(self.known) + new.sum() > CACHE_WORDS:  # the chunk's words are all learned anew, however many they are
+            self._forget()
+            new[:] = True
         if new.any():
             at = first[new]
             self._learn(distinct[new], [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            if (self._place(distinct) < 0).any():  # the memory was emptied meanwhile
-                self._learn(distinct[m := self._place(distinct) < 0], [text[s:e] for s, e in zip(starts[first[m]].tolist(), ends[first[m]].tolist(), strict=True)])
-        slot = self.slot[self._place(distinct)]
+        place = self._place(distinct)
+        assert (place >= 0).all()
+        slot = self.slot[place]
         size = self.size[slot][inverse]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.arange(total[-1]) - np.repeat(total[:-1] - self.begin[slot][inverse], size)]
