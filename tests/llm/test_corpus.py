@@ -315,6 +315,15 @@ def test_windows_cover_every_trigger_with_overlap():
         assert sum(s <= p < s + pii.WIDTH for s in pii.window_starts(text)) >= 1 + (p < len(text) - pii.WIDTH)
 
 
+def test_long_spans_are_found_wherever_they_stand():
+    rng, w = random.Random(6), pii.weights()
+    clean = " ".join("".join(rng.choice(["an", "be", "ca", "do", "en", "fi"]) for _ in range(2)) for _ in range(80))
+    for span in ("christopher.montgomery (at) research.university dot example dot org", "maximilian.featherstonehaugh.the.second (at) department.of.linguistics.university dot example dot org"):
+        for at in range(pii.STRIDE):
+            text = f"{clean[: 150 + at]} {span} {clean[:150]}"
+            assert span in [text[s:e] for _, s, e in pii.reconciled(text, [], pii.tagged_spans([text], w)[0])], at
+
+
 def test_reconciled_spans_do_not_overlap():
     text = "555-123-4567 and 555-123-4568"
     found = [(3.0, 3, 0, 12), (2.0, 3, 4, 12), (1.0, 3, 17, 29), (5.0, 3, 2, 2)]

@@ -3,9 +3,11 @@
 Base spans are those of the patterns (e-mail and IP addresses, card and phone
 numbers) with their tests.  The tagger, a bidirectional LSTM with CRF transitions
 trained here from labelled spans (``examples`` writes them), reads overlapping
-windows of the whole text; each window is decoded on its own, and the spans of all
-windows of a text are reconciled globally: of those that overlap, the set with the
-largest total score stays.  Tagger spans must pass the test of their kind and may
+windows of the whole text; each window is decoded on its own, and a span cut by a
+window's edge that no other window holds whole is decoded again in a wider window,
+until it stands whole, so a span may be of any length.  The spans of all windows of a
+text are reconciled globally: of those that overlap, the set with the largest total
+score stays.  Tagger spans must pass the test of their kind and may
 not touch a base span of it, so base spans always stay.
 
 Every span the tagger may give holds a digit, an @ or an at in brackets.  Windows
@@ -42,6 +44,8 @@ _EMAIL_PART = re.compile(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9._%+@-]*")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 WIDTH, STRIDE = 96, 48
+#: A span this near to a window's edge may go on beyond it (`` dot org``), so it counts as cut.
+EDGE = 8
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -186,31 +190,73 @@ def window_starts(text: str) -> list[int]:
     return [i * STRIDE for i in sorted(found)]
 
 
-def tagged_spans(texts: list[str], w: Weights, block: int = 2048) -> list[list[tuple[float, int, int, int]]]:
-    """(score, kind, start, end) of every span the windows of each text hold."""
-    where = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    out: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+def _decoded(texts: list[str], where: list[tuple[int, int]], width: int, w: Weights, block: int) -> Iterator[tuple[int, float, int, int, int, bool]]:
+    """(place in ``where``, score, kind, start, end, cut) of every span in windows of one width, given as (text, start); cut if it lies at an edge inside the text."""
     for a in range(0, len(where), block):
         part = where[a : a + block]
-        x = np.full((len(part), WIDTH), PADDING, np.int64)
+        x = np.full((len(part), width), PADDING, np.int64)
         for row, (i, s) in enumerate(part):
-            piece = texts[i][s : s + WIDTH]
+            piece = texts[i][s : s + width]
             x[row, : len(piece)] = symbols(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32))
         tags, gain = decode(w, x)
         for row in np.flatnonzero((tags > 0).any(1)).tolist():
             i, s = part[row]
             own, t = tags[row], 0
-            while t < WIDTH:
+            while t < width:
                 if own[t] % 2 == 1:
                     kind, end = int(own[t]) // 2, t + 1
-                    while end < WIDTH and own[end] == own[t] + 1:
+                    while end < width and own[end] == own[t] + 1:
                         end += 1
-                    cut = (t == 0 and s > 0) or (end == WIDTH and s + WIDTH < len(texts[i]))
-                    if not cut:  # a span cut by the window's edge stands whole in the next window
-                        out[i].append((float(gain[row, t:end].sum()), kind, s + t, s + end))
+                    cut = (t < EDGE and s > 0) or (end > width - EDGE and s + width < len(texts[i]))
+                    yield a + row, float(gain[row, t:end].sum()), kind, s + t, s + end, cut
                     t = end
                 else:
                     t += 1
+
+
+def _possible(kind: int, piece: str) -> bool:
+    """Whether a plausible span of the kind may hold the piece: digits, or numbers of an address, only grow."""
+    if kind == 0:
+        return True
+    return len([p for p in _NOT_DIGIT.split(piece) if p]) <= 4 if kind == 1 else len(_NOT_DIGIT.sub("", piece)) <= 19
+
+
+def _joined(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(pieces):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def tagged_spans(texts: list[str], w: Weights, block: int = 2048) -> list[list[tuple[float, int, int, int]]]:
+    """(score, kind, start, end) of every span the windows of each text hold."""
+    out: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+    # of each width: windows, and the part of the text that each is about (None: all)
+    windows = {WIDTH: [(i, s, None) for i, t in enumerate(texts) for s in window_starts(t)]}
+    while windows:
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        for width, where in windows.items():
+            for k, score, kind, start, end, cut in _decoded(texts, [x[:2] for x in where], width, w, max(1, block * WIDTH // width)):
+                i, _, about = where[k]
+                if about and not (start < about[1] and about[0] < end):
+                    continue
+                if cut:
+                    pieces.setdefault(i, []).append((kind, start, end))
+                else:
+                    out[i].append((score, kind, start, end))
+        windows = {}
+        for i, own in pieces.items():
+            left = [(s, e) for k, s, e in own if _possible(k, texts[i][s:e]) and not any(k == kind and a <= s and e <= b for _, kind, a, b in out[i])]
+            for s, e in _joined(left):
+                # as much text again on either side: what is cut again is longer than before
+                room = max(WIDTH, e - s)
+                start = max(0, s - room)
+                width = 1 << (min(len(texts[i]), e + room) - start - 1).bit_length()
+                windows.setdefault(width, []).append((i, start, (s, e)))
     return out
 
 
