@@ -170,6 +170,29 @@ def test_licences(spark, odd, none):
         assert any(a in pattern or a in pattern.replace("noncommercial", "") or pattern.startswith((".*", "(this", "(c")) for a in licenses.ANCHORS), name
 
 
+def test_wrapped_licences_and_tags(spark):
+    mit = """Copyright (c) 2020 A. Body
+Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated files, to deal in it.
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of it."""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following holds:
+ *
+ * 1. Redistributions of source code must retain the above copyright
+ *    notice, this list.
+ * 2. Redistributions in binary form must reproduce the above
+ *    copyright notice, this list.
+ * 3. Neither the name of the holder nor of any other may be used to
+ *    endorse or promote products."""
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3."
+    rows = [(mit, "MIT"), (bsd, "BSD-3-Clause"), (gpl, "GPL"), ("// SPDX-License-Identifier: MIT\ncode here", "MIT"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("License: Released under the MIT License.", "MIT"), ("Released under\nthe MIT License\nmore words", "MIT")]
+    rows += [(f"Text.\nReleased under {n} 4.0.\nMore.", w) for n, w in (("CC BY", "CC-BY"), ("CC BY-SA", "CC-BY-SA"), ("CC-BY-NC", "CC-BY-NC"), ("Creative Commons Attribution", "CC-BY"), ("Creative\nCommons Attribution-NonCommercial-NoDerivatives", "CC-BY-NC-ND"))]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [[w] for _, w in rows]
+
+
 # ---- 1 near-duplicates
 
 

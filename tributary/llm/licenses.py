@@ -1,12 +1,12 @@
 """Licence recognition by sentences and rules.
 
-A text is cut into sentences, each is normalised, and known sentences of licences
+A text is cut into sentences, wrapped lines joined, each is normalised, and known sentences of licences
 map to identifiers; the sequence of identifiers of a text is then matched against
 ordered rules.  A rule that matches takes its identifiers away, so a more specific
 rule that stands earlier keeps a later one from claiming the same sentences.
 
 Only DataFrame functions are used, without a shuffle: sentences are matched inside
-the row.  Every known sentence holds one of the ``ANCHORS``, so sentences without
+the row.  Every known sentence holds one of ``PARTS``, so sentences without
 one are passed over unread by the table.
 
 Defined cases: null, empty and licence-free texts give empty lists; a known
@@ -16,6 +16,7 @@ are each listed; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,11 @@ from pyspark.sql import functions as F
 # Parts of which every known sentence has one.
 ANCHORS = ["licen", "permission", "copyright", "redistribut", "warrant", "public domain", "liab", "spdx", "rights reserved", "endorse", "gnu", "creativecommons"]
 
+# The same for normalised sentences, with those of licences that are only named.
+PARTS = [*ANCHORS, "creative commons", "cc by", "cc0"]
+#: What a text with a known sentence holds, however its words are parted.
+TEXT_PARTS = r"cc[^a-z0-9]+by|creative[^a-z0-9]+commons|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|cc0"
+
 # Identifiers of licence sentences and the pattern of the normalised sentence
 # (lower case, marks and white space as single blanks).  The first that matches holds.
 SENTENCES = [
@@ -103,7 +109,7 @@ RULES = [
     ("Proprietary", "COPYRIGHT? RESERVED"),
 ]
 
-#: A sentence ends at a line end, or at one of these marks before white space.
+#: In the SQL a sentence ends at a line end, or at one of these marks before white space.
 END = r"([.;:!?])\s+"
 
 
@@ -125,14 +131,27 @@ def normalized(sentence: Column) -> Column:
 
 
 def anchored(text: Column) -> Column:
-    """Whether a lower-case text holds an anchor."""
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in ANCHORS])
+    """Whether a lower-case text may hold a known sentence."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in ANCHORS]) | text.rlike(TEXT_PARTS)
+
+
+def wrapped_pattern() -> str:
+    """All known sentences, at whole lines of a normalised sentence; a blank may be a line end."""
+    inner = [re.sub(r"(?<=.)\.\*(?=.)", r"[a-z0-9 \\n]*?", p).replace(" ", "[ \\n]").replace("a-z0-9[ \\n]\\n", "a-z0-9 \\n") for _, p in SENTENCES]
+    return "(?m)^(?:" + "|".join(f"(?:{p})" for p in inner) + ")$"
 
 
 def sequence(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in order, as ``<A><B>``."""
-    sentences = F.split(F.regexp_replace(text, END, "$1\n"), "\n+")
-    known = F.filter(F.transform(F.filter(sentences, lambda s: anchored(F.lower(s))), lambda s: identifier(normalized(s))), lambda x: x.isNotNull())
+    """The identifiers of a text's known sentences, in order, as ``<A><B>``.
+
+    Full stops and the like before white space, and blank lines, end a sentence.  Line ends
+    and colons within one may both part it and be a mere blank: texts are wrapped anywhere.
+    """
+    soft = F.regexp_replace(F.regexp_replace(F.lower(text), r"[.;!?]\s+", "\n\n"), r":[ \t]+", "\n")
+    soft = F.regexp_replace(F.regexp_replace(soft, r"[^a-z0-9\n]+", " "), " ?\n ?", "\n")
+    parts = F.filter(F.split(soft, "\n\n+"), lambda s: reduce(lambda a, b: a | b, [F.contains(F.translate(s, "\n", " "), F.lit(x)) for x in PARTS]))
+    found = F.flatten(F.transform(parts, lambda s: F.regexp_extract_all(F.trim(s), F.lit(wrapped_pattern()), F.lit(0))))
+    known = F.filter(F.transform(found, lambda s: identifier(F.translate(s, "\n", " "))), lambda x: x.isNotNull())
     return F.concat_ws("", F.transform(known, lambda x: F.concat(F.lit("<"), x, F.lit(">"))))
 
 
