@@ -1,9 +1,11 @@
 """The corpus operators on small tables: brute force, round trips, odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -486,32 +488,72 @@ def test_packing(spark, docs, odd, none):
 # ---- 10 scoring
 
 
-def test_losses_by_hand(spark):
-    rows = [(0, "abab"), (1, "abba"), (2, "zz"), (3, None), (4, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    counts = lmscore.count(docs, spark.createDataFrame([(0,), (0,), (None,)], "id long"))
-    want = np.zeros((2, lmscore.TRIGRAMS), int)
-    for i, t in rows:
-        padded = "\0\0" + (t or "")
-        for k in range(len(t or "")):
-            at = (ord(padded[k]) << 14) | (ord(padded[k + 1]) << 7) | ord(padded[k + 2])
-            want[0, at] += 1
-            want[1, at] += i == 0
-    assert (counts == want).all()
-    p = np.exp(-lmscore.losses(counts).astype(float)).reshape(2, 128, 128, 128)
-    assert np.allclose(p[:, 0, 0].sum(1), 1, atol=1e-4) and np.allclose(p[:, 97, 98].sum(1), 1, atol=1e-4)
-    got = {r["doc_id"]: r for r in lmscore.score(docs, counts).collect()}
-    assert got[0]["score"] > got[1]["score"] > got[2]["score"] and got[3]["score"] is None is got[4]["score"]
-    loss = lmscore.losses(counts)[1]
-    assert got[0]["ce_target"] == pytest.approx(np.mean([loss[(a << 14) | (b << 7) | c] for a, b, c in ((0, 0, 97), (0, 97, 98), (97, 98, 97), (98, 97, 98))]), rel=1e-5)
+TOKEN = re.compile(r"[\u0800-\U0010ffff]|[!-/:-@\[-`{-~]|[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\u0800-\U0010ffff]+")
+
+
+def losses_by_hand(rows, target, limit):
+    """(tokens, loss under the target, loss under the background) of each text, for every strength, with plain dictionaries."""
+    texts = [(i in target, TOKEN.findall(t or "")) for i, t in rows]
+    total = sum(len(w) + 1 for _, w in texts if w)
+    times = Counter(x for _, w in texts for x in w)
+    least = max(2, math.ceil(total / limit))
+    known = {x for x, n in times.items() if n >= least}
+    texts = [(own, ["</s>", *(x if x in known else "<unk>" for x in w), "</s>"] if w else []) for own, w in texts]
+    one, two = [[Counter(), Counter()] for _ in range(2)]
+    for own, w in texts:
+        one[not own].update(w[1:])
+        two[not own].update(zip(w, w[1:]))
+    n = [sum(c.values()) for c in one]
+    size = len(known) + 2
+    out = []
+    for own, w in texts:
+        loss = np.zeros((2, len(lmscore.STRENGTHS)))
+        mine, my_pairs = Counter(w[1:]), Counter(zip(w, w[1:]))
+        for m in (0, 1):
+            s = min(n) / max(n[m], 1)
+            off = own == (m == 0)
+            for h, x in zip(w, w[1:]):
+                p1 = (s * (one[m][x] - off * mine[x]) + lmscore.ADDED) / (s * (n[m] - off * (len(w) - 1)) + lmscore.ADDED * size)
+                for k, strength in enumerate(lmscore.STRENGTHS):
+                    loss[m, k] -= math.log((s * (two[m][h, x] - off * my_pairs[h, x]) + strength * p1) / (s * (one[m][h] - off * mine[h]) + strength))
+        out.append((max(len(w) - 1, 0), loss))
+    return out
+
+
+@pytest.mark.parametrize(("limit", "heavy"), [(1 << 20, 1 << 20), (40, 60), (1 << 20, 1)])
+def test_scores_equal_brute_force(spark, limit, heavy):
+    rng = random.Random(11)
+    rows = [(i, rng.choice(("", prose(rng, 30) + " 日本語の " + prose(rng, 9) + ", ДА? да!", prose(rng, rng.randrange(1, 60)).title()))) for i in range(80)] + [(80, None), (81, "x"), (82, "!!")]
+    rows += rows[5:9]
+    target = {i for i, _ in rows if i % 3 == 0}
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string").repartition(3)
+    models = lmscore.count(docs, spark.createDataFrame([(i,) for i in [*target, 0, None]], "id long"), vocabulary_limit=limit, heavy_limit=heavy)
+    want = losses_by_hand(rows, target, limit)
+    typical = [sum(float(np.median([loss[m, k] / n for (i, _), (n, loss) in zip(rows, want, strict=True) if n and (i in target) == (m == 0)])) for m in (0, 1)) for k in range(len(lmscore.STRENGTHS))]
+    got = lmscore.score(models).collect()
+    fits = [all(sorted((n, *(loss[:, k] / n)) for n, loss in want if n)[j] == pytest.approx(g, rel=1e-9) for j, g in enumerate(sorted((r["n_tokens"], r["ce_target"], r["ce_background"]) for r in got if r["n_tokens"]))) for k in range(len(lmscore.STRENGTHS))]
+    assert any(fits) and typical[fits.index(True)] < min(typical) * 1.01
+    assert all(r["score"] == pytest.approx(r["ce_background"] - r["ce_target"]) for r in got if r["n_tokens"])
+    assert sum(r["score"] is None for r in got) == sum(not n for n, _ in want)
 
 
 def test_scoring_edges(spark, odd, none, docs, sf):
     target = lmscore.good_documents(spark.read.parquet(f"{sf}/labels.parquet"))
-    assert lmscore.score(odd, lmscore.count(odd, target)).count() == odd.count()
-    assert lmscore.score(none, lmscore.count(none, target)).count() == 0
-    zero = lmscore.score(docs.limit(5), lmscore.count(docs.limit(5), target.limit(0))).collect()
-    assert all(r["score"] == 0 for r in zero)
+    assert lmscore.score(lmscore.count(odd, target)).count() == odd.count()
+    assert lmscore.score(lmscore.count(none, target)).count() == 0
+    for own in (target.limit(0), docs.select(F.col("doc_id").alias("id"))):  # a model without texts
+        zero = lmscore.score(lmscore.count(docs.limit(5), own)).collect()
+        assert all(r["score"] == 0 for r in zero)
+
+
+def test_scores_rank_quality(spark, sf):
+    """On the labels of a sample of some size, good documents mostly score above poor ones."""
+    sf = f"{sf.rsplit('/', 1)[0]}/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = lmscore.score(lmscore.count(docs, lmscore.good_documents(labels))).join(labels, "doc_id").filter("score IS NOT NULL").toPandas()
+    good = got[(got.quality == 1) & (got.toxic == 0)].score
+    poor = got[got.quality == 0].score
+    assert (good.median() > poor.median()) and np.mean(good.to_numpy()[:, None] > poor.to_numpy()[None]) > 0.8
 
 
 def test_every_registered_query_keeps_every_document(spark, sf, docs):

@@ -51,7 +51,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return lmscore.score(docs, lmscore.count(docs, lmscore.good_documents(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+    return lmscore.score(lmscore.count(docs, lmscore.good_documents(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -131,6 +131,37 @@ def words(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Words]:
         yield Words(i, j, data, bounds, starts, ends, np.searchsorted(starts, bounds))
 
 
+# Kinds of bytes of tokens: blank, of a word, a mark, the rest of a character that is a token by itself.
+_BLANK, _WORD, _MARK, _REST = range(4)
+_KIND = np.where(WORD, _WORD, _MARK).astype(np.uint8)
+_KIND[65:91] = _WORD
+_KIND[:33] = _KIND[127] = _BLANK
+
+
+def tokens(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Words]:
+    """Words as they are written, and marks.
+
+    Each ASCII mark is a token, and so is each character of three or four bytes (most
+    scripts that leave no blanks); capitals are kept.
+    """
+    raw, offsets = text_buffer(column)
+    for i, j in chunks(offsets, limit):
+        data, bounds = separated(raw, offsets, i, j, lower=False)
+        kind = _KIND[data]
+        wide = np.flatnonzero(data >= 0xE0)
+        if len(wide):
+            kind[wide] = _MARK
+            kind[wide + 1] = kind[wide + 2] = _REST
+            kind[wide[data[wide] >= 0xF0] + 3] = _REST
+        goes_on = kind == _REST
+        goes_on[1:] |= (kind[1:] == _WORD) & (kind[:-1] == _WORD)
+        stops = np.flatnonzero(~goes_on)
+        first = kind[stops] != _BLANK
+        ends = np.append(stops[1:], len(data))[first]
+        starts = stops[first]
+        yield Words(i, j, data, bounds, starts, ends, np.searchsorted(starts, bounds))
+
+
 def segment_sums(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Sums of values[of[i]:of[i + 1]], empty segments included."""
     total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
