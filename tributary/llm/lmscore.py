@@ -38,6 +38,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ ADDED, STRENGTHS = 0.5, (256.0, 1024.0, 4096.0, 16384.0)
 #: Ids of words that are not in the vocabulary, and of a text's edge; those of the vocabulary follow.
 UNKNOWN, EDGE, FIRST = 0, 1, 2
 _BITS = 21
+#: The light pairs meet their counts in so many rounds, as a shuffle of all at once would take more disk than the texts.
+ROUNDS = 4
 #: Stands for the edge among hashes of words.
 _EDGE_HASH = -1
 
@@ -250,6 +253,13 @@ def _first_sums(known: Vocabulary, of: np.ndarray, key: np.ndarray, flag: np.nda
     return size, sums, (text[light], pair[light], n[light], own_w[light])
 
 
+def _round(pair):
+    """Which round a pair is dealt with in, for arrays and for columns."""
+    if isinstance(pair, Column):
+        return (F.shiftright(pair, _BITS) + pair).bitwiseAND(ROUNDS - 1)
+    return ((pair >> _BITS) + pair) & (ROUNDS - 1)
+
+
 def _read(models: Models) -> DataFrame:
     """One row per document: its number, id, flag, tokens, losses with light pairs as unseen, and its light pairs."""
     shared = models.source.sparkSession.sparkContext.broadcast(models.known)
@@ -260,24 +270,31 @@ def _read(models: Models) -> DataFrame:
             flag = batch.column("wanted").to_numpy(zero_copy_only=False)
             for first, last, of, key in pairs(batch, shared.value):
                 size, sums, (text, pair, n, own) = _first_sums(shared.value, of, key, flag[first:last])
-                offsets = pa.array(np.searchsorted(text, np.arange(last - first + 1)), pa.int32())
                 part = batch.slice(first, last - first)
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, kind)) for v, kind in ((pair, pa.int64()), (n, pa.int32()), (own, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "id", "wanted")), pa.array(size), *(pa.array(c) for c in sums.T), *lists], ["row", "id", "wanted", "n_tokens", *_SUMS, "pair", "n", "own"])
+                columns = [*(part.column(c) for c in ("row", "id", "wanted")), pa.array(size), *(pa.array(c) for c in sums.T)]
+                in_round = _round(pair)
+                for r in range(ROUNDS):
+                    own_r = in_round == r
+                    offsets = pa.array(np.searchsorted(text[own_r], np.arange(last - first + 1)), pa.int32())
+                    columns += [pa.ListArray.from_arrays(offsets, pa.array(v[own_r], kind)) for v, kind in ((pair, pa.int64()), (n, pa.int32()), (own, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = [T.StructField("row", T.LongType()), source.schema["id"], T.StructField("wanted", T.BooleanType()), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in _SUMS)]
-    return map_arrow(source, run, T.StructType([*fields, T.StructField("pair", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.IntegerType())), T.StructField("own", T.ArrayType(T.IntegerType()))]))
+    for r in range(ROUNDS):
+        fields += [T.StructField(f"{c}{r}", T.ArrayType(kind)) for c, kind in (("pair", T.LongType()), ("n", T.IntegerType()), ("own", T.IntegerType()))]
+    names = [f.name for f in fields]
+    return map_arrow(source, run, T.StructType(fields))
 
 
-def _seen_gains(rows: DataFrame, models: Models) -> DataFrame:
-    """(row, what each of ``_SUMS`` falls by): light pairs that other texts hold, met by key."""
+def _seen_gains(rows: DataFrame, models: Models, r: int) -> DataFrame:
+    """(row, what each of ``_SUMS`` falls by): light pairs of a round that other texts hold, met by key."""
     spark, known = rows.sparkSession, models.known
-    light = rows.filter(F.size("pair") > 0).select("row", "wanted", "n_tokens", F.explode(F.arrays_zip("pair", "n", "own")).alias("e"))
+    light = rows.select("row", "wanted", "n_tokens", F.explode(F.arrays_zip(F.col(f"pair{r}").alias("pair"), F.col(f"n{r}").alias("n"), F.col(f"own{r}").alias("own"))).alias("e"))
     light = light.select("row", "wanted", "n_tokens", "e.pair", "e.n", "e.own")
     ids = pa.table({"w": np.arange(known.counts.shape[1]), "wt": known.counts[0], "wb": known.counts[1]})
     word = F.col("pair").bitwiseAND((1 << _BITS) - 1)
     # the vocabulary, bounded by its share of the tokens, brings the counts of second words
-    table = models.pairs.withColumn("w", word).join(F.broadcast(spark.createDataFrame(ids)), "w").drop("w")
+    table = models.pairs.filter(_round(F.col("pair")) == r).withColumn("w", word).join(F.broadcast(spark.createDataFrame(ids)), "w").drop("w")
     both = light.join(table, "pair")
     gains = []
     for m, name in enumerate(("t", "b")):
@@ -295,10 +312,14 @@ def score(models: Models, *, id_col: str = "doc_id") -> DataFrame:
     spark = models.source.sparkSession
     rows = materialize(_read(models), "lm-rows")
     release(spark)
-    gains = _seen_gains(rows, models).withColumnRenamed("row", "__row")
+    parts = []
+    for r in range(ROUNDS):
+        parts.append(materialize(_seen_gains(rows, models, r), "lm-gains"))
+        release(spark)
+    gains = reduce(DataFrame.union, parts).groupBy(F.col("row").alias("__row")).agg(*[F.sum(f"g{c}").alias(f"g{c}") for c in _SUMS])
     sums = rows.select("row", "id", "wanted", "n_tokens", *_SUMS).join(gains, F.col("row") == F.col("__row"), "left")
     sums = materialize(sums.select("id", "wanted", "n_tokens", *[(F.col(c) - F.coalesce(f"g{c}", F.lit(0.0))).alias(c) for c in _SUMS]), "lm-sums")
-    release(spark, rows, *models.written)
+    release(spark, rows, *parts, *models.written)
     typical = sums.filter("n_tokens > 0").groupBy("wanted").agg(*[F.percentile_approx(F.col(c) / F.col("n_tokens"), 0.5, 10000).alias(c) for c in _SUMS]).collect()
     best = min(range(len(STRENGTHS)), key=lambda k: sum(r[f"{'t' if r['wanted'] else 'b'}{k}"] for r in typical))
     ce = {name: F.when(F.col("n_tokens") > 0, F.col(f"{name}{best}") / F.col("n_tokens")) for name in ("t", "b")}
