@@ -1,9 +1,10 @@
 """Line deduplication over a whole corpus by a deletion-neighbourhood join.
 
-Lines are compared by their words (lower case, marks dropped).  Two lines are
-alike if they are equal or one word was put in, taken out or replaced; with at
-least five words a line, likes share four fifths of them.  The earliest line (by
-document id, then line number) stays; a line with an earlier like goes.
+Lines are compared by their words (lower case, marks dropped; characters of scripts
+that leave no blanks are words each).  Two lines are alike if they have the same words,
+or, from ``MIN_WORDS`` words on, if one word was put in, taken out or replaced (likes
+then share four fifths of their words; below, one word may be all that matters).  The
+earliest line (by document id, then line number) stays; a line with an earlier like goes.
 
 Only DataFrame functions are used.  Equal lines are folded first.  Lines alike
 but not equal share the first or the second half of their words, so only lines
@@ -18,10 +19,10 @@ Each line's earliest like is then verified word by word.
 Variant keys come from sums of word hashes before and after the deleted word, so
 a line of n words costs n rows, not n squared.
 
-Defined cases: null texts stay null; lines of fewer than ``MIN_WORDS`` words and
-blank lines always stay; null ids count as earliest; rows with equal id and text
-are one document given repeatedly and share one result; a document that lost all
-its lines of ``MIN_WORDS`` words or more is dropped; further columns are carried.
+Defined cases: null texts stay null; lines without a word (blank, or marks only) always
+stay; null ids count as earliest; rows with equal id and text are one document given
+repeatedly and share one result; a document that lost lines and has none with a word
+left is dropped; further columns are carried.
 """
 
 from __future__ import annotations
@@ -41,6 +42,13 @@ def normalized(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
+def spaced(norm: Column) -> Column:
+    """A normalised line with blanks around each character of the scripts that have none between words."""
+    apart = F.trim(F.regexp_replace(F.regexp_replace(norm, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])", " $1 "), " +", " "))
+    # such a character has three bytes, so most lines are told apart without a pattern
+    return F.when(F.octet_length(norm) - F.char_length(norm) >= 2, apart).otherwise(norm)
+
+
 def _half(second: bool, m: Column) -> Column:
     """Hash of the first m // 2 words, or of the last m - m // 2."""
     h = F.floor(m / 2).cast("int")
@@ -51,7 +59,7 @@ def _half(second: bool, m: Column) -> Column:
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, hash of text, line number, normalised line and its number of words, of every line."""
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    lines = lines.select("id", "th", "line_no", normalized(F.col("line")).alias("norm"))
+    lines = lines.select("id", "th", "line_no", normalized(F.col("line")).alias("norm")).withColumn("norm", spaced(F.col("norm")))
     blanks = F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit("")))
     return lines.withColumn("n", F.when(F.col("norm") == "", 0).otherwise(blanks + 1))
 
@@ -97,23 +105,23 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, gone): for each document that loses lines, their numbers."""
+    """(id, th, gone), a written table: for each document that loses lines, their numbers."""
     spark = docs.sparkSession
     m = F.col("n")
-    halves = [_half(second, x).alias(f"k{second:d}{j}") for second in (False, True) for j, x in enumerate((m, m - 1))]
+    halves = [F.when(m >= min_words, _half(second, x)).alias(f"k{second:d}{j}") for second in (False, True) for j, x in enumerate((m, m - 1))]
     keys = [f"k{s}{j}" for s in (0, 1) for j in (0, 1)]
-    # lines too short are left out only when read again: a filter here would normalise every line twice
-    lines = materialize(line_table(docs, id_col, text_col).select("id", "th", "line_no", "n", *_line_hash(), *halves), "lines")
-    lines = lines.filter(F.col("n") >= min_words)
+    # lines without words are left out only when read again: a filter here would normalise every line twice
+    table = materialize(line_table(docs, id_col, text_col).select("id", "th", "line_no", "n", *_line_hash(), *halves), "lines")
+    lines = table.filter("n > 0")
     first = F.min(F.struct("id", "th", "line_no")).alias("first")
     distinct = materialize(lines.groupBy("h1", "h2").agg(first, F.count("*").alias("times"), *[F.max(k).alias(k) for k in keys]), "lines-distinct")
     release(spark)
 
-    halves = distinct.select("h1", "h2", F.explode(F.array(*keys)).alias("k"))
+    halves = distinct.filter("k00 IS NOT NULL").select("h1", "h2", F.explode(F.array(*keys)).alias("k"))
     shared = materialize(halves.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("k"), "lines-halves")
     maybe = halves.join(shared, "k", "left_semi").select("h1", "h2").distinct()
     maybe = materialize(maybe.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "lines-maybe")
-    release(spark)
+    release(spark, shared)
 
     # the words of those lines, from where each stands first; lid follows the order of first standing
     wanted = maybe.groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_list(F.struct("first.line_no", "h1", "h2")).alias("wanted"))
@@ -121,11 +129,11 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text = text.join(wanted, text["id"].eqNullSafe(wanted["__id"]) & (text["th"] == wanted["__th"]))
     picked = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["line_no"].alias("line_no"), F.get(lines, w["line_no"]).alias("line"))))[0]
     found = text.select("id", "th", F.inline(picked)).select("h1", "h2", "id", "th", "line_no", normalized(F.col("line")).alias("norm"))
-    found = found.withColumn("n", F.size(F.split("norm", " ")))
+    found = found.withColumn("norm", spaced(F.col("norm"))).withColumn("n", F.size(F.split("norm", " ")))
     found = found.dropDuplicates(["h1", "h2"])
     order = ["id", "th", "line_no", "h1", "h2"]
     likely = materialize(found.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("lid"), "h1", "h2", "norm", "n"), "lines-likely")
-    release(spark, shared, maybe)
+    release(spark, maybe)
 
     variants = materialize(_variants(likely), "lines-variants")
     least = [F.min(F.when(F.col("kind") == k, F.col("lid"))).alias(f"m{k}") for k in (REPLACED, LONGER, ITSELF)]
@@ -134,28 +142,27 @@ def removals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # a line with a word replaced meets the earliest such line; a longer line the shorter one, and the other way round
     to = F.when(F.col("kind") == REPLACED, F.col("m0")).when(F.col("kind") == LONGER, F.col("m2")).otherwise(F.col("m1"))
     links = variants.join(groups, "key").select("lid", to.alias("to")).filter("to < lid")
-    release(spark)
-    return _finish(spark, lines, distinct, likely, links)
+    best = materialize(links.groupBy("lid").agg(F.min("to").alias("to")), "lines-links")
+    release(spark, variants, groups)
 
-
-def _finish(spark, lines: DataFrame, distinct: DataFrame, likely: DataFrame, links: DataFrame) -> DataFrame:
-    best = links.groupBy("lid").agg(F.min("to").alias("to"))
     words = likely.select("lid", "h1", "h2", "norm")
     pairs = best.join(words, "lid").join(likely.select(F.col("lid").alias("to"), F.col("norm").alias("earlier")), "to")
     near = pairs.filter(_alike(F.split("norm", " "), F.split("earlier", " "))).select("h1", "h2", F.lit(True).alias("near"))
     known = distinct.select("h1", "h2", "first", "times").join(near, ["h1", "h2"], "left")
     known = materialize(known.filter("times > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "lines-known")
-    release(spark)
+    release(spark, distinct, likely, best)
+
     stands = lines.select("id", "th", "line_no", "h1", "h2").join(known, ["h1", "h2"])
     gone = stands.filter(F.col("near") | ~F.struct("id", "th", "line_no").eqNullSafe(F.col("first")))
-    return gone.groupBy("id", "th").agg(F.collect_list("line_no").alias("gone"))
+    out = materialize(gone.groupBy("id", "th").agg(F.collect_set("line_no").alias("gone")), "lines-gone")
+    release(spark, table, known)
+    return out
 
 
 def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text_col`` cleaned, ``__gone`` (numbers of lines removed, null if none)
-    and ``__keep`` (whether anything worth keeping is left)."""
-    gone = materialize(removals(docs, id_col=id_col, text_col=text_col, min_words=min_words), "lines-gone")
-    release(docs.sparkSession)
+    and ``__keep`` (whether a line with a word is left)."""
+    gone = removals(docs, id_col=id_col, text_col=text_col, min_words=min_words)
     own = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     joined = docs.join(own, docs[id_col].eqNullSafe(own["__id"]) & (F.xxhash64(docs[text_col]) == own["__th"]), "left")
     kept = F.transform(
@@ -163,7 +170,7 @@ def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i)),
     )[0]
     joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), kept))
-    some = F.exists("__lines", lambda x: F.size(F.split(normalized(x), " ")) >= min_words)
+    some = F.exists("__lines", lambda x: x.rlike(r"[\p{L}\p{N}]"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join("__lines", "\n"))
     return joined.withColumn("__keep", F.col("__gone").isNull() | some).withColumn(text_col, text).drop("__id", "__th", "__lines")
 
