@@ -60,15 +60,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 LINE_DEDUP_SQL = r"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, i AS line_no, trim(regexp_replace(lower(lines[i + 1]), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm
+l AS (SELECT doc_id, i AS line_no, trim(regexp_replace(regexp_replace(regexp_replace(lower(lines[i + 1]), '[^\p{L}\p{N}]+', ' ', 'g'),
+             '([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])', ' \1 ', 'g'), ' +', ' ', 'g')) AS norm
       FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS i FROM docs)),
 e AS (SELECT *, string_split(norm, ' ') AS w, len(string_split(norm, ' ')) AS n, doc_id * 1000000 + line_no AS ord
-      FROM l WHERE len(string_split(norm, ' ')) >= 5),
+      FROM l WHERE norm <> ''),
 u AS (SELECT norm, any_value(w) AS w, any_value(n) AS n, min(ord) AS ord FROM e GROUP BY norm),
 v AS (SELECT norm, ord, i, array_to_string(list_concat(w[1:i], w[i + 2:]), ' ') AS cut
-      FROM (SELECT *, unnest(range(n)) AS i FROM u)),
+      FROM (SELECT *, unnest(range(n)) AS i FROM u WHERE n >= 5)),
 s AS (SELECT norm, ord, min(ord) OVER (PARTITION BY i, cut) AS earliest FROM v),
-d AS (SELECT v.norm AS long_norm, v.ord AS long_ord, u.norm AS short_norm, u.ord AS short_ord FROM v JOIN u ON u.norm = v.cut),
+d AS (SELECT v.norm AS long_norm, v.ord AS long_ord, u.norm AS short_norm, u.ord AS short_ord FROM v JOIN u ON u.norm = v.cut WHERE u.n >= 5),
 near AS (SELECT norm FROM s WHERE earliest < ord
          UNION SELECT long_norm FROM d WHERE short_ord < long_ord
          UNION SELECT short_norm FROM d WHERE long_ord < short_ord),
