@@ -10,8 +10,10 @@ text are reconciled globally: of those that overlap, the set with the largest to
 score stays.  Tagger spans must pass the test of their kind and may
 not touch a base span of it, so base spans always stay.
 
-Every span the tagger may give holds a digit, an @ or an at in brackets.  Windows
-without one can give nothing and are not decoded; no part of a text is left out.
+Every span that passes its test (``plausible``) holds a digit, an @ or an at in
+brackets.  Windows without one can give nothing and are not decoded; no
+part of a text is left out.  The patterns take time in proportion to the text,
+whatever runs of digits or letters it holds.
 
 Defined cases: null counts as empty; positions are code points; repeated rows get
 equal results; further columns are ignored.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,8 +42,11 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Characters an e-mail match is made of.
-_EMAIL_PART = re.compile(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9._%+@-]*")
+#: The part of EMAIL after the @, and IP from the start of a run of digits: a match that
+#: fails there fails further into the run too, so each run is read once.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP_AT_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 WIDTH, STRIDE = 96, 48
@@ -64,17 +70,20 @@ def _small(part: str) -> bool:
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
-    """Matches of EMAIL.  Each lies inside a run of characters of an address, and only runs with an @ are searched."""
-    at = text.find("@")
-    done = 0
+    """Matches of EMAIL: for each @, the longest run before it that no match has taken, and the domain after it."""
+    done, at = 0, text.find("@")
     while at >= 0:
-        start = at
-        while start > done and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "._%+-")):
-            start -= 1
-        run = _EMAIL_PART.match(text, start)
-        done = run.end()
-        for m in EMAIL.finditer(text, start, done):
-            yield m.span()
+        domain = _DOMAIN.match(text, at + 1)
+        if domain:
+            # the run up to the @, read backwards
+            back = text[done:at][::-1]
+            start = at - _LOCAL_END.match(back).end()
+            if start < at:
+                yield start, domain.end()
+                done = domain.end()
+                at = text.find("@", done)
+                continue
+        done = at + 1
         at = text.find("@", done)
 
 
@@ -83,7 +92,7 @@ def base_spans(text: str) -> list[Span]:
     out: list[Span] = [(0, *s) for s in emails(text)]
     if not re.search("[0-9]", text):
         return out
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(map(_small, m.group().split(".")))]
+    out += [(1, *m.span()) for m in _IP_AT_RUN.finditer(text) if all(map(_small, m.group().split(".")))]
     for m in CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -98,7 +107,7 @@ def plausible(kind: int, text: str) -> bool:
     """The test of a kind for a span in another spelling."""
     digits = _NOT_DIGIT.sub("", text)
     if kind == 0:
-        return bool(re.search(r"[A-Za-z0-9]\s*(@|[(\[]at[)\]])\s*[A-Za-z0-9]", text) and re.search(r"\.|\bdot\b", text))
+        return bool(re.search(r"[A-Za-z0-9]\s*+(@|[(\[]at[)\]])\s*+[A-Za-z0-9]", text) and re.search(r"\.|\bdot\b", text))
     if kind == 1:
         parts = [p for p in _NOT_DIGIT.split(text) if p]
         return len(parts) == 4 and all(map(_small, parts))
@@ -262,23 +271,33 @@ def tagged_spans(texts: list[str], w: Weights, block: int = 2048) -> list[list[t
 
 def reconciled(text: str, base: list[Span], found: list[tuple[float, int, int, int]]) -> list[Span]:
     """Base spans and, of the plausible spans of all windows that touch none of them, the set of largest total score without overlap."""
-    taken = sorted((s, e) for _, s, e in base)
+    taken = _joined([(s, e) for _, s, e in base])
+    taken_ends = [e for _, e in taken]
     free: dict[tuple[int, int, int], float] = {}
     for score, kind, start, end in found:
         while start < end and text[start].isspace():
             start += 1
         while end > start and text[end - 1].isspace():
             end -= 1
-        if score > 0 and plausible(kind, text[start:end]) and not any(s < end and start < e for s, e in taken):
+        after = bisect_right(taken_ends, start)
+        if score > 0 and plausible(kind, text[start:end]) and not (after < len(taken) and taken[after][0] < end):
             free[kind, start, end] = max(score, free.get((kind, start, end), 0.0))
     spans = sorted(free, key=lambda x: (x[2], x[1], x[0]))
-    best: list[tuple[float, list[int]]] = [(0.0, [])]
     ends = [s[2] for s in spans]
+    best, came = [0.0], []  # of the first k spans: the largest total, and which the last one is
     for k, s in enumerate(spans):
-        before = int(np.searchsorted(ends[:k], s[1], "right"))
-        take = (best[before][0] + free[s], [*best[before][1], k])
-        best.append(take if take[0] > best[k][0] else best[k])
-    return sorted([*base, *(spans[k] for k in best[-1][1])])
+        before = bisect_right(ends, s[1], 0, k)
+        take = best[before] + free[s] > best[k]
+        best.append(best[before] + free[s] if take else best[k])
+        came.append(before if take else -1)
+    chosen, k = [], len(spans)
+    while k:
+        if came[k - 1] >= 0:
+            chosen.append(spans[k - 1])
+            k = came[k - 1]
+        else:
+            k -= 1
+    return sorted([*base, *chosen])
 
 
 def written(spans: list[Span]) -> str:
