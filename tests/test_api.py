@@ -70,7 +70,7 @@ def test_flow_errors(spark, folder, tmp_path):
 def test_split_by_query(spark, folder):
     task = {"table": "labels", "type": "binary_classification", "entity_table": "users", "entity_columns": "user_id", "target": "y", "key": "k", "split": {"queries": {"test": "SELECT k FROM labels WHERE user_id = 5"}}}
     data = api.prepare(spark, config(folder, task=task), check=False)
-    assert {r["split"]: r["count"] for r in data.rows.groupBy("split").count().collect()} == {"train": 9, "validation": 1, "test": 2}
+    assert {r["split"]: r["count"] for r in data.rows.groupBy("split").count().collect()} == {"train": 8, "validation": 2, "test": 2}
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):

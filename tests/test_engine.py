@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tributary.config import ConfigError, parse_config
 from tributary.functions import scalars, text
 from tributary.operators import checks, features, graph, keys, metrics, paths, processors, sampling, seeds, splits, stats
-from tributary.schema import Database, SchemaError, SchemaOverrides, discover_schema, hidden_columns
+from tributary.schema import Database, Keys, Link, SchemaError
 from tributary.sources import artifacts, catalog, readers
 
 
@@ -19,50 +19,63 @@ def day(n):
 
 @pytest.fixture(scope="module")
 def temporal(spark):
-    users = spark.createDataFrame([(0, "reader")], "id long, name string")
-    events = spark.createDataFrame([(0, 0, day(2), 2.0, "second"), (1, 0, day(3), 3.0, "third"), (2, 0, day(1), 1.0, "first")], "id long, user_id long, time timestamp_ntz, value double, text string")
-    frames = {"users": users, "events": events}
-    over = SchemaOverrides({"users": ("id",), "events": ("id",)}, (("events", ("user_id",), "users", ("id",)),), {"events": "time"})
-    return Database(frames, discover_schema(frames, overrides=over))
+    """Two sensors; readings out of order, one on the same day as another, one without a sensor."""
+    sensors = spark.createDataFrame([(0, "north"), (1, "south")], "id long, place string")
+    rows = [(0, 1, day(9), 0.5), (1, 0, day(20), -2.0), (2, 0, day(7), 4.0), (3, 0, day(7), 8.0), (4, None, day(1), 0.0), (5, 0, day(12), 16.0)]
+    readings = spark.createDataFrame(rows, "id long, sensor long, taken timestamp_ntz, value double")
+    return Database({"sensors": sensors, "readings": readings}, Keys({"sensors": ("id",), "readings": ("id",)}, (Link("readings", ("sensor",), "sensors"),), {"readings": "taken"}))
+
+
+def at(n):
+    return int(day(n).replace(tzinfo=dt.UTC).timestamp())
 
 
 def test_edge_order_and_visibility(temporal):
     e = graph.edges(temporal, directions=(False,))
-    order = [r["src_id"] for r in graph.neighbour_rank(e).orderBy("rank").collect()]
-    assert order == [2, 0, 1]
-    seed = int(day(2).replace(tzinfo=dt.UTC).timestamp())
-    assert {r["src_id"] for r in graph.visible(e, seed).collect()} == {0, 2}
+    ranked = {(r["dst_id"], r["rank"]): r["src_id"] for r in graph.neighbour_rank(e, block=5 * 86400).collect()}
+    assert ranked == {(0, 0): 2, (0, 1): 3, (0, 2): 5, (0, 3): 1, (1, 0): 0}
+    assert {r["src_id"] for r in graph.visible(e, at(9)).collect()} == {0, 2, 3}
 
 
 def test_sampling_sees_no_future_and_keeps_to_the_limit(spark, temporal):
-    seed = int(day(2).replace(tzinfo=dt.UTC).timestamp())
-    seeds_ = spark.createDataFrame([("a", "users", 0, seed), ("b", "users", 0, seed - 86400), ("c", "users", 0, 0)], "tree_id string, node_type string, node_id long, seed_time long")
+    seeds_ = spark.createDataFrame([("late", "sensors", 0, at(13)), ("early", "sensors", 0, at(7)), ("none", "sensors", 1, at(8))], "tree_id string, node_type string, node_id long, seed_time long")
     nodes, edges = sampling.khop(seeds_, graph.edges(temporal), [2, 2])
-    found = {(r["tree_id"], r["src_id"]) for r in edges.filter("hop = 1").collect()}
-    assert found == {("a", 0), ("a", 2), ("b", 2)}
+    found = {}
+    for r in edges.filter("hop = 1").collect():
+        found.setdefault(r["tree_id"], set()).add(r["src_id"])
+    assert found["early"] == {2, 3} and "none" not in found and len(found["late"]) == 2 and found["late"] <= {2, 3, 5}
     assert nodes.filter("hop > 0").groupBy("tree_id", "node_type", "node_id").count().filter("count > 1").count() == 0
     assert edges.groupBy("tree_id", "edge_type", "dst_id", "hop").count().filter("count > 2").count() == 0
 
 
 def test_cutoff_gap_is_an_error(temporal):
     with pytest.raises(keys.KeyCheckError):
-        graph.nodes(temporal, cutoff=day(2), strict=True)
-    assert graph.nodes(temporal, cutoff=day(2)).filter("node_type = 'events'").count() == 2
+        graph.nodes(temporal, cutoff=day(9), strict=True)
+    assert graph.nodes(temporal, cutoff=day(9)).filter("node_type = 'readings'").count() == 4
+
+
+def test_links_of_several_columns(spark):
+    shelf = spark.createDataFrame([(0, "a", 1), (1, "a", 2), (2, "b", 1)], "id long, room string, place int")
+    book = spark.createDataFrame([(0, "b", 1), (1, "a", 2), (2, "a", None), (3, "c", 1)], "id long, room string, place int")
+    db = Database({"shelf": shelf, "book": book}, Keys({"shelf": ("id",), "book": ("id",)}, (Link("book", ("room", "place"), "shelf", ("room", "place")),)))
+    for back in (False, True):
+        got = {(r["src_id"], r["dst_id"]) for r in graph.key_edges(db, db.links[0], reverse=back).collect()}
+        assert got == ({(2, 0), (1, 1)} if back else {(0, 2), (1, 1)})
 
 
 def test_degrees_add_up(temporal):
     e = graph.edges(temporal, directions=(False,))
-    d = graph.in_degree(e, temporal["users"].select(F.col("id").alias("node_id")))
+    d = graph.in_degree(e, temporal["sensors"].select(F.col("id").alias("node_id")))
     assert d.agg(F.sum("degree")).first()[0] == e.count()
-    assert [tuple(r) for r in graph.pointers(d).collect()] == [(0, 0, 3)]
+    assert sorted(tuple(r) for r in graph.pointers(d).collect()) == [(0, 0, 4), (1, 4, 5)]
 
 
 def test_gather_keeps_order_and_repeats(spark, temporal):
     requests = spark.createDataFrame([(0, 2), (1, 0), (2, 2)], "pos int, node_id long")
-    got = features.gather(requests, temporal["events"], "id", columns=["value"], strict=True).orderBy("pos")
-    assert [r["value"] for r in got.collect()] == [1.0, 2.0, 1.0]
+    got = features.gather(requests, temporal["readings"], "id", columns=["value"], strict=True).orderBy("pos")
+    assert [r["value"] for r in got.collect()] == [4.0, 0.5, 4.0]
     with pytest.raises(features.MissingRowError):
-        features.gather(requests.withColumn("node_id", F.lit(9)), temporal["events"], "id", strict=True)
+        features.gather(requests.withColumn("node_id", F.lit(9)), temporal["readings"], "id", strict=True)
 
 
 def test_numeric_statistics_ignore_what_is_no_number(spark):
@@ -138,17 +151,48 @@ def test_labels_as_text(spark):
         spark.createDataFrame([("maybe",)], "s string").select(scalars.binary_label("s")).collect()
 
 
-def test_schema_errors(temporal, spark):
-    frames = temporal.frames
-    for over in (SchemaOverrides({"nobody": ("id",)}), SchemaOverrides({"users": ("x",)}), SchemaOverrides({"users": ("id", "id")}), SchemaOverrides(foreign_keys=(("events", ("user_id", "id"), "users", ("id",)),))):
+def test_schema_errors(temporal):
+    link = lambda *x: Keys({"sensors": ("id",)}, (Link(*x),))
+    for bad in (Keys({"nobody": ("id",)}), Keys({"sensors": ("x",)}), Keys({"sensors": ("id", "id")}), Keys({"sensors": ()}), Keys(times={"sensors": "taken"}), link("readings", ("sensor", "id"), "sensors"), link("readings", ("sensor",), "nobody"), Keys({"sensors": ("id",)}, (Link("readings", ("sensor",), "sensors"), Link("readings", ("sensor",), "sensors", ("id",))))):
         with pytest.raises(SchemaError):
-            discover_schema(frames, overrides=over)
+            Database(temporal.frames, bad)
     with pytest.raises(SchemaError):
-        discover_schema(frames, table_names=["users", "missing"])
-    assert hidden_columns({"kind": "autocomplete", "remove_columns": [["a", "b"]]}, entity_table="a", target_column="y") == [("a", "b"), ("a", "y")]
-    assert hidden_columns({"remove_columns": []}, entity_table="a", target_column="y") == []
-    with pytest.raises(TypeError):
-        hidden_columns({"remove_columns": "x"})
+        temporal.only(["sensors", "missing"])
+    assert temporal.only(["readings"]).links == () and temporal.feature_columns("readings", [("readings", "taken"), ("sensors", "value")]) == ["value"]
+
+
+def test_what_a_task_hides():
+    task = lambda **extra: catalog.Task("rate", "t", "regression", "shop", "shop_id", "stars", extra=extra)
+    assert task(kind="forecast").hides() == [] == task(hidden_columns=None).hides()
+    assert task(kind="autocomplete", hidden_columns=[["visit", "note"], ["visit", "note"]]).hides() == [("shop", "stars"), ("visit", "note")]
+    left_in = next(iter(catalog.TARGETS_LEFT_IN))
+    assert catalog.Task(left_in[1], "t", "regression", left_in[2], "id", left_in[3], extra={"kind": left_in[0]}).hides() == [left_in[2:]]
+    assert catalog.Task(left_in[1], "t", "regression", left_in[2], "id", left_in[3], extra={"kind": "forecast"}).hides() == []
+    for wrong in ("note", [["visit"]], ["visit"]):
+        with pytest.raises(TypeError):
+            task(hidden_columns=wrong).hides()
+    with pytest.raises(ValueError):
+        catalog.Task("rate", "t", "regression", "", "id", "stars", extra={"kind": "autocomplete"}).hides()
+
+
+def test_values_at_ranks(spark, monkeypatch):
+    """Exact elements, also where only the values near a rank are counted."""
+    import random
+
+    from tributary.operators import stats as module
+
+    rng = random.Random(4)
+    rows = [("a", rng.gauss(0, 9)) for _ in range(3000)] + [("b", float(rng.randrange(4))) for _ in range(2000)] + [("c", None), (None, 1.5)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    shares = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    want = {}
+    for g in ("a", "b", None):
+        v = sorted(x for k, x in rows if k == g)
+        want[g] = tuple(v[round((len(v) - 1) * q)] for q in shares.values())
+    for few in (module.FEW, 1000):
+        monkeypatch.setattr(module, "FEW", few)
+        monkeypatch.setattr(module, "_REACH", module._REACH if few > 1000 else 0.01)
+        assert {r["g"]: tuple(r)[1:] for r in metrics.nearest_rank(df, ["g"], "x", shares).collect()} == want
 
 
 def test_dangling_modes(spark):
@@ -173,44 +217,45 @@ def test_dense_ids(spark):
         keys.assign_dense_ids(df.withColumn(keys.NODE_ID, F.lit(0)))
 
 
-def test_dataset_round_trip(spark, tmp_path, temporal):
-    big = 2**60 + 123
-    users = spark.createDataFrame([(0, big, True), (1, None, False), (2, big + 2, True)], "user_id long, external long, active boolean")
-    orders = spark.createDataFrame([(0, 0, 1.5, ["x"]), (1, None, None, None), (2, 2, math.nan, [])], "order_id long, user_id long, amount double, tags array<string>")
-    items = spark.createDataFrame([("a",), ("b",), ("c",)], "value string")
-    frames = {"users": users, "orders": orders, "items": items}
-    over = SchemaOverrides({"users": ("user_id",), "orders": ("order_id",)}, (("orders", ("user_id",), "users", ("user_id",)),))
-    rows = catalog.union_splits({"train": orders.select("order_id", "amount").limit(2), "val": orders.select("order_id", "amount").filter("order_id = 2")})
-    task = catalog.Task("t", "target_table", "regression", "orders", "order_id", "amount", extra={"a": 1})
-    data = catalog.Dataset(Database(frames, discover_schema(frames, overrides=over)), {"t": task}, {"target_table": rows}, {"test_timestamp": "2024-01-01"})
+def test_dataset_round_trip(spark, tmp_path):
+    wide = -(2**62) - 7
+    shops = spark.createDataFrame([(0, wide, "x"), (1, 2**62 + 5, None), (2, None, "y")], "shop_id long, code long, town string")
+    visits = spark.createDataFrame([(0, 2, math.nan, []), (1, None, 0.25, None), (2, 0, None, ["q", "r"]), (3, 2, -1.0, ["q"])], "visit_id long, shop_id long, spent double, marks array<string>")
+    towns = spark.createDataFrame([("y",), ("x",)], "town string")
+    frames = {"shops": shops, "visits": visits, "towns": towns}
+    own = Keys({"shops": ("shop_id",), "visits": ("visit_id",)}, (Link("visits", ("shop_id",), "shops"),))
+    rows = catalog.union_splits({"train": visits.select("visit_id", "spent").filter("visit_id < 3"), "val": visits.select("visit_id", "spent").filter("visit_id = 3")})
+    task = catalog.Task("t", "target_table", "regression", "visits", "visit_id", "spent", extra={"a": 1})
+    data = catalog.Dataset(Database(frames, own), {"t": task}, {"target_table": rows}, {"test_timestamp": "2024-01-01"})
     path = str(tmp_path / "set")
     catalog.write_dataset(data, path)
     with pytest.raises(FileExistsError):
         catalog.write_dataset(data, path)
     back = catalog.DatasetReader(spark, path)
     db = back.database()
-    assert sorted(r["external"] for r in db["users"].filter("external IS NOT NULL").collect()) == [big, big + 2]
-    assert {r["value"]: r[keys.NODE_ID] for r in db["items"].collect()} == {"a": 0, "b": 1, "c": 2}
-    assert db.keys()[0][0] == "orders" and back.metadata()["test_timestamp"] == "2024-01-01"
-    assert {k: v.count() for k, v in back.task_splits("t").items()} == {"train": 2, "val": 1}
+    assert sorted(r["code"] for r in db["shops"].filter("code IS NOT NULL").collect()) == [wide, 2**62 + 5]
+    assert {r["town"]: r[keys.NODE_ID] for r in db["towns"].collect()} == {"x": 0, "y": 1}
+    assert db.links == (Link("visits", ("shop_id",), "shops", ("shop_id",)),) and back.metadata()["test_timestamp"] == "2024-01-01"
+    assert {k: v.count() for k, v in back.task_splits("t").items()} == {"train": 3, "val": 1}
     back.update_extra("t", {"b": 2})
     assert back.tasks()["t"].extra == {"a": 1, "b": 2}
     assert catalog.discover_datasets(spark, [str(tmp_path)]) == {"set": str(tmp_path / "set")}
     with pytest.raises(SchemaError):
-        catalog.write_dataset(catalog.Dataset(Database({**frames, "users": users.filter("user_id < 1")}, data.database.schema)), str(tmp_path / "bad"))
+        catalog.write_dataset(catalog.Dataset(Database({**frames, "shops": shops.filter("shop_id < 1")}, own)), str(tmp_path / "bad"))
     with pytest.raises(SchemaError):
-        catalog.Dataset(Database({"_catalog_tables": users}, data.database.schema))
+        catalog.Dataset(Database({"_catalog_tables": shops}))
 
 
 def test_reader(spark, tmp_path):
-    spark.createDataFrame([(0, 2**53 + 1), (1, None), (2, 3)], "id long, parent_id long").write.parquet(str(tmp_path / "items.parquet"))
+    large = 2**59 + 3
+    spark.createDataFrame([(7, None), (8, large), (9, 8), (10, -large)], "id long, above long").write.parquet(str(tmp_path / "tree.parquet"))
     with readers.open_database(spark, str(tmp_path)) as db:
-        assert db.names() == ["items"]
-        got = db.read_query("SELECT * FROM items WHERE id < :n ORDER BY id", n=2)
-        assert got["parent_id"].iloc[0] == 2**53 + 1
-        assert [len(x) for x in db.iter_query("SELECT * FROM items", batch_size=2)] == [2, 1]
+        assert db.names() == ["tree"]
+        got = db.read_query("SELECT * FROM tree WHERE id BETWEEN :a AND :b ORDER BY id", a=8, b=9)
+        assert got["above"].tolist() == [large, 8]
+        assert [len(x) for x in db.iter_query("SELECT * FROM tree", batch_size=3)] == [3, 1]
         with pytest.raises(ValueError):
-            db.iter_query("SELECT * FROM items", batch_size=0)
+            db.iter_query("SELECT * FROM tree", batch_size=0)
     db.close()
     with pytest.raises(readers.ReaderClosedError):
         db.table("items")
@@ -282,7 +327,9 @@ def test_routes(spark):
 def test_config():
     base = {"database": {"path": "/d"}, "task": {"table": "t", "type": "regression", "entity_table": "e", "entity_columns": "id", "target": "y", "key": ["k"]}}
     c = parse_config(base)
-    assert c.task.split.fraction == 0.1 and c.sampling.num_neighbors == (128, 128)
-    for change in ({"extra": 1}, {"database": {"path": "a", "url": "b"}}, {"task": base["task"] | {"type": "x"}}, {"task": base["task"] | {"destination_table": "d"}}, {"task": base["task"] | {"split": {"fraction": 2}}}, {"task": base["task"] | {"split": {"queries": {"train": "SELECT 1"}}}}, {"sampling": {"batch_size": 0}}):
+    assert c.task.split.fraction == 0.2 and c.sampling.num_neighbors == (128, 128)
+    c = parse_config(base | {"model": {"channels": 64}, "training": {"epochs": 3}, "report": "out.jsonl", "task": base["task"] | {"name": "t", "split": {"type": "sql_query", "queries": {"test": "SELECT 1"}}}})
+    assert c.model["channels"] == 64 and c.training["learning_rate"] == 0.005 and c.report == {"path": "out.jsonl", "format": "jsonl"} and c.task.name == "t"
+    for change in ({"extra": 1}, {"model": {"dropout": 1}}, {"training": {"learning_rate": 0}}, {"task": base["task"] | {"split": {"type": "column"}}}, {"task": base["task"] | {"entity_columns": []}}, {"database": {"path": "a", "url": "b"}}, {"task": base["task"] | {"type": "x"}}, {"task": base["task"] | {"destination_table": "d"}}, {"task": base["task"] | {"split": {"fraction": 2}}}, {"task": base["task"] | {"split": {"queries": {"train": "SELECT 1"}}}}, {"sampling": {"batch_size": 0}}):
         with pytest.raises(ConfigError):
             parse_config(base | change)

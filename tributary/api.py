@@ -15,7 +15,8 @@ from tributary.operators import checks, graph, sampling, seeds, splits, stats
 from tributary.operators.features import attach, encode_table
 from tributary.operators.keys import NODE_ID, assign_dense_ids
 from tributary.operators.processors import DEFAULTS
-from tributary.schema import Database, ForeignKey, SchemaError, TableRef, apply_overrides, discover_schema, feature_columns
+from tributary.schema import Database, Keys, Link, SchemaError
+from tributary.session import cut
 from tributary.sources.artifacts import ArtifactError, load_json, save_json
 from tributary.sources.readers import Reader, batches, open_database
 
@@ -25,16 +26,11 @@ def connect(spark: SparkSession, config: RunConfig) -> Reader:
 
 
 def discover(reader: Reader, config: RunConfig) -> Database:
-    """Tables and schema; data tables without an identity key get dense ids, task tables stay as they are."""
-    frames = reader.tables()
-    schema = discover_schema(frames, overrides=config.schema)
-    for ref, t in schema.tables.items():
-        if not t.identity_key and str(ref) != config.task.table:
-            frames[str(ref)] = assign_dense_ids(frames[str(ref)])
-    schema = discover_schema(frames)
-    own = {str(r): (NODE_ID,) for r in schema.tables if NODE_ID in schema.table(r).names}
-    schema = apply_overrides(schema, type(config.schema)({**own, **config.schema.identity_keys}, config.schema.foreign_keys, config.schema.time_columns))
-    return Database(frames, schema)
+    """Tables and keys; data tables without an id get dense ones, task tables stay as they are."""
+    frames, keys = reader.tables(), config.schema
+    bare = [t for t in frames if t not in keys.ids and t != config.task.table]
+    frames |= {t: assign_dense_ids(frames[t]) for t in bare}
+    return Database(frames, Keys({**keys.ids, **{t: (NODE_ID,) for t in bare}}, keys.links, keys.times))
 
 
 @dataclass(frozen=True)
@@ -42,27 +38,37 @@ class ValidatedTask:
     """A task whose columns and keys exist, with its entity's key and all columns it hides."""
 
     task: TaskConfig
-    entity_key: ForeignKey
+    entity: Link
+    destination: Link | None
     hidden: tuple[tuple[str, str], ...]
 
 
+def _only_link(db: Database, child: str, columns: tuple[str, ...], parent: str) -> Link:
+    """The link of those columns to that table; it must lead to the table's id."""
+    found = [x for x in db.links if x.child == child and x.parent == parent and (not columns or x.columns == tuple(columns))]
+    if len(found) != 1 or set(found[0].key) != set(db.ids.get(parent, ())):
+        raise SchemaError(f"{child}: not one link {columns} to the id of {parent}, but {len(found)} links")
+    return found[0]
+
+
 def validate_task(db: Database, task: TaskConfig, hidden: tuple[tuple[str, str], ...] = ()) -> ValidatedTask:
-    """The structural checks: columns, exactly one key to the entity, keys that target identity keys, hidden columns."""
-    own = db.schema.table(task.table)
-    own.require([*task.key, task.target, *([task.time] if task.time else [])])
-    matching = [k for k in own.foreign_keys if k.source_columns == tuple(task.entity_columns) and k.target_table == TableRef.of(task.entity_table)]
-    if len(matching) != 1:
-        raise SchemaError(f"{task.table}: {len(matching)} foreign keys {task.entity_columns} -> {task.entity_table}, not one")
-    if set(matching[0].target_columns) != set(db.schema.table(task.entity_table).identity_key):
-        raise SchemaError(f"{task.table}: the key does not target the identity key of {task.entity_table}")
-    if task.destination_table:
-        db.schema.table(task.destination_table)
-    if task.split.column:
-        own.require([task.split.column])
-    for t, c in hidden:
-        db.schema.table(t).require([c])
+    """The structural checks: columns, roles that differ, one link to the entity (and the destination), hidden columns."""
+    roles = [*task.entity_columns, *(c for c in (task.target, task.time, task.split.column) if c)]
+    db.need(task.table, *task.key, *roles)
+    if task.target in task.key:
+        raise SchemaError(f"{task.table}: the target {task.target} is part of the key")
+    if len(set(roles)) < len(roles):
+        raise checks.TaskError(f"{task.table}: entity, target, time and split are columns of their own, not {roles}")
+    entity = _only_link(db, task.table, task.entity_columns, task.entity_table)
+    destination = None
+    if task.destination_table and (task.destination_columns or any(x.child == task.table and x.parent == task.destination_table for x in db.links)):
+        destination = _only_link(db, task.table, task.destination_columns, task.destination_table)
+    elif task.destination_table:  # lists of destinations, in the target
+        db.id_of(task.destination_table)
+    for table, column in hidden:
+        db.need(table, column)
     automatic = [(task.table, c) for c in (task.target, task.split.column, task.time) if c]
-    return ValidatedTask(task, matching[0], tuple(dict.fromkeys([*automatic, *hidden])))
+    return ValidatedTask(task, entity, destination, tuple(dict.fromkeys([*automatic, *hidden])))
 
 
 def split_rows(db: Database, task: TaskConfig) -> DataFrame:
@@ -91,7 +97,17 @@ def _keys(db: Database, query: str, task: TaskConfig) -> DataFrame:
 def check_data(db: Database, valid: ValidatedTask, rows: DataFrame) -> DataFrame:
     """The checks of the data; (key, split)."""
     t = valid.task
-    return checks.check_task(rows, list(t.key), list(t.entity_columns), db[t.entity_table], list(valid.entity_key.target_columns), t.target, t.task_type, t.time)
+    entity, destination = valid.entity, valid.destination
+    checks.check_entity(db[entity.parent], list(entity.key))
+    if t.destination_table:
+        parent = db[t.destination_table]
+        if destination:
+            bad = checks.orphans(rows, list(destination.columns), parent, list(destination.key))
+        else:
+            bad = checks.unknown_destinations(rows, t.target, parent, db.id_of(t.destination_table))
+        if bad.limit(1).count():
+            raise checks.TaskError(f"destinations that are no rows of {t.destination_table}")
+    return checks.check_task(rows, list(t.key), list(t.entity_columns), db[entity.parent], list(entity.key), t.target, t.task_type, t.time)
 
 
 @dataclass
@@ -122,14 +138,14 @@ class PreparedDataset:
     def encoded(self, table: str) -> tuple[DataFrame, str]:
         """The table's features, encoded once with statistics of rows visible at train time."""
         if table not in self._encoded:
-            t, df = self.db.schema.table(table), self.db[table]
+            df, key, time = self.db[table], self.db.id_of(table), self.db.times.get(table)
             types = self.types[table]
             seen = df
-            if t.time_column and self.valid.task.time:
+            if time and self.valid.task.time:
                 last = self.rows.filter("split = 'train'").agg(F.max(self.valid.task.time)).scalar()
-                seen = df.filter(F.col(t.time_column) <= last)
+                seen = df.filter(F.col(time) <= last)
             words = {c: stats.vocabulary(seen, c) for c, k in types.items() if k == "categorical"}
-            self._encoded[table] = (encode_table(df, t.identity_key[0], types, words), t.identity_key[0])
+            self._encoded[table] = (cut(encode_table(df, key, types, words)), key)
         return self._encoded[table]
 
     def sample(self, epoch: int, split: str = "train") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -165,14 +181,13 @@ def plan_features(db: Database, valid: ValidatedTask, config: RunConfig) -> dict
     """A semantic type for each feature column: as configured, or inferred from a bounded sample; keys and hidden columns are none."""
     chosen = {(f.table, f.column): f.semantic_type for f in config.features}
     out: dict[str, dict[str, str]] = {}
-    for ref, t in db.schema.tables.items():
-        name = str(ref)
-        if not t.identity_key or name == valid.task.table:
+    for name in db.ids:
+        if name == valid.task.table:
             continue
-        columns = feature_columns(t, valid.hidden)
+        key, columns = db.id_of(name), db.feature_columns(name, valid.hidden)
         if unknown := [c for tab, c in chosen if tab == name and c not in columns]:
             raise SchemaError(f"{name}: {unknown} can't be features")
-        inferred = stats.infer_types(db[name].select(t.identity_key[0], *columns), key=t.identity_key[0])
+        inferred = stats.infer_types(db[name].select(key, *columns), key=key)
         types = {c: chosen.get((name, c), inferred[c]) for c in columns}
         out[name] = {c: k for c, k in types.items() if k in DEFAULTS}
     return out
@@ -186,9 +201,7 @@ def prepare(spark: SparkSession, config: RunConfig, *, check: bool = True) -> Pr
     rows = split_rows(db, config.task)
     if check:
         check_data(db, valid, rows)
-    data = {k: v for k, v in db.frames.items() if k != config.task.table}
-    schema = type(db.schema)({r: t for r, t in db.schema.tables.items() if str(r) != config.task.table})
-    own = Database(data, schema)
+    own = db.only(t for t in db.frames if t != config.task.table)
     return PreparedDataset(db, valid, rows, graph.nodes(own), graph.edges(own), plan_features(db, valid, config), config)
 
 

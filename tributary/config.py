@@ -1,55 +1,119 @@
-"""Run configuration from a mapping or a YAML file: sections are checked, unknown fields raise."""
+"""Run configuration from a mapping or a YAML file.
+
+``SECTIONS`` says of each section which fields it has, of what type and range, and
+what holds where they are not given.  ``read`` goes by that table alone; what
+concerns several fields together is in ``_agree``.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from tributary.schema import SchemaOverrides
+from tributary.schema import Keys, Link
 
+# Types of tasks and of columns.
 TASK_TYPES = ("regression", "binary_classification", "multiclass_classification", "multilabel_classification", "recommendation")
 SEMANTIC_TYPES = ("numerical", "categorical", "multicategorical", "timestamp", "text_embedded", "embedding")
 
+_NEEDED = object()
+
 
 class ConfigError(ValueError):
     pass
 
 
-def _fields(value: object, path: str, allowed: set[str], required: set[str] = frozenset()) -> dict:
+@dataclass(frozen=True)
+class Field:
+    """A field: its type, what holds without it, bounds (``low`` included, ``high`` not), choices, and whether it is a list."""
+
+    kind: type
+    default: object = _NEEDED
+    low: float | None = None
+    high: float | None = None
+    above: float | None = None
+    choices: tuple[str, ...] = ()
+    many: bool = False
+
+    def accepts(self, value: object) -> bool:
+        if self.kind is float:
+            fits = isinstance(value, (int, float)) and not isinstance(value, bool)
+        elif self.kind is int:
+            fits = isinstance(value, int) and not isinstance(value, bool)
+        elif self.kind is str:
+            fits = isinstance(value, str) and value.strip() != ""
+        else:
+            fits = isinstance(value, self.kind)
+        if not fits or self.choices and value not in self.choices:
+            return False
+        return not (self.low is not None and value < self.low or self.high is not None and value >= self.high or self.above is not None and value <= self.above)
+
+    def read(self, value: object, path: str) -> object:
+        if value is None and self.default is None:
+            return None
+        items = (list(value) if isinstance(value, (list, tuple)) else [value]) if self.many else [value]
+        if not items and self.default is _NEEDED or not all(map(self.accepts, items)):
+            limits = {k: v for k, v in (("from", self.low), ("above", self.above), ("below", self.high), ("of", self.choices)) if v not in (None, ())}
+            raise ConfigError(f"{path}: {value!r} is no {'list of ' * self.many}{self.kind.__name__} {limits or ''}")
+        items = [x.strip() if isinstance(x, str) else x for x in items]
+        return tuple(items) if self.many else items[0]
+
+
+_TEXT, _MAYBE = Field(str), Field(str, None)
+_NAMES = Field(str, many=True)
+_COUNT = Field(int, None, low=1)
+
+SECTIONS: dict[str, dict[str, Field]] = {
+    "config": {"database": Field(Mapping), "task": Field(Mapping), "schema": Field(Mapping, {}), "hidden_columns": Field((list, tuple), (), many=True), "features": Field(Mapping, (), many=True), "sampling": Field(Mapping, {}), "model": Field(Mapping, {}), "training": Field(Mapping, {}), "report": Field((str, Mapping), None)},
+    "database": {"url": _MAYBE, "url_env": _MAYBE, "path": _MAYBE, "reader": _MAYBE},
+    "schema": {"identity_keys": Field(Mapping, {}), "foreign_keys": Field(Mapping, (), many=True), "time_columns": Field(Mapping, {})},
+    "foreign_key": {"table": _TEXT, "columns": _NAMES, "target": _TEXT, "target_columns": Field(str, (), many=True)},
+    "task": {"name": _MAYBE, "table": _TEXT, "type": Field(str, choices=TASK_TYPES), "entity_table": _TEXT, "entity_columns": _NAMES, "target": _TEXT, "key": _NAMES, "time": _MAYBE, "destination_table": _MAYBE, "destination_columns": Field(str, (), many=True), "split": Field(Mapping, {})},
+    "split": {"type": Field(str, None, choices=("column", "sql_query", "default")), "column": _MAYBE, "values": Field(Mapping, {}), "queries": Field(Mapping, {}), "fraction": Field(float, 0.2, above=0, high=1), "seed": Field(int, 42, low=0)},
+    "feature": {"table": _TEXT, "column": _TEXT, "semantic_type": Field(str, choices=SEMANTIC_TYPES), "processor": _MAYBE, "params": Field(Mapping, {})},
+    "sampling": {"batch_size": Field(int, 512, low=1), "num_neighbors": Field(int, (128, 128), low=1, many=True), "epochs": Field(int, 1, low=1), "seed": Field(int, 42, low=0), "max_batches": _COUNT, "block_rows": Field(int, 4096, low=1)},
+    "model": {"channels": Field(int, 128, low=1), "layers": Field(int, 2, low=1), "aggregation": Field(str, "sum", choices=("sum", "mean", "max")), "dropout": Field(float, 0.0, low=0, high=1)},
+    "training": {"epochs": Field(int, 10, low=1), "learning_rate": Field(float, 0.005, above=0), "weight_decay": Field(float, 0.0, low=0), "patience": _COUNT, "seed": Field(int, 42, low=0)},
+    "report": {"path": _TEXT, "format": Field(str, "jsonl", choices=("jsonl", "csv"))},
+}
+
+
+def read(section: str, value: object, path: str | None = None) -> dict[str, object]:
+    """The fields of a section, checked, with defaults; fields it does not know and missing ones raise."""
+    path, fields = path or section, SECTIONS[section]
     if not isinstance(value, Mapping):
         raise ConfigError(f"{path}: a mapping is needed")
-    if unknown := sorted(set(value) - allowed):
-        raise ConfigError(f"{path}: unknown fields {unknown}")
-    if missing := sorted(required - set(value)):
-        raise ConfigError(f"{path}: missing fields {missing}")
-    return dict(value)
-
-
-def text(value: object, path: str) -> str:
-    if not isinstance(value, str) or not value.strip():
-        raise ConfigError(f"{path}: text is needed")
-    return value.strip()
-
-
-def whole(value: object, path: str, least: int = 0) -> int:
-    if isinstance(value, bool) or not isinstance(value, int) or value < least:
-        raise ConfigError(f"{path}: an integer of {least} or more is needed")
-    return value
-
-
-def fraction(value: object, path: str) -> float:
-    if isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 < value < 1:
-        raise ConfigError(f"{path}: a number between 0 and 1 is needed")
-    return float(value)
-
-
-def names(value: object, path: str) -> tuple[str, ...]:
-    items = [value] if isinstance(value, str) else value
-    if not isinstance(items, (list, tuple)) or not items:
-        raise ConfigError(f"{path}: names are needed")
-    return tuple(text(x, path) for x in items)
+    strange = sorted(set(value) - set(fields))
+    absent = [n for n, f in fields.items() if f.default is _NEEDED and n not in value]
+    if strange or absent:
+        raise ConfigError(f"{path}: unknown fields {strange}, missing fields {absent}")
+    out = {n: f.read(value[n], f"{path}.{n}") if n in value else f.default for n, f in fields.items()}
+    _agree(section, out, path)
+    return out
+
+
+def _agree(section: str, v: dict, path: str) -> None:
+    """What must hold between the fields of a section."""
+    wrong = None
+    if section == "database" and sum(v[k] is not None for k in ("url", "url_env", "path")) != 1:
+        wrong = "exactly one of url, url_env and path is needed"
+    elif section == "task" and (v["type"] == "recommendation") != (v["destination_table"] is not None):
+        wrong = "destination_table is for recommendation tasks, and only for those"
+    elif section == "split":
+        asked = set(v["queries"])
+        labels = [str(x) for x in v["values"].values()]
+        kind = "column" if v["column"] else "sql_query" if asked else "default"
+        if v["type"] not in (None, kind) or v["column"] and asked or bool(v["column"]) != bool(labels):
+            wrong = "give column and values, or queries, or neither"
+        elif len(set(labels)) < len(labels) or not all(Field(int).accepts(x) or Field(str).accepts(x) for x in v["values"].values()):
+            wrong = "values are texts or integers, each once"
+        elif asked and asked not in ({"test"}, {"train", "validation", "test"}) or not all(map(_TEXT.accepts, v["queries"].values())):
+            wrong = "queries are of test alone, or of train, validation and test"
+    if wrong:
+        raise ConfigError(f"{path}: {wrong}")
 
 
 @dataclass(frozen=True)
@@ -65,7 +129,7 @@ class SplitConfig:
     column: str | None = None
     values: Mapping[str, object] = field(default_factory=dict)
     queries: Mapping[str, str] = field(default_factory=dict)
-    fraction: float = 0.1
+    fraction: float = 0.2
     seed: int = 42
 
 
@@ -79,7 +143,9 @@ class TaskConfig:
     key: tuple[str, ...]
     time: str | None = None
     destination_table: str | None = None
+    destination_columns: tuple[str, ...] = ()
     split: SplitConfig = SplitConfig()
+    name: str | None = None
 
 
 @dataclass(frozen=True)
@@ -103,90 +169,56 @@ class SamplingConfig:
 
 @dataclass(frozen=True)
 class RunConfig:
+    """``model`` and ``training`` are for the trainer that takes the batches; nothing here reads them."""
+
     database: DatabaseConfig
-    schema: SchemaOverrides
+    schema: Keys
     hidden: tuple[tuple[str, str], ...]
     task: TaskConfig
     features: tuple[FeatureConfig, ...] = ()
     sampling: SamplingConfig = SamplingConfig()
-    report: str | None = None
-
-
-def parse_database(value: object, base: Path) -> DatabaseConfig:
-    v = _fields(value, "database", {"url", "url_env", "path", "reader"})
-    given = [k for k in ("url", "url_env", "path") if k in v]
-    if len(given) != 1:
-        raise ConfigError("database: exactly one of url, url_env and path is needed")
-    url = text(v[given[0]], f"database.{given[0]}")
-    if given[0] == "url_env":
-        if url not in os.environ:
-            raise ConfigError(f"database.url_env: {url} is not set")
-        url = os.environ[url]
-    if given[0] == "path" and "://" not in url and not os.path.isabs(url):
+    report: Mapping[str, object] | None = None
+    model: Mapping[str, object] = field(default_factory=dict)
+    training: Mapping[str, object] = field(default_factory=dict)
+
+
+def _database(v: dict, base: Path) -> DatabaseConfig:
+    url = v["url"] or v["path"]
+    if v["url_env"]:
+        url = os.environ.get(v["url_env"])
+        if not url:
+            raise ConfigError(f"database.url_env: {v['url_env']} is not set")
+    elif v["path"] and "://" not in url and not os.path.isabs(url):
         url = str(base / url)
-    return DatabaseConfig(url, text(v["reader"], "database.reader") if "reader" in v else None)
-
-
-def parse_schema(value: object) -> SchemaOverrides:
-    v = _fields(value, "schema", {"identity_keys", "foreign_keys", "time_columns"})
-    keys = {text(t, "schema.identity_keys"): names(k, f"schema.identity_keys.{t}") for t, k in v.get("identity_keys", {}).items()}
-    foreign = []
-    for i, item in enumerate(v.get("foreign_keys", [])):
-        at = f"schema.foreign_keys[{i}]"
-        f = _fields(item, at, {"table", "columns", "target", "target_columns"}, {"table", "columns", "target"})
-        foreign.append((text(f["table"], at), names(f["columns"], at), text(f["target"], at), names(f["target_columns"], at) if "target_columns" in f else ()))
-    return SchemaOverrides(keys, tuple(foreign), {t: text(c, "schema.time_columns") for t, c in v.get("time_columns", {}).items()})
-
-
-def parse_split(value: object) -> SplitConfig:
-    v = _fields(value, "task.split", {"column", "values", "queries", "fraction", "seed"})
-    if sum(k in v for k in ("column", "queries")) > 1 or ("values" in v) != ("column" in v):
-        raise ConfigError("task.split: give column and values, or queries, or neither")
-    values = dict(v.get("values", {}))
-    if len(set(map(str, values.values()))) != len(values) or any(isinstance(x, bool) or not isinstance(x, (str, int)) for x in values.values()):
-        raise ConfigError("task.split.values: different texts or integers are needed")
-    queries = {k: text(q, f"task.split.queries.{k}") for k, q in dict(v.get("queries", {})).items()}
-    if queries and ("test" not in queries or ("train" in queries) != ("validation" in queries) or set(queries) - {"train", "validation", "test"}):
-        raise ConfigError("task.split.queries: test is needed; train and validation come both or not at all")
-    return SplitConfig(v.get("column"), values, queries, fraction(v.get("fraction", 0.1), "task.split.fraction"), whole(v.get("seed", 42), "task.split.seed"))
-
-
-def parse_task(value: object) -> TaskConfig:
-    required = {"table", "type", "entity_table", "entity_columns", "target", "key"}
-    v = _fields(value, "task", required | {"time", "destination_table", "split"}, required)
-    kind = text(v["type"], "task.type")
-    if kind not in TASK_TYPES:
-        raise ConfigError(f"task.type: one of {TASK_TYPES} is needed")
-    if (kind == "recommendation") != ("destination_table" in v):
-        raise ConfigError("task.destination_table: for recommendation tasks, and only for those")
-    return TaskConfig(text(v["table"], "task.table"), kind, text(v["entity_table"], "task.entity_table"), names(v["entity_columns"], "task.entity_columns"), text(v["target"], "task.target"), names(v["key"], "task.key"), v.get("time"), v.get("destination_table"), parse_split(v.get("split", {})))
-
-
-def parse_features(value: object) -> tuple[FeatureConfig, ...]:
-    out: list[FeatureConfig] = []
-    for i, item in enumerate(value if isinstance(value, list) else []):
-        at = f"features[{i}]"
-        v = _fields(item, at, {"table", "column", "semantic_type", "processor", "params"}, {"table", "column", "semantic_type"})
-        if v["semantic_type"] not in SEMANTIC_TYPES:
-            raise ConfigError(f"{at}.semantic_type: one of {SEMANTIC_TYPES} is needed")
-        if any((f.table, f.column) == (v["table"], v["column"]) for f in out):
-            raise ConfigError(f"{at}: {v['table']}.{v['column']} comes twice")
-        out.append(FeatureConfig(**v))
-    return tuple(out)
-
-
-def parse_sampling(value: object) -> SamplingConfig:
-    v = _fields(value, "sampling", set(SamplingConfig.__dataclass_fields__))
-    fan = tuple(whole(x, "sampling.num_neighbors", 1) for x in v.pop("num_neighbors", SamplingConfig.num_neighbors))
-    return SamplingConfig(num_neighbors=fan, **{k: None if x is None else whole(x, f"sampling.{k}", 0 if k == "seed" else 1) for k, x in v.items()})
+    return DatabaseConfig(url, v["reader"])
+
+
+def _keys(v: dict) -> Keys:
+    links = []
+    for i, item in enumerate(v["foreign_keys"]):
+        x = read("foreign_key", item, f"schema.foreign_keys[{i}]")
+        links.append(Link(x["table"], x["columns"], x["target"], x["target_columns"]))
+    ids = {t: _NAMES.read(k, f"schema.identity_keys.{t}") for t, k in v["identity_keys"].items()}
+    return Keys(ids, tuple(links), {t: _TEXT.read(c, f"schema.time_columns.{t}") for t, c in v["time_columns"].items()})
 
 
 def parse_config(value: object, base: str | Path = ".") -> RunConfig:
-    v = _fields(value, "config", {"database", "schema", "hidden_columns", "task", "features", "sampling", "report"}, {"database", "task"})
-    hidden = tuple(tuple(names(p, "hidden_columns")) for p in v.get("hidden_columns", []))
+    v = read("config", value)
+    t = read("task", v["task"])
+    s = read("split", t.pop("split"), "task.split")
+    s.pop("type")
+    features = [FeatureConfig(**read("feature", item, f"features[{i}]")) for i, item in enumerate(v["features"])]
+    if len({(f.table, f.column) for f in features}) < len(features):
+        raise ConfigError("features: a column comes twice")
+    hidden = [_NAMES.read(p, "hidden_columns") for p in v["hidden_columns"]]
     if any(len(p) != 2 for p in hidden):
         raise ConfigError("hidden_columns: pairs of table and column are needed")
-    return RunConfig(parse_database(v["database"], Path(base)), parse_schema(v.get("schema", {})), hidden, parse_task(v["task"]), parse_features(v.get("features", [])), parse_sampling(v.get("sampling", {})), v.get("report"))
+    report = {"path": v["report"]} if isinstance(v["report"], str) else v["report"]
+    return RunConfig(
+        _database(read("database", v["database"]), Path(base)), _keys(read("schema", v["schema"])), tuple(hidden),
+        TaskConfig(task_type=t.pop("type"), split=SplitConfig(**s), **t), tuple(features), SamplingConfig(**read("sampling", v["sampling"])),
+        report and read("report", report), read("model", v["model"]), read("training", v["training"]),
+    )
 
 
 def load_config(path: str | Path) -> RunConfig:
@@ -197,7 +229,5 @@ def load_config(path: str | Path) -> RunConfig:
 
         value = yaml.safe_load(content)
     except ImportError:
-        import json
-
         value = json.loads(content)
     return parse_config(value, Path(path).parent)

@@ -68,9 +68,10 @@ def binary_label(c: Column | str, *, strict: bool = True) -> Column:
 
 
 def text_value(c: Column | str) -> Column:
-    """Text of a value: empty for null and NaN."""
-    x = col(c).cast("string")
-    return F.when(x.isNull() | (x == "NaN"), F.lit("")).otherwise(x)
+    """Text of a value: empty for null, and for a number that is none; the text NaN stays."""
+    x = col(c)
+    nan = F.typeof(x).isin("double", "float") & (x.cast("string") == "NaN")
+    return F.when(x.isNull() | nan, F.lit("")).otherwise(x.cast("string"))
 
 
 def slug(c: Column | str) -> Column:

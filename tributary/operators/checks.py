@@ -26,9 +26,9 @@ def safe_select(query: str) -> str:
 def violations(db: Database) -> DataFrame:
     """(child, fk, parent, n): rows of each foreign key whose parent is missing."""
     out = None
-    for child, fk in db.keys():
-        bad = orphans(db[child], list(fk.source_columns), db[str(fk.target_table)], list(fk.target_columns))
-        row = bad.agg(F.count("*").alias("n")).select(F.lit(child).alias("child"), F.lit("_".join(fk.source_columns)).alias("fk"), F.lit(str(fk.target_table)).alias("parent"), "n")
+    for x in db.links:
+        bad = orphans(db[x.child], list(x.columns), db[x.parent], list(x.key))
+        row = bad.agg(F.count("*").alias("n")).select(F.lit(x.child).alias("child"), F.lit(x.name).alias("fk"), F.lit(x.parent).alias("parent"), "n")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -51,8 +51,26 @@ def label_report(rows: DataFrame, label: str, split: str = "split") -> DataFrame
     return own.join(unseen, split, "left").select(F.col(split).alias("split"), "n", "n_labelled", "n_classes", F.coalesce("n_unseen", F.lit(0)).alias("n_unseen"))
 
 
+def check_entity(entity: DataFrame, key: list[str]) -> None:
+    """Raises where the entity table's own key has nulls or repeats."""
+    problem = key_problems(entity, key).first()
+    if problem["n_duplicate"] or problem["n_null"]:
+        raise TaskError(f"entity: {problem['n_duplicate']} keys repeat, {problem['n_null']} are null")
+
+
+def check_list_labels(rows: DataFrame, label: str, split: str = "split") -> None:
+    """Raises where lists of labels are missing, repeat an element or hold a null; test rows may have none."""
+    x = F.col(label)
+    bad = rows.filter(F.col(split) != "test").filter(x.isNull())
+    odd = rows.filter((F.size(F.array_distinct(x)) < F.size(x)) | F.exists(x, lambda e: e.isNull()))
+    if bad.limit(1).count() or odd.limit(1).count():
+        raise TaskError("a list of labels is missing, repeats an element or holds a null")
+
+
 def check_labels(rows: DataFrame, label: str, task_type: str, split: str = "split") -> None:
     """Raises where labels do not fit the type of task or the splits are not usable."""
+    if rows.schema[label].dataType.simpleString().startswith("array"):
+        return check_list_labels(rows, label, split)
     report = {r["split"]: r for r in label_report(rows, label, split).collect()}
     for name in ("train", "validation"):
         if name not in report or not report[name]["n_labelled"]:

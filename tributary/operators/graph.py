@@ -15,62 +15,55 @@ from pyspark.sql import functions as F
 
 from tributary.functions.scalars import seconds
 from tributary.operators.keys import before_cutoff, require_dense, resolve_dangling
-from tributary.schema import Database, ForeignKey, TableSchema
+from tributary.schema import Database, Link
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def relation(fk: ForeignKey, reverse: bool = False) -> str:
-    return f"{'rev_' if reverse else ''}f2p_{'_'.join(fk.source_columns)}"
+def relation(link: Link, reverse: bool = False) -> str:
+    return f"{'rev_' if reverse else ''}f2p_{link.name}"
 
 
-def _id(table: TableSchema) -> str:
-    if len(table.identity_key) != 1:
-        raise ValueError(f"{table.ref}: a node needs one id column; map its key or assign ids first")
-    return table.identity_key[0]
-
-
-def _time(table: TableSchema, at_seconds: bool):
-    if table.time_column is None:
+def _time(db: Database, table: str, at_seconds: bool):
+    time = db.times.get(table)
+    if time is None:
         return F.lit(None).cast("bigint" if at_seconds else "timestamp")
-    return seconds(table.time_column) if at_seconds else F.col(table.time_column).cast("timestamp")
+    return seconds(time) if at_seconds else F.col(time).cast("timestamp")
 
 
 def nodes(db: Database, *, cutoff=None, strict: bool = False, at_seconds: bool = True) -> DataFrame:
-    """Nodes of all tables with an identity key.  ``strict`` demands ids 0..N-1 after the cutoff."""
+    """Nodes of all tables with an id.  ``strict`` demands ids 0..N-1 after the cutoff."""
     parts = []
-    for ref, t in db.schema.tables.items():
-        if not t.identity_key:
-            continue
-        rows = before_cutoff(db[str(ref)], t.time_column, cutoff)
+    for table in db.ids:
+        rows, key = before_cutoff(db[table], db.times.get(table), cutoff), db.id_of(table)
         if strict:
-            require_dense(rows, _id(t), str(ref))
-        parts.append(rows.select(F.lit(str(ref)).alias("node_type"), F.col(_id(t)).cast("bigint").alias("node_id"), _time(t, at_seconds).alias("node_time")))
+            require_dense(rows, key, table)
+        parts.append(rows.select(F.lit(table).alias("node_type"), F.col(key).cast("bigint").alias("node_id"), _time(db, table, at_seconds).alias("node_time")))
     return union_all(parts)
 
 
-def key_edges(db: Database, child: str, fk: ForeignKey, *, cutoff=None, reverse: bool = False, on_dangling: str = "drop", at_seconds: bool = True) -> DataFrame:
-    """Edges of one foreign key, in one direction.  Rows with a null key give none."""
-    own, parent = db.schema.table(child), db.schema.table(fk.target_table)
-    key, target = fk.source_columns[0], fk.target_columns[0]
-    if len(fk.source_columns) > 1:
-        raise ValueError("map composite keys to one id first (see composite_edges)")
-    rows = before_cutoff(db[child], own.time_column, cutoff).filter(F.col(key).isNotNull())
-    others = before_cutoff(db[str(parent.ref)], parent.time_column, cutoff)
-    if reverse:
-        times = others.select(F.col(target).alias("__key"), _time(parent, at_seconds).alias("__time"))
-        rows = rows.join(times, rows[key] == times["__key"], "inner" if on_dangling == "drop" else "left")
-        types, ids, time = (str(parent.ref), child), (key, _id(own)), F.col("__time")
+def key_edges(db: Database, link: Link, *, cutoff=None, reverse: bool = False, on_dangling: str = "drop", at_seconds: bool = True) -> DataFrame:
+    """Edges of one link, in one direction.  Rows with a null in the key give none; a key of several columns goes by the parent's id."""
+    child, parent, own_id = link.child, link.parent, db.id_of(link.child)
+    rows = before_cutoff(db[child], db.times.get(child), cutoff).dropna(subset=list(link.columns))
+    others = before_cutoff(db[parent], db.times.get(parent), cutoff)
+    if reverse or len(link.columns) > 1:
+        parent_id = F.col(link.key[0] if len(link.key) == 1 else db.id_of(parent))
+        known = others.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(link.key)], parent_id.alias("__parent"), _time(db, parent, at_seconds).alias("__time"))
+        same = reduce(lambda a, b: a & b, [rows[c] == known[f"__k{i}"] for i, c in enumerate(link.columns)])
+        rows = rows.join(known, same, "inner" if on_dangling == "drop" else "left")
+        parent_id = F.col("__parent") if len(link.columns) > 1 else F.col(link.columns[0])
     else:
-        rows = resolve_dangling(rows, key, others, target, on_dangling)
-        types, ids, time = (child, str(parent.ref)), (_id(own), key), _time(own, at_seconds)
-    return rows.select(F.lit(relation(fk, reverse)).alias("edge_type"), F.lit(types[0]).alias("src_type"), F.lit(types[1]).alias("dst_type"), F.col(ids[0]).cast("bigint").alias("src_id"), F.col(ids[1]).cast("bigint").alias("dst_id"), time.alias("src_time"))
+        rows, parent_id = resolve_dangling(rows, link.columns[0], others, link.key[0], on_dangling), F.col(link.columns[0])
+    types, ids = ((parent, child), (parent_id, F.col(own_id))) if reverse else ((child, parent), (F.col(own_id), parent_id))
+    time = F.col("__time") if reverse else _time(db, child, at_seconds)
+    return rows.select(F.lit(relation(link, reverse)).alias("edge_type"), F.lit(types[0]).alias("src_type"), F.lit(types[1]).alias("dst_type"), ids[0].cast("bigint").alias("src_id"), ids[1].cast("bigint").alias("dst_id"), time.alias("src_time"))
 
 
 def edges(db: Database, *, cutoff=None, directions: tuple[bool, ...] = (False, True), on_dangling: str = "drop", at_seconds: bool = True) -> DataFrame:
-    return union_all([key_edges(db, child, fk, cutoff=cutoff, reverse=r, on_dangling=on_dangling, at_seconds=at_seconds) for child, fk in db.keys() for r in directions])
+    return union_all([key_edges(db, x, cutoff=cutoff, reverse=r, on_dangling=on_dangling, at_seconds=at_seconds) for x in db.links for r in directions])
 
 
 def composite_edges(child: DataFrame, child_id: str, columns: list[str], parent: DataFrame, parent_id: str, key: list[str]) -> DataFrame:
@@ -91,10 +84,21 @@ def in_degree(edge_rows: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select(F.col("node_id").cast("bigint").alias("node_id")).join(d, "node_id", "left").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def neighbour_rank(edge_rows: DataFrame) -> DataFrame:
-    """Edges with the place, from 0, of each source among the neighbours of its destination."""
-    by = Window.partitionBy("edge_type", "dst_id").orderBy(F.col("src_time").asc_nulls_first(), "src_id")
-    return edge_rows.withColumn("rank", (F.row_number().over(by) - 1).cast("bigint"))
+def neighbour_rank(edge_rows: DataFrame, block: int = 16 * 86400) -> DataFrame:
+    """Edges with the place, from 0, of each source among the neighbours of its destination.
+
+    Edges are ranked within a destination's spans of time; a span begins where the counts of
+    the earlier ones end, so a destination that much of a table points to is many tasks' work.
+    """
+    hub = ["edge_type", "dst_id"]
+    own = edge_rows.withColumn("__span", F.call_function("div", F.col("src_time"), F.lit(block)))
+    sizes = own.groupBy(*hub, "__span").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*hub).orderBy(F.col("__span").asc_nulls_first())) - F.col("__n")
+    first = sizes.select(*[F.col(c).alias(f"__{c}") for c in hub], F.col("__span").alias("__s"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*hub, "__span").orderBy(F.col("src_time").asc_nulls_first(), "src_id"))
+    same = (F.col("edge_type") == F.col("__edge_type")) & (F.col("dst_id") == F.col("__dst_id")) & F.col("__span").eqNullSafe(F.col("__s"))
+    ranked = own.withColumn("__inside", inside).join(first, same)
+    return ranked.select(*edge_rows.columns, (F.col("__before") + F.col("__inside") - 1).cast("bigint").alias("rank"))
 
 
 def pointers(degrees: DataFrame, block: int = 1 << 16) -> DataFrame:

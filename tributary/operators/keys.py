@@ -85,9 +85,10 @@ def resolve_dangling(child: DataFrame, column: str, parent: DataFrame, key: str,
         if bad := orphans(child, [column], parent, [key]).limit(1).count():
             raise KeyCheckError(f"{column}: {bad} or more rows without a parent")
         return child
-    known = parent.select(F.col(key).alias("__key")).distinct()
+    known = parent.select(F.col(key).alias("__key"))
     if on_dangling == "drop":
         return child.join(known, child[column] == known["__key"], "left_semi")
     if on_dangling != "null":
         raise ValueError("on_dangling is drop, null or error")
+    known = known.distinct()
     return child.join(known, child[column] == known["__key"], "left").withColumn(column, F.col("__key").cast(child.schema[column].dataType)).drop("__key")

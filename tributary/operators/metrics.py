@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators.stats import values_at
+
 
 def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("max"))
@@ -13,18 +15,10 @@ def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def nearest_rank(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Percentiles by nearest rank: the element at round((n - 1) q), halves to even.
 
-    The rank within a group comes from counts of equal values, so a group's rows are never gathered.
+    Ranks are found by counts (``values_at``), so no group is gathered or sorted whole.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy(value))
-    total = F.sum("__n").over(Window.partitionBy(*by))
-    ranked = counts.withColumns({"__upto": upto, "__total": total})
-
-    def at(q: float) -> Column:
-        rank = F.bround((F.col("__total") - 1) * F.lit(q), 0)
-        return F.min(F.when(F.col("__upto") > rank, F.col(value)))
-
-    return ranked.groupBy(*by).agg(*[at(q).alias(name) for name, q in shares.items()])
+    found = values_at(df, by, value, {name: (q, lambda n, q=q: F.bround((n - 1) * F.lit(q), 0)) for name, q in shares.items()})
+    return found.filter("n > 0").select(*by, *shares)
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -54,10 +48,11 @@ def paired_runs(left: DataFrame, right: DataFrame, key: list[str], value: str) -
     return a.join(b, key, "full_outer").withColumn("state", state)
 
 
-def heat(stats: DataFrame, requested: str = "requested", unique: str = "unique_rows") -> DataFrame:
-    """The kind of a table's traffic: few rows asked for often, a mixture, a stream, or too little to tell."""
-    factor = F.col(requested) / F.col(unique)
-    kind = F.when(F.col(requested) < 100, "warming").when(factor >= 4, "dimension-hot").when(factor >= 1.5, "mixed-hot").otherwise("streaming")
+def heat(stats: DataFrame, requests: str = "requests", hits: str = "hits", indexed: str = "indexed_rows", warm_rows: int = 100_000) -> DataFrame:
+    """The kind of a table's traffic, by the share of requests that met a row asked for before and by how many rows are known."""
+    rate = F.col(hits) / F.greatest(F.col(requests), F.lit(1))
+    small = F.col(indexed) <= warm_rows
+    kind = F.when((rate >= 0.2) & small, "dimension-hot").when(rate >= 0.05, "mixed-hot").when(F.col(indexed) >= warm_rows, "streaming").otherwise("warming")
     return stats.withColumn("heat", kind)
 
 

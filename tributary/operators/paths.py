@@ -11,7 +11,7 @@ from tributary.schema import Database
 def foreign_key_table(db: Database) -> DataFrame:
     """(child, fk, parent) of every foreign key, as a small DataFrame."""
     spark = next(iter(db.frames.values())).sparkSession
-    rows = [(child, "_".join(fk.source_columns), str(fk.target_table)) for child, fk in db.keys()]
+    rows = [(x.child, x.name, x.parent) for x in db.links]
     return spark.createDataFrame(rows, "child string, fk string, parent string")
 
 

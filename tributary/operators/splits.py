@@ -33,7 +33,7 @@ def _wanted(n: Column, fraction: float) -> Column:
     return F.greatest(F.lit(1), F.least(F.ceil(n * F.lit(fraction)).cast("bigint"), n - 1))
 
 
-def time_split(rows: DataFrame, time: str, *, label: str | None = None, fraction: float = 0.1, key: str | None = None) -> DataFrame:
+def time_split(rows: DataFrame, time: str, *, label: str | None = None, fraction: float = 0.2, key: str | None = None) -> DataFrame:
     """Rows without a label are test; of the others, the latest fraction is validation, ties with its first row included.
 
     The first validation time is read off counts by time, so nothing is sorted as a whole.
@@ -50,24 +50,25 @@ def time_split(rows: DataFrame, time: str, *, label: str | None = None, fraction
     return rows.withColumn("split", split)
 
 
-def hash_split(rows: DataFrame, key: list[str], *, label: str | None = None, fraction: float = 0.1, seed: int = 42, order: Column | None = None) -> DataFrame:
+def hash_split(rows: DataFrame, key: list[str], *, label: str | None = None, fraction: float = 0.2, seed: int = 42, order: Column | None = None) -> DataFrame:
     """Rows without a label are test; of the others, the first fraction in an order by hash is validation.
 
     Ranks come from counts by the first characters of the hash; rows are only ranked
-    within one of those.
+    within one of those.  Rows without a label are never ranked.
     """
-    labelled = F.lit(True) if label is None else F.col(label).isNotNull()
-    own = rows.withColumn("__h", order if order is not None else order_key(seed, *key)).withColumn("__b", F.when(labelled, F.substring("__h", 1, 3)).otherwise(F.lit("-")))
-    counts = own.filter("__b <> '-'").groupBy("__b").agg(F.count("*").alias("__n"))
+    own = rows if label is None else rows.filter(F.col(label).isNotNull())
+    own = own.withColumn("__h", order if order is not None else order_key(seed, *key)).withColumn("__b", F.substring("__h", 1, 4))
+    counts = own.groupBy("__b").agg(F.count("*").alias("__n"))
     before = counts.select(F.col("__b").alias("__k"), (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
     total = counts.agg(F.sum("__n")).scalar()
     inside = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *key))
-    ranked = own.withColumn("__i", inside).join(before, F.col("__b") == F.col("__k"), "left")
-    split = F.when(F.col("__b") == "-", TEST).when(F.col("__before") + F.col("__i") <= _wanted(total, fraction), VALIDATION).otherwise(TRAIN)
-    return ranked.withColumn("split", split).select(*rows.columns, "split")
+    ranked = own.withColumn("__i", inside).join(before, F.col("__b") == F.col("__k"))
+    split = F.when(F.col("__before") + F.col("__i") <= _wanted(total, fraction), VALIDATION).otherwise(TRAIN)
+    out = ranked.withColumn("split", split).select(*rows.columns, "split")
+    return out if label is None else out.unionByName(rows.filter(F.col(label).isNull()).withColumn("split", F.lit(TEST)))
 
 
-def default_split(rows: DataFrame, key: list[str], *, time: str | None = None, label: str | None = None, fraction: float = 0.1, seed: int = 42) -> DataFrame:
+def default_split(rows: DataFrame, key: list[str], *, time: str | None = None, label: str | None = None, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """By time where there is one, by hash otherwise.  Needs two labelled rows, and two times."""
     labelled = rows if label is None else rows.filter(F.col(label).isNotNull())
     if labelled.limit(2).count() < 2:
@@ -91,7 +92,7 @@ def query_keys(spark: SparkSession, query: str, key: list[str]) -> DataFrame:
     return found.select(*key)
 
 
-def query_split(rows: DataFrame, key: list[str], queries: Mapping[str, DataFrame], *, label: str | None = None, time: str | None = None, fraction: float = 0.1, seed: int = 42) -> DataFrame:
+def query_split(rows: DataFrame, key: list[str], queries: Mapping[str, DataFrame], *, label: str | None = None, time: str | None = None, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Splits by membership in the keys of queries: all three, or the test keys alone with the rest split by default."""
     if set(queries) == {TEST}:
         test = rows.join(queries[TEST], key, "left_semi").withColumn("split", F.lit(TEST))

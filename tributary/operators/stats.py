@@ -4,37 +4,80 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.scalars import number
+from tributary.operators.keys import assign_dense_ids
 
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
+#: Ranks are looked for between approximate quantiles this far on either side; each of those is
+#: off by a fifth of it at most, and groups of fewer than ``FEW`` values are looked through whole.
+_REACH, _ACCURACY, FEW = 5e-4, 10_000, 10_000
+
+
+def values_at(df: DataFrame, by: list[str], value: str, places: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
+    """(by, n, a column for each place): exactly the elements of given ranks among the values of each group.
+
+    A place is a share and the rank (from 0, of the group's n values) near that share.
+    A first aggregation brackets each rank by approximate quantiles; a second counts what lies
+    below the bracket, and the values inside, a thousandth of the rows.  No group is sorted or held whole.
+    """
+    shares = sorted({q for q, _ in places.values()})
+    ends = [min(max(q + d, 0.0), 1.0) for q in shares for d in (-_REACH, _REACH)]
+    first = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("__min"), F.max(value).alias("__max"), F.percentile_approx(value, ends, _ACCURACY).alias("__p"))
+    few = F.col("n") < FEW
+    brackets = F.array(*[F.struct(F.lit(q).alias("q"), F.when(few, F.col("__min")).otherwise(F.get("__p", F.lit(2 * i))).alias("low"), F.when(few, F.col("__max")).otherwise(F.get("__p", F.lit(2 * i + 1))).alias("high")) for i, q in enumerate(shares)])
+    first = first.withColumn("__b", brackets)
+    keys = first.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], "__b")
+    same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)], F.lit(True))
+    near = df.filter(F.col(value).isNotNull()).join(keys, same).select(*by, F.col(value).alias("v"), F.explode("__b").alias("b")).filter("v <= b.high")
+    inside = near.groupBy(*by, F.col("b.q").alias("q"), F.when(F.col("v") >= F.col("b.low"), F.col("v")).alias("v")).agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy(*by, "q").orderBy(F.col("v").asc_nulls_first()))
+    inside = inside.withColumn("upto", upto)
+    sizes = first.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], "n")
+    joined = sizes.join(inside, reduce(lambda x, y: x & y, [inside[c].eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)], F.lit(True)), "left")
+    picked = [F.min(F.when((F.col("q") == q) & (F.col("upto") > rank(F.col("n"))), F.col("v"))).alias(name) for name, (q, rank) in places.items()]
+    return joined.groupBy(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(by)], "n").agg(*picked)
+
+
 def numeric_stats(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
-    """(column, n, mean, std, q0, q25, q50, q75, q100) of the finite values of each column, in one aggregation.
+    """(column, n, mean, std, q0, q25, q50, q75, q100) of the finite values of each column, all columns together.
 
     The deviation is of the population, quantiles are exact and interpolated; a column
     without values has n 0 and nulls.
     """
-    group = group or []
-    parts = []
-    for c in columns:
-        x = number(c)
-        parts += [F.count(x).alias(f"{c}__n"), F.avg(x).alias(f"{c}__mean"), F.stddev_pop(x).alias(f"{c}__std"), F.percentile(x, F.array(*map(F.lit, QUANTILES))).alias(f"{c}__q")]
-    wide = df.groupBy(*group).agg(*parts)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("n"), F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"), F.col(f"{c}__q").alias("q")) for c in columns])
-    out = wide.select(*group, F.explode(rows).alias("r")).select(*group, "r.*")
-    return out.select(*group, "column", "n", "mean", "std", *[F.get(F.col("q"), F.lit(i)).alias(f"q{int(100 * q)}") for i, q in enumerate(QUANTILES)])
+    by = [*(group or []), "column"]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("x")) for c in columns])
+    long = df.select(*(group or []), F.explode(cells).alias("c")).select(*(group or []), "c.column", "c.x")
+    whole = long.groupBy(*by).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("q0"), F.max("x").alias("q100"))
+    places = {}
+    for q in QUANTILES[1:-1]:
+        places[f"low{q}"] = (q, lambda n, q=q: F.floor((n - 1) * q))
+        places[f"high{q}"] = (q, lambda n, q=q: F.ceil((n - 1) * q))
+    found = values_at(long, by, "x", places)
+    at = {}
+    for q in QUANTILES[1:-1]:
+        rest = (F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)
+        low, high = F.col(f"`low{q}`"), F.col(f"`high{q}`")
+        at[f"q{int(100 * q)}"] = F.when(low == high, low).otherwise((1 - rest) * low + rest * high)
+    named = found.select(*[F.col(c).alias(f"__{c}") for c in by], "n", *[x.alias(name) for name, x in at.items()])
+    out = whole.join(named, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]))
+    if not group:  # columns of a table without rows
+        out = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(out, "column", "left")
+    return out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "q0", *at, "q100")
 
 
 def vocabulary(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """(column, value, n, idx) of the values that are not null, by falling count, then by value."""
     n = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    idx = F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1
-    return n.select(F.lit(name or column).alias("column"), "value", "n", idx.cast("bigint").alias("idx"))
+    ranked = assign_dense_ids(n.withColumn("__less", -F.col("n")), ["__less", "value"], "idx")
+    return ranked.select(F.lit(name or column).alias("column"), "value", "n", F.col("idx").cast("bigint").alias("idx"))
 
 
 def element_vocabulary(df: DataFrame, column: str, separator: str | None = None) -> DataFrame:

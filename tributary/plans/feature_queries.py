@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tributary.functions import scalars, text
 from tributary.operators import checks, features, graph, metrics, processors, sampling, stats
 from tributary.plans.fixture import Registry, database, table
-from tributary.schema import feature_columns, hidden_columns
+from tributary.sources.catalog import Task
 
 REGISTRY = Registry()
 
@@ -121,9 +121,9 @@ def block_density_histogram(spark, sf_dir):
 def hidden_column_projection(spark, sf_dir):
     """Features of labelled documents without keys and without the columns their task hides."""
     db = database(spark, sf_dir, ["documents", "labels"])
-    hidden = hidden_columns({"kind": "autocomplete", "remove_columns": [["documents", "text"], ["documents", "source"]]}, entity_table="labels", target_column="quality")
-    docs = db["documents"].select("doc_id", *feature_columns(db.schema.table("documents"), hidden))
-    labels = db["labels"].select("doc_id", *feature_columns(db.schema.table("labels"), hidden))
+    task = Task("label", "labels", "binary_classification", "labels", "doc_id", "quality", extra={"kind": "autocomplete", "hidden_columns": [["documents", "text"], ["documents", "source"]]})
+    docs = db["documents"].select("doc_id", *db.feature_columns("documents", task.hides()))
+    labels = db["labels"].select("doc_id", *db.feature_columns("labels", task.hides()))
     return docs.join(labels, "doc_id")
 
 
@@ -258,12 +258,13 @@ def paired_runs(spark, sf_dir):
     return metrics.paired_runs(c.filter("c_mktsegment <> 'BUILDING'"), c.filter("v > 0"), ["k"], "v")
 
 
-@REGISTRY.add("""SELECT "table", requested, unique_rows, CASE WHEN requested < 100 THEN 'warming' WHEN requested / unique_rows >= 4 THEN 'dimension-hot' WHEN requested / unique_rows >= 1.5 THEN 'mixed-hot' ELSE 'streaming' END AS heat FROM (
-SELECT 'part' AS "table", count(*) AS requested, count(DISTINCT l_partkey) AS unique_rows FROM lineitem UNION ALL SELECT 'orders', count(*), count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'region', count(*), count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'events', count(*), count(DISTINCT event_id) FROM events)""")
+@REGISTRY.add("""SELECT "table", requests, hits, indexed_rows, CASE WHEN hits / requests >= 0.2 AND indexed_rows <= 1000 THEN 'dimension-hot' WHEN hits / requests >= 0.05 THEN 'mixed-hot' WHEN indexed_rows >= 1000 THEN 'streaming' ELSE 'warming' END AS heat FROM (
+SELECT "table", requests, requests - indexed_rows AS hits, indexed_rows FROM (
+SELECT 'part' AS "table", count(*) AS requests, count(DISTINCT l_partkey) AS indexed_rows FROM lineitem UNION ALL SELECT 'orders', count(*), count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'region', count(*), count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'events', count(*), count(DISTINCT event_id) FROM events))""")
 def table_heat_class(spark, sf_dir):
     asked = [("part", "lineitem", "l_partkey"), ("orders", "lineitem", "l_orderkey"), ("region", "nation", "n_regionkey"), ("events", "events", "event_id")]
-    rows = _union([table(spark, sf_dir, t).agg(F.count("*").alias("requested"), F.countDistinct(k).alias("unique_rows")).select(F.lit(n).alias("table"), "requested", "unique_rows") for n, t, k in asked])
-    return metrics.heat(rows)
+    rows = _union([table(spark, sf_dir, t).agg(F.count("*").alias("requests"), F.countDistinct(k).alias("indexed_rows")).select(F.lit(n).alias("table"), "requests", (F.col("requests") - F.col("indexed_rows")).alias("hits"), "indexed_rows") for n, t, k in asked])
+    return metrics.heat(rows, warm_rows=1000)
 
 
 @REGISTRY.add("SELECT event_id, value FROM events ORDER BY md5(concat_ws('|', '42', CAST(event_id AS string))), event_id LIMIT 100")

@@ -8,22 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators.keys import assign_dense_ids
-from tributary.schema import Database, SchemaOverrides, discover_schema
-
-OVERRIDES = SchemaOverrides(
-    identity_keys={"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",), "lineitem": ("line_id",), "events": ("event_id",), "documents": ("doc_id",), "labels": ("doc_id",)},
-    foreign_keys=(
-        ("nation", ("n_regionkey",), "region", ("r_regionkey",)),
-        ("customer", ("c_nationkey",), "nation", ("n_nationkey",)),
-        ("supplier", ("s_nationkey",), "nation", ("n_nationkey",)),
-        ("orders", ("o_custkey",), "customer", ("c_custkey",)),
-        ("lineitem", ("l_orderkey",), "orders", ("o_orderkey",)),
-        ("lineitem", ("l_partkey",), "part", ("p_partkey",)),
-        ("lineitem", ("l_suppkey",), "supplier", ("s_suppkey",)),
-        ("events", ("user_id",), "customer", ("c_custkey",)),
-        ("labels", ("doc_id",), "documents", ("doc_id",)),
+from tributary.schema import Database, Keys, Link
+
+KEYS = Keys(
+    ids={"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",), "lineitem": ("line_id",), "events": ("event_id",), "documents": ("doc_id",), "labels": ("doc_id",)},
+    links=(
+        Link("nation", ("n_regionkey",), "region"),
+        Link("customer", ("c_nationkey",), "nation"),
+        Link("supplier", ("s_nationkey",), "nation"),
+        Link("orders", ("o_custkey",), "customer"),
+        Link("lineitem", ("l_orderkey",), "orders"),
+        Link("lineitem", ("l_partkey",), "part"),
+        Link("lineitem", ("l_suppkey",), "supplier"),
+        Link("events", ("user_id",), "customer"),
+        Link("labels", ("doc_id",), "documents"),
     ),
-    time_columns={"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"},
+    times={"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"},
 )
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 LINE_ID_SQL = f"row_number() OVER (ORDER BY {', '.join(LINE_ORDER)}) - 1"
@@ -39,12 +39,7 @@ def database(spark: SparkSession, sf_dir: str, names: list[str], dense: bool = T
     if "lineitem" in frames:
         lines = frames["lineitem"]
         frames["lineitem"] = assign_dense_ids(lines, LINE_ORDER, "line_id") if dense else lines.withColumn("line_id", F.monotonically_increasing_id())
-    own = SchemaOverrides(
-        {t: k for t, k in OVERRIDES.identity_keys.items() if t in names},
-        tuple(f for f in OVERRIDES.foreign_keys if f[0] in names and f[2] in names),
-        {t: c for t, c in OVERRIDES.time_columns.items() if t in names},
-    )
-    return Database(frames, discover_schema(frames, overrides=own))
+    return Database(frames, KEYS.within(names))
 
 
 Query = Callable[[SparkSession, str], DataFrame]

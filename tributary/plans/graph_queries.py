@@ -136,8 +136,7 @@ _ORDERS = "SELECT o_custkey AS dst_id, count(*) AS d FROM orders GROUP BY 1"
 @REGISTRY.add(f"SELECT c_custkey AS node_id, coalesce(d, 0) AS degree FROM customer LEFT JOIN ({_ORDERS}) ON dst_id = c_custkey")
 def in_degree(spark, sf_dir):
     db = database(spark, sf_dir, ["customer", "orders"])
-    child, fk = db.keys()[0]
-    return graph.in_degree(graph.key_edges(db, child, fk), db["customer"].select(F.col("c_custkey").alias("node_id")))
+    return graph.in_degree(graph.key_edges(db, db.links[0]), db["customer"].select(F.col("c_custkey").alias("node_id")))
 
 
 @REGISTRY.add(f"""SELECT node_id, CAST(sum(degree) OVER (ORDER BY node_id) - degree AS BIGINT) AS start, CAST(sum(degree) OVER (ORDER BY node_id) AS BIGINT) AS "end"
@@ -149,8 +148,7 @@ def csc_pointer(spark, sf_dir):
 @REGISTRY.add("SELECT o_orderkey AS src_id, o_custkey AS dst_id, epoch_us(o_orderdate) // 1000000 AS src_time, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS rank FROM orders")
 def neighbor_rank_by_time(spark, sf_dir):
     db = database(spark, sf_dir, ["customer", "orders"])
-    child, fk = db.keys()[0]
-    return graph.neighbour_rank(graph.key_edges(db, child, fk)).select("src_id", "dst_id", "src_time", "rank")
+    return graph.neighbour_rank(graph.key_edges(db, db.links[0])).select("src_id", "dst_id", "src_time", "rank")
 
 
 @REGISTRY.add(f"""SELECT 'drop' AS mode, count(*) AS n, count(l_orderkey) AS n_set FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '{CUTOFF}')

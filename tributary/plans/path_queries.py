@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tributary.operators import graph, paths, sampling
-from tributary.plans.fixture import OVERRIDES, Registry, database, table
+from tributary.plans.fixture import KEYS, Registry, database, table
 from tributary.session import cut
 from tributary.sources import artifacts
 from tributary.streaming import windows
 
 REGISTRY = Registry()
 
-_KEY_ROWS = ", ".join(f"('{c}', '{k[0]}', '{p}')" for c, k, p, _ in OVERRIDES.foreign_keys)
+_KEY_ROWS = ", ".join(f"('{x.child}', '{x.name}', '{x.parent}')" for x in KEYS.links)
 
 
 @REGISTRY.add(f"""WITH k AS (SELECT *, count(*) OVER (PARTITION BY child) AS n FROM (VALUES {_KEY_ROWS}) AS v(child, fk, parent))
@@ -20,7 +20,7 @@ SELECT 'dim-dim' AS kind, child AS source, CAST(NULL AS VARCHAR) AS middle, pare
 UNION ALL SELECT 'dim-dim', parent, NULL, child, 'rev_' || fk, NULL FROM k WHERE n = 1
 UNION ALL SELECT 'dim-fact-dim', a.parent, a.child, b.parent, a.fk, b.fk FROM k a JOIN k b ON a.child = b.child AND a.fk <> b.fk WHERE a.n > 1""")
 def atomic_routes(spark, sf_dir):
-    rows = [(c, k[0], p) for c, k, p, _ in OVERRIDES.foreign_keys]
+    rows = [(x.child, x.name, x.parent) for x in KEYS.links]
     return paths.atomic_routes(spark.createDataFrame(rows, "child string, fk string, parent string"))
 
 
@@ -28,7 +28,7 @@ def atomic_routes(spark, sf_dir):
 def metapath_mean_two_hop(spark, sf_dir):
     """Mean order value of customers, and its mean over the customers of each nation."""
     db = database(spark, sf_dir, ["nation", "customer", "orders"])
-    links = {child: graph.key_edges(db, child, fk).select("src_id", "dst_id") for child, fk in db.keys()}
+    links = {x.child: graph.key_edges(db, x).select("src_id", "dst_id") for x in db.links}
     values = db["orders"].select(F.col("o_orderkey").alias("node_id"), F.col("o_totalprice").alias("value"))
     return paths.metapath(values, [links["orders"], links["customer"]]).select("node_id", F.round("value", 6).alias("value"))
 

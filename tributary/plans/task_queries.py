@@ -47,12 +47,12 @@ def null_keys(spark, sf_dir):
     return _union([keys.null_keys(table(spark, sf_dir, t), [k]).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), F.lit(k).alias("key"), "n") for t, k in _NULLS.items()])
 
 
-@REGISTRY.add("""SELECT event_id, ts, CASE WHEN ts >= (SELECT min(ts) FROM (SELECT ts FROM events ORDER BY ts DESC, event_id LIMIT (SELECT greatest(1, least(CAST(ceil(count(*) * 0.1) AS BIGINT), count(*) - 1)) FROM events))) THEN 'validation' ELSE 'train' END AS split FROM events""")
+@REGISTRY.add("""SELECT event_id, ts, CASE WHEN ts >= (SELECT min(ts) FROM (SELECT ts FROM events ORDER BY ts DESC, event_id LIMIT (SELECT greatest(1, least(CAST(ceil(count(*) * 0.2) AS BIGINT), count(*) - 1)) FROM events))) THEN 'validation' ELSE 'train' END AS split FROM events""")
 def default_time_split(spark, sf_dir):
     return splits.default_split(table(spark, sf_dir, "events").select("event_id", "ts"), ["event_id"], time="ts")
 
 
-_HASH_SPLIT = """SELECT doc_id, {cols} CASE WHEN quality IS NULL THEN 'test' WHEN row_number() OVER (PARTITION BY quality IS NULL ORDER BY md5(concat_ws('|', '42', CAST(doc_id AS string))), doc_id) <= (SELECT greatest(1, least(CAST(ceil(count(quality) * 0.1) AS BIGINT), count(quality) - 1)) FROM {t}) THEN 'validation' ELSE 'train' END AS split FROM {t}"""
+_HASH_SPLIT = """SELECT doc_id, {cols} CASE WHEN quality IS NULL THEN 'test' WHEN row_number() OVER (PARTITION BY quality IS NULL ORDER BY md5(concat_ws('|', '42', CAST(doc_id AS string))), doc_id) <= (SELECT greatest(1, least(CAST(ceil(count(quality) * 0.2) AS BIGINT), count(quality) - 1)) FROM {t}) THEN 'validation' ELSE 'train' END AS split FROM {t}"""
 
 
 @REGISTRY.add(_HASH_SPLIT.format(cols="quality,", t="labels"))

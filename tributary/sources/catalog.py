@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from tributary.functions.scalars import encoding_of
 from tributary.operators.checks import violations
 from tributary.operators.keys import NODE_ID, assign_dense_ids
-from tributary.schema import Database, DatabaseSchema, SchemaError, SchemaOverrides, TableRef, TableSchema, apply_overrides, reflect
+from tributary.schema import Database, Keys, Link, SchemaError
 from tributary.sources.readers import exists, listing
 
 VERSION = "1"
 RESERVED = ("_catalog_metadata", "_catalog_tables", "_catalog_columns", "_catalog_foreign_keys", "_catalog_tasks")
 ROW_ID = "__target_row_id__"
 
+# Catalogued tasks (kind, name, entity, target) whose entity holds the target though the catalogue does not hide it.
+TARGETS_LEFT_IN = {("external", "beer_ratings-total_score", "beer_ratings", "total_score")}
+
 
 @dataclass(frozen=True)
 class Task:
@@ -35,6 +38,19 @@ class Task:
     split_column: str = "split"
     extra: Mapping[str, object] = field(default_factory=dict)
 
+    def hides(self) -> list[tuple[str, str]]:
+        """(table, column) of all that no feature may come from: what the catalogue lists, and the
+        target where the entity itself has it."""
+        listed = self.extra.get("hidden_columns") or ()
+        if not isinstance(listed, (list, tuple)) or not all(isinstance(p, (list, tuple)) and len(p) == 2 for p in listed):
+            raise TypeError(f"task {self.name}: hidden_columns lists pairs of table and column")
+        kind, own = self.extra.get("kind"), (self.entity_table, self.target_column)
+        if kind != "autocomplete" and (kind, self.name, *own) not in TARGETS_LEFT_IN:
+            own = ()
+        elif not all(own):
+            raise ValueError(f"task {self.name}: predicting a column of the entity takes both names")
+        return sorted({(str(t), str(c)) for t, c in listed} | ({own} if own else set()))
+
 
 @dataclass
 class Dataset:
@@ -51,9 +67,6 @@ class Dataset:
             raise SchemaError(f"reserved table names {bad}")
         if repeated := sorted({n for n in names if names.count(n) > 1}):
             raise SchemaError(f"table names repeat: {repeated}")
-        for name, frame in self.database.frames.items():
-            if tuple(frame.columns) != self.database.schema.table(name).names:
-                raise SchemaError(f"{name}: columns differ from the schema")
         for t in self.tasks.values():
             if t.table not in self.task_frames:
                 raise SchemaError(f"task {t.name}: no table {t.table}")
@@ -77,25 +90,21 @@ def union_splits(splits: Mapping[str, DataFrame], order: Sequence[str] | None =
 
 
 def with_ids(db: Database) -> Database:
-    """Tables without an identity key get dense ids."""
-    frames, tables = dict(db.frames), dict(db.schema.tables)
-    for ref, t in db.schema.tables.items():
-        if not t.identity_key:
-            frames[str(ref)] = assign_dense_ids(db[str(ref)])
-            own = reflect(ref, frames[str(ref)])
-            tables[ref] = TableSchema(ref, own.columns, (NODE_ID,), t.foreign_keys, (NODE_ID,), t.time_column)
-    return Database(frames, DatabaseSchema(tables))
+    """Tables without an id get dense ones."""
+    bare = [t for t in db.frames if t not in db.ids]
+    frames = db.frames | {t: assign_dense_ids(db[t]) for t in bare}
+    return Database(frames, Keys(db.ids | {t: (NODE_ID,) for t in bare}, db.links, db.times))
 
 
 def _rows(spark: SparkSession, dataset: Dataset) -> dict[str, DataFrame]:
     """The five tables of the catalogue."""
     db = dataset.database
     tables, columns, keys = [], [], []
-    for ref, t in db.schema.tables.items():
-        tables.append((str(ref), "data", None, None, json.dumps(t.primary_key), json.dumps(t.identity_key), t.time_column))
-        kinds = dict(db[str(ref)].dtypes)
-        columns += [(str(ref), c.name, c.ordinal, c.raw_sql_type, c.nullable, encoding_of(kinds[c.name])) for c in t.columns]
-        keys += [(str(ref), i, json.dumps(k.source_columns), str(k.target_table), json.dumps(k.target_columns)) for i, k in enumerate(t.foreign_keys)]
+    for name, df in db.frames.items():
+        key = json.dumps(db.ids.get(name, ()))
+        tables.append((name, "data", None, None, key, key, db.times.get(name)))
+        columns += [(name, f.name, i, f.dataType.simpleString(), f.nullable, encoding_of(f.dataType.simpleString())) for i, f in enumerate(df.schema.fields)]
+        keys += [(name, i, json.dumps(x.columns), x.parent, json.dumps(x.key)) for i, x in enumerate(x for x in db.links if x.child == name)]
     for t in dataset.tasks.values():
         tables.append((t.table, "task", t.name, t.split_column, "[]", "[]", t.time_column))
         columns += [(t.table, f.name, i, f.dataType.simpleString(), f.nullable, encoding_of(f.dataType.simpleString())) for i, f in enumerate(dataset.task_frames[t.table].schema.fields)]
@@ -116,7 +125,7 @@ def write_dataset(dataset: Dataset, path: str, *, overwrite: bool = False, check
     spark = next(iter(db.frames.values())).sparkSession
     if exists(spark, path) and not overwrite:
         raise FileExistsError(path)
-    if check_keys and db.keys() and (bad := violations(db).filter("n > 0").collect()):
+    if check_keys and db.links and (bad := violations(db).filter("n > 0").collect()):
         raise SchemaError("; ".join(f"{r['child']}.{r['fk']}: {r['n']} rows without {r['parent']}" for r in bad))
     whole = Dataset(db, dataset.tasks, dataset.task_frames, dataset.metadata)
     for name, df in (db.frames | dataset.task_frames | _rows(spark, whole)).items():
@@ -146,11 +155,10 @@ class DatasetReader:
     def database(self) -> Database:
         rows = [r for r in self._catalog(1) if r["kind"] == "data"]
         frames = {r["name"]: self.table(r["name"]) for r in rows}
-        schema = DatabaseSchema({TableRef.of(n): reflect(TableRef.of(n), df) for n, df in frames.items()})
-        keys = {r["name"]: tuple(json.loads(r["identity_key"])) for r in rows if json.loads(r["identity_key"])}
-        foreign = tuple((r["table"], tuple(json.loads(r["columns"])), r["target"], tuple(json.loads(r["target_columns"]))) for r in sorted(self._catalog(3), key=lambda r: (r["table"], r["ordinal"])))
-        times = {r["name"]: r["time_column"] for r in rows if r["time_column"]}
-        return Database(frames, apply_overrides(schema, SchemaOverrides(keys, foreign, times)))
+        ids = {r["name"]: tuple(json.loads(r["identity_key"])) for r in rows if json.loads(r["identity_key"])}
+        links = sorted(self._catalog(3), key=lambda r: (r["table"], r["ordinal"]))
+        links = tuple(Link(r["table"], tuple(json.loads(r["columns"])), r["target"], tuple(json.loads(r["target_columns"]))) for r in links)
+        return Database(frames, Keys(ids, links, {r["name"]: r["time_column"] for r in rows if r["time_column"]}))
 
     def tasks(self) -> dict[str, Task]:
         return {r["name"]: Task(*[r[c] for c in ("name", "table", "task_type", "entity_table", "entity_column", "target_column", "time_column", "destination_table", "split_column")], json.loads(r["extra"])) for r in self._catalog(4)}
