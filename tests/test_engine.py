@@ -246,6 +246,43 @@ def test_dataset_round_trip(spark, tmp_path):
         catalog.Dataset(Database({"_catalog_tables": shops}))
 
 
+def test_dataset_from_a_folder(spark, tmp_path):
+    spark.createDataFrame([(0, "x"), (1, "y")], "shop_id long, town string").write.parquet(str(tmp_path / "db" / "shops.parquet"))
+    for split, rows in {"train": [(0, 1.0)], "val": [(1, 0.5)]}.items():
+        spark.createDataFrame(rows, "shop_id long, stars double").write.parquet(str(tmp_path / "tasks" / "rate" / f"{split}.parquet"))
+    task = catalog.Task("rate", "", "regression", "shops", "shop_id", "stars")
+    data = catalog.load_folder(spark, str(tmp_path), Keys({"shops": ("shop_id",)}), {"rate": task}, test_timestamp="2024-05-01")
+    assert data.tasks["rate"].table == "target_table" and data.metadata == {"test_timestamp": "2024-05-01"}
+    assert {(r["shop_id"], r["split"]) for r in data.task_frames["target_table"].collect()} == {(0, "train"), (1, "val")}
+    target = str(tmp_path / "kept")
+    catalog.materialize_all(spark, {"a": lambda: data}, target)
+    assert catalog.materialize_all(spark, {"a": lambda: 1 / 0}, target) == {}  # already there
+    assert "division" in catalog.materialize_all(spark, {"b": lambda: 1 / 0}, target)["b"]
+    catalog.write_dataset(data, f"{target}/a", overwrite=True)
+    assert sorted(catalog.DatasetReader(spark, f"{target}/a").task_splits("rate")) == ["train", "val"]
+    spark.createDataFrame([("version", "0")], "key string, value string").write.mode("overwrite").parquet(f"{target}/a/{catalog.RESERVED[0]}.parquet")
+    with pytest.raises(SchemaError):
+        catalog.DatasetReader(spark, f"{target}/a")
+
+
+def test_entity_and_list_checks(spark):
+    make = lambda rows, kind: spark.createDataFrame(rows, kind)
+    checks.check_entity(make([(1,), (2,)], "k int"), ["k"])
+    for rows in ([(1,), (1,)], [(1,), (None,)]):
+        with pytest.raises(checks.TaskError):
+            checks.check_entity(make(rows, "k int"), ["k"])
+    kind = "split string, y array<int>"
+    checks.check_labels(make([("train", [1, 2]), ("validation", []), ("test", None)], kind), "y", "multilabel_classification")
+    for rows in ([("train", [1, 1])], [("train", None)], [("train", [1, None])]):
+        with pytest.raises(checks.TaskError):
+            checks.check_labels(make(rows, kind), "y", "recommendation")
+
+
+def test_text_of_values(spark):
+    df = spark.createDataFrame([("NaN", math.nan), (None, None), ("x", 1.5)], "s string, d double")
+    assert [tuple(r) for r in df.select(scalars.text_value("s"), scalars.text_value("d")).collect()] == [("NaN", ""), ("", ""), ("x", "1.5")]
+
+
 def test_reader(spark, tmp_path):
     large = 2**59 + 3
     spark.createDataFrame([(7, None), (8, large), (9, 8), (10, -large)], "id long, above long").write.parquet(str(tmp_path / "tree.parquet"))

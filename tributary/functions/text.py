@@ -57,6 +57,24 @@ def embed_column(df: DataFrame, column: str, embedder: Embedder, name: str = "em
     return df.withColumn("text_sha256", F.sha2(text_value(column), 256)).join(vectors, "text_sha256").drop("text_sha256")
 
 
+def pool_vectors(df: DataFrame, column: str, vectors: DataFrame, *, word: str = "word", vector: str = "vector", dim: int, name: str = "embedding") -> DataFrame:
+    """``df`` with the mean of its words' vectors, looked up in a table (word, vector); words it lacks don't
+    count, and a text without known words has zeros.  Equal texts are pooled once.
+
+    Words meet their vectors in a join, so the table may be of any size; sums are kept by
+    text and dimension, so no text's vectors are gathered.
+    """
+    distinct = text_cache_misses(df, column, None)
+    words = distinct.select("text_sha256", F.explode(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+', 0)")).alias("__w"))
+    times = words.groupBy("text_sha256", "__w").agg(F.count("*").alias("__n"))
+    met = times.join(vectors.select(F.col(word).alias("__w"), F.col(vector).alias("__v")), "__w")
+    parts = met.select("text_sha256", "__n", F.posexplode("__v").alias("__i", "__x")).groupBy("text_sha256", "__i").agg((F.sum(F.col("__n") * F.col("__x")) / F.sum("__n")).alias("__x"))
+    pooled = parts.groupBy("text_sha256").agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__x"))), lambda e: e["__x"].cast("float")).alias(name))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    own = df.withColumn("text_sha256", F.sha2(text_value(column), 256)).join(pooled, "text_sha256", "left")
+    return own.withColumn(name, F.coalesce(name, zeros)).drop("text_sha256")
+
+
 def refresh_cache(df: DataFrame, column: str, cache_path: str, embedder: Embedder, namespace: str) -> DataFrame:
     """Vectors of all texts of a column, those not yet in the Parquet cache (a folder for each namespace) computed and appended."""
     spark = df.sparkSession

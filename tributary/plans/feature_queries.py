@@ -197,12 +197,12 @@ def table_encode(spark, sf_dir):
 
 
 @REGISTRY.add("""WITH r AS (SELECT c_custkey AS tree_id, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY md5(concat_ws('|', '42', '1', CAST(c_custkey AS string), 'f2p_o_custkey', CAST(c_custkey AS string), CAST(o_orderkey AS string))), o_orderkey) AS rk
- FROM customer JOIN orders ON o_custkey = c_custkey)
+ FROM customer JOIN orders ON o_custkey = c_custkey WHERE epoch_us(o_orderdate) // 1000000 <= 893462400)
 SELECT tree_id, o_orderkey AS node_id, round(o_totalprice, 4) AS price FROM r JOIN orders USING (o_orderkey) WHERE rk <= 2""")
 def assemble_batch(spark, sf_dir):
     """Sampled nodes with their encoded features."""
     db = database(spark, sf_dir, ["customer", "orders"])
-    seeds = db["customer"].select(F.col("c_custkey").alias("tree_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"), F.lit(4000000000).alias("seed_time"))
+    seeds = db["customer"].select(F.col("c_custkey").alias("tree_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"), F.lit(893462400).alias("seed_time"))
     nodes, _ = sampling.khop(seeds, graph.edges(db, directions=(False,)), [2])
     encoded = features.encode_table(db["orders"], "o_orderkey", {"o_totalprice": "numerical"})
     return features.attach(nodes, {"orders": (encoded, "o_orderkey")})["orders"].select("tree_id", "node_id", F.round(F.col("numerical")[0], 4).alias("price"))
@@ -276,3 +276,18 @@ def uniform_sample(spark, sf_dir):
 def epoch_wall_clock(spark, sf_dir):
     days = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), scalars.seconds(F.max("ts")).alias("last"))
     return metrics.gaps(days, "day", "last").select("day", "n", "elapsed")
+
+
+_POOLED = "SELECT word, list_transform(range(8), lambda i: ((ascii(word) + length(word) * (i + 1)) % 17) / 4.0) AS vector FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) <= 6"
+
+
+@REGISTRY.add(f"""WITH v AS ({_POOLED}), d AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS word FROM documents),
+m AS (SELECT doc_id, i, avg(vector[i]) AS x FROM (SELECT doc_id, vector, unnest(range(1, 9)) AS i FROM d JOIN v USING (word)) GROUP BY doc_id, i)
+SELECT doc_id, k - 1 AS i, round(CAST(CAST(coalesce(x, 0) AS FLOAT) AS DOUBLE), 4) AS x FROM (SELECT doc_id, unnest(range(1, 9)) AS k FROM documents) LEFT JOIN m USING (doc_id) WHERE m.i = k OR m.i IS NULL""")
+def text_pooled_word_vectors(spark, sf_dir):
+    """Mean of the vectors of a text's words, from a table of word vectors (made up from the words here)."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)")).alias("word")).filter("length(word) <= 6").distinct()
+    vectors = words.withColumn("vector", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: ((F.ascii("word") + F.length("word") * i) % 17) / 4.0))
+    out = text.pool_vectors(docs.select("doc_id", "text"), "text", vectors, dim=8)
+    return out.select("doc_id", F.posexplode("embedding").alias("i", "x")).select("doc_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 4).alias("x"))

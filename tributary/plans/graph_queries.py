@@ -166,14 +166,14 @@ def dangling_fk_after_cutoff(spark, sf_dir):
 
 
 @REGISTRY.add("""
-WITH s AS (SELECT c_custkey AS tree_id, c_custkey AS node_id, 880000000 AS seed_time FROM customer),
+WITH s AS (SELECT c_custkey AS tree_id, c_custkey AS node_id, 1705363200 AS seed_time FROM customer),
 r AS (SELECT tree_id, event_id AS src_id, node_id AS dst_id, row_number() OVER (PARTITION BY tree_id ORDER BY md5(concat_ws('|', '42', '1', CAST(tree_id AS string), 'f2p_user_id', CAST(node_id AS string), CAST(event_id AS string))), event_id) AS rk
-      FROM s JOIN events ON user_id = node_id WHERE epoch_us(ts) // 1000000 <= 4000000000)
+      FROM s JOIN events ON user_id = node_id WHERE epoch_us(ts) // 1000000 <= 1705363200)
 SELECT CAST(tree_id AS BIGINT) AS tree_id, 'f2p_user_id' AS edge_type, src_id, CAST(dst_id AS BIGINT) AS dst_id, 1 AS hop FROM r WHERE rk <= 3""")
 def sample_one_hop_temporal(spark, sf_dir):
     """Up to three events of each customer."""
     db = database(spark, sf_dir, ["customer", "events"])
-    seeds = db["customer"].select(F.col("c_custkey").alias("tree_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"), F.lit(4000000000).alias("seed_time"))
+    seeds = db["customer"].select(F.col("c_custkey").alias("tree_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"), F.lit(1705363200).alias("seed_time"))  # the middle of the events
     return sampling.khop(seeds, graph.edges(db, directions=(False,)), [3])[1]
 
 

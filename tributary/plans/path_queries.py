@@ -60,13 +60,13 @@ def embedding_neighbor_mean(spark, sf_dir):
     return paths.vector_mean(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("value", F.round("value", 6))
 
 
-@REGISTRY.add("SELECT CAST(3 AS BIGINT) AS epoch, o_custkey AS tree_id, o_orderkey AS src_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY md5(concat_ws('|', '42', '1', CAST(o_custkey AS string), 'f2p_o_custkey', CAST(o_custkey AS string), CAST(o_orderkey AS string))), o_orderkey) AS rk FROM orders) WHERE rk <= 2")
+@REGISTRY.add("SELECT CAST(3 AS BIGINT) AS epoch, o_custkey AS tree_id, o_orderkey AS src_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY md5(concat_ws('|', '42', '1', CAST(o_custkey AS string), 'f2p_o_custkey', CAST(o_custkey AS string), CAST(o_orderkey AS string))), o_orderkey) AS rk FROM orders WHERE epoch_us(o_orderdate) // 1000000 <= 893462400) WHERE rk <= 2")
 def fixed_replay_round_trip(spark, sf_dir):
     """A sampled plan written with its checksum, read back and replayed as another epoch."""
     import uuid
 
     db = database(spark, sf_dir, ["customer", "orders"])
-    seeds = db["customer"].select(F.col("c_custkey").alias("tree_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"), F.lit(4000000000).alias("seed_time"))
+    seeds = db["customer"].select(F.col("c_custkey").alias("tree_id"), F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"), F.lit(893462400).alias("seed_time"))
     plan = sampling.khop(seeds, graph.edges(db, directions=(False,)), [2])[1]
     cut(spark.range(1))  # sets the checkpoint folder where none is named
     path = f"{spark.sparkContext.getCheckpointDir()}/plan-{uuid.uuid4().hex}"

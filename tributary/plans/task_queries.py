@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions import scalars
-from tributary.operators import checks, keys, seeds, splits
+from tributary.operators import checks, keys, seeds, splits, stats
 from tributary.plans.fixture import Registry, database, table
 
 REGISTRY = Registry()
@@ -145,3 +145,55 @@ def run_differences(spark, sf_dir):
     one = found.groupBy("doc_id").agg(F.max(F.col("column") == "missing").alias("missing"))
     n = one.groupBy(F.when(F.col("missing"), "left").otherwise("value").alias("side")).agg(F.count("*").alias("n"))
     return spark.createDataFrame([("left",), ("value",)], "side string").join(n, "side", "left").select("side", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# ---- parts of the checks, one by one
+
+
+@REGISTRY.add("SELECT 'documents' AS \"table\", c AS \"column\", n AS n_set FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS c, unnest([count(doc_id), count(text), count(lang), count(source), count(n_chars)]) AS n FROM documents)")
+def column_fill_counts(spark, sf_dir):
+    return stats.fill_counts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), "documents")
+
+
+@REGISTRY.add("SELECT (SELECT count(*) FROM (SELECT user_id, event_type FROM events GROUP BY ALL HAVING count(*) > 1)) AS n_duplicate, (SELECT count(*) FROM events WHERE user_id IS NULL OR event_type IS NULL) AS n_null")
+def sample_key_problems(spark, sf_dir):
+    return checks.key_problems(table(spark, sf_dir, "events"), ["user_id", "event_type"])
+
+
+@REGISTRY.add("SELECT event_id FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 3")
+def unreadable_prediction_times(spark, sf_dir):
+    """Times as text, some of them none and some of them missing."""
+    text = F.when(F.col("event_id") % 7 == 0, "some day").when(F.col("event_id") % 11 == 3, None).otherwise(F.col("ts").cast("string"))
+    return checks.bad_times(table(spark, sf_dir, "events").select("event_id", text.alias("at")), "at").select("event_id")
+
+
+@REGISTRY.add("SELECT event_id, epoch_us(ts)::BIGINT AS micros, epoch_us(ts)::BIGINT - 3600000000 AS micros_from_berlin FROM events")
+def iso_times_round_trip(spark, sf_dir):
+    """Times written as ISO text and read back; and read as wall times of a zone (an hour ahead in January)."""
+    rows = table(spark, sf_dir, "events").select("event_id", scalars.iso("ts").alias("at"))
+    back = scalars.parse_time("at")
+    return rows.select("event_id", F.unix_micros(back.cast("timestamp")).alias("micros"), F.unix_micros(scalars.utc(back.cast("timestamp"), "Europe/Berlin")).alias("micros_from_berlin"))
+
+
+@REGISTRY.add("SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))::BIGINT * 1000 AS stored, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))::BIGINT AS micros FROM events")
+def interval_encoding_round_trip(spark, sf_dir):
+    """Spans of time kept as whole nanoseconds."""
+    span = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) * 1000
+    rows = table(spark, sf_dir, "events").select("event_id", scalars.encode_value("timedelta_ns", span).alias("stored"))
+    return rows.select("event_id", "stored", F.call_function("div", scalars.decode_value("timedelta_ns", "stored", "bigint"), F.lit(1000)).alias("micros"))
+
+
+@REGISTRY.add("SELECT doc_id, CAST(quality AS DOUBLE) AS binary_target, CAST(quality AS BIGINT) AS class_target, CAST(quality AS DOUBLE) AS number_target FROM labels WHERE quality IS NOT NULL")
+def target_values(spark, sf_dir):
+    """A label in the type that each kind of task trains on."""
+    rows = table(spark, sf_dir, "labels").filter("quality IS NOT NULL").select("doc_id", F.when(F.col("quality") == 1, " Yes").otherwise("F ").alias("binary_target"), F.col("quality").cast("string").alias("class_target"), F.col("quality").cast("string").alias("number_target"))
+    for column, kind in (("binary_target", "binary_classification"), ("class_target", "multiclass_classification"), ("number_target", "regression")):
+        rows = seeds.target_value(rows, column, kind)
+    return rows.withColumn("binary_target", F.col("binary_target").cast("double"))
+
+
+@REGISTRY.add("SELECT DISTINCT l_partkey AS item FROM lineitem WHERE l_partkey % 5 = 0")
+def unknown_destinations(spark, sf_dir):
+    """Parts in the lists of what was ordered together that the destination table lacks."""
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
+    return checks.unknown_destinations(lists, "parts", table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0"), "p_partkey")

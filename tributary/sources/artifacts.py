@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators.stats import artifact_key
-from tributary.sources.readers import exists
+from tributary.sources.readers import exists, remove
 
 
 class ArtifactError(ValueError):
@@ -48,6 +48,7 @@ def checksum(df: DataFrame) -> DataFrame:
 def save_frames(frames: dict[str, DataFrame], path: str, identity: object, partition_by: dict[str, list[str]] | None = None) -> None:
     """Write frames and then a manifest with their checksums; without the manifest the folder counts as unfinished."""
     spark = next(iter(frames.values())).sparkSession
+    remove(spark, f"{path}/manifest.json")
     sums = {}
     for name, df in frames.items():
         df.write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{path}/{name}")

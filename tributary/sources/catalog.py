@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from tributary.functions.scalars import encoding_of
 from tributary.operators.checks import violations
 from tributary.operators.keys import NODE_ID, assign_dense_ids
 from tributary.schema import Database, Keys, Link, SchemaError
-from tributary.sources.readers import exists, listing
+from tributary.sources.readers import exists, listing, remove
 
 VERSION = "1"
 RESERVED = ("_catalog_metadata", "_catalog_tables", "_catalog_columns", "_catalog_foreign_keys", "_catalog_tasks")
@@ -120,7 +120,11 @@ def _rows(spark: SparkSession, dataset: Dataset) -> dict[str, DataFrame]:
 
 
 def write_dataset(dataset: Dataset, path: str, *, overwrite: bool = False, check_keys: bool = True) -> str:
-    """Write tables, task tables and the catalogue; the catalogue last, so a folder with one is whole."""
+    """Write tables, task tables and the catalogue.
+
+    The catalogue's metadata are what makes a folder a dataset: they are removed before the first table
+    is written and written after the last, so a folder that has them is whole.
+    """
     db = with_ids(dataset.database)
     spark = next(iter(db.frames.values())).sparkSession
     if exists(spark, path) and not overwrite:
@@ -128,8 +132,12 @@ def write_dataset(dataset: Dataset, path: str, *, overwrite: bool = False, check
     if check_keys and db.links and (bad := violations(db).filter("n > 0").collect()):
         raise SchemaError("; ".join(f"{r['child']}.{r['fk']}: {r['n']} rows without {r['parent']}" for r in bad))
     whole = Dataset(db, dataset.tasks, dataset.task_frames, dataset.metadata)
-    for name, df in (db.frames | dataset.task_frames | _rows(spark, whole)).items():
+    rows = _rows(spark, whole)
+    last = rows.pop(RESERVED[0])
+    remove(spark, f"{path}/{RESERVED[0]}.parquet")
+    for name, df in (db.frames | dataset.task_frames | rows).items():
         df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
+    last.write.parquet(f"{path}/{RESERVED[0]}.parquet")
     return path
 
 
@@ -180,6 +188,23 @@ class DatasetReader:
         self.spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows], schema).write.mode("overwrite").parquet(f"{self.path}/{RESERVED[4]}.parquet")
 
 
+def load_folder(spark: SparkSession, path: str, keys: Keys, tasks: Mapping[str, Task] | None = None, *, val_timestamp: str | None = None, test_timestamp: str | None = None) -> Dataset:
+    """A dataset from plain files: ``db/<table>.parquet``, and ``tasks/<task>/<split>.parquet`` for each of ``tasks``.
+
+    Rows of a task's splits become one table with ``split`` and a row id; tables without an id get one.
+    """
+    frames = {n.removesuffix(".parquet"): spark.read.parquet(f"{path}/db/{n}") for n, _ in listing(spark, f"{path}/db") if n.endswith(".parquet")}
+    found, task_frames = {}, {}
+    for name, task in (tasks or {}).items():
+        splits = {n.removesuffix(".parquet"): spark.read.parquet(f"{path}/tasks/{name}/{n}") for n, _ in listing(spark, f"{path}/tasks/{name}") if n.endswith(".parquet")}
+        if not splits:
+            raise SchemaError(f"task {name}: no splits in {path}/tasks/{name}")
+        table = task_table_name(name, len(tasks))
+        found[name], task_frames[table] = replace(task, name=name, table=table, split_column="split"), union_splits(splits)
+    times = {"val_timestamp": val_timestamp, "test_timestamp": test_timestamp}
+    return Dataset(with_ids(Database(frames, keys)), found, task_frames, {k: v for k, v in times.items() if v})
+
+
 def discover_datasets(spark: SparkSession, roots: Iterable[str]) -> dict[str, str]:
     """Folders with a catalogue, by name; the first root that has a name holds."""
     found: dict[str, str] = {}

@@ -19,6 +19,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def listing(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     """(name, is a folder) of what a path of any file system holds."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
