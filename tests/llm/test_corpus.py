@@ -72,7 +72,8 @@ def overlap_by_hand(text, items, window=10):
 
 def test_overlaps_equal_brute_force(spark, odd, docs, benchmark):
     small = spark.createDataFrame([(7, "word"), (8, None), (9, "..."), (10, "日本 語😀"), (11, "word")], "item_id long, text string")
-    for d, b, size in ((odd, small, 1 << 20), (odd, small, 8), (docs.limit(60), benchmark.limit(12), 1 << 20)):
+    long_item = spark.createDataFrame([(1, odd.filter("doc_id = 3").first()["text"][500:9000]), (2, "an be")], "item_id long, text string")
+    for d, b, size in ((odd, small, 1 << 20), (odd, small, 8), (docs.limit(60), benchmark.limit(12), 1 << 20), (docs.limit(60), benchmark.limit(12), 2000), (odd, long_item, 1000)):
         items = [tuple(r) for r in b.select("item_id", "text").collect()]
         got = decontaminate.overlap_digest(decontaminate.find_overlaps(d, b, block_bytes=size)).collect()
         want = [(r["doc_id"], *overlap_by_hand(r["text"], items)) for r in d.select("doc_id", "text").collect()]
@@ -530,6 +531,30 @@ def test_long_spans_are_found_wherever_they_stand():
             assert span in [text[s:e] for _, s, e in pii.reconciled(text, [], pii.tagged_spans([text], w)[0])], at
 
 
+def test_patterns_take_time_in_proportion():
+    import time
+
+    for text in ("1" * 10**6, "a" * 10**6 + "@", "1." * 5 * 10**5, "a@" * 5 * 10**5, "+1 (" + "(" * 10**6, "1 " * 5 * 10**5):
+        began = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - began < 4, text[:9]
+
+
+def test_base_spans_of_random_texts_are_those_of_the_patterns():
+    rng = random.Random(12)
+    for _ in range(4000):
+        s = "".join(rng.choice("a1.@-+% é,()29 5") for _ in range(rng.randrange(70)))
+        want = [(0, *m.span()) for m in pii.EMAIL.finditer(s)]
+        want += [(1, *m.span()) for m in pii.IP.finditer(s) if all(int(x) <= 255 for x in m.group().split("."))]
+        for k, pattern, low, high in ((2, pii.CARD, 13, 19), (3, pii.PHONE, 9, 15)):
+            for m in pattern.finditer(s):
+                d = [int(c) for c in m.group() if c in "0123456789"]
+                total = sum(d[::-1][::2]) + sum(sum(divmod(2 * x, 10)) for x in d[::-1][1::2])
+                if low <= len(d) <= high and (k == 3 or total % 10 == 0):
+                    want.append((k, *m.span()))
+        assert pii.base_spans(s) == want, s
+
+
 def test_reconciled_spans_do_not_overlap():
     text = "555-123-4567 and 555-123-4568"
     found = [(3.0, 3, 0, 12), (2.0, 3, 4, 12), (1.0, 3, 17, 29), (5.0, 3, 2, 2)]
@@ -556,6 +581,19 @@ def test_language_accuracy_on_held_out_documents(spark, docs, odd, none):
     assert set(langid.predict(docs.limit(5), one).toPandas().lang_pred) == {"de"}
 
 
+def test_three_languages_of_one_family(spark):
+    """One-versus-one within a family of three, beside another family."""
+    rng = random.Random(4)
+    parts = {"de": "sch ung ein ich keit der", "nl": "oor ij heid een zijn aan", "sv": "och inte för att är ning", "fr": "eau ment que les tion ou"}
+    make = lambda lang: " ".join("".join(rng.choice(parts[lang].split()) for _ in range(rng.randrange(1, 4))) for _ in range(25))
+    rows = [(lang, make(lang)) for lang in parts for _ in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.families == ["germanic", "romance"] and [p[0] for p in model.pairs] == [0, 0, 0]
+    fresh = [(lang, make(lang)) for lang in parts for _ in range(25)]
+    got = langid.predict(spark.createDataFrame(fresh, "lang string, text string"), model, keep=["lang"]).toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
+
+
 def test_copies_do_not_thin_the_sample(spark):
     """A language whose rows are mostly copies still gives all its distinct texts."""
     rng = random.Random(9)
@@ -594,6 +632,24 @@ def test_ogg_round_trip_and_damage():
             media.decode(stored[:-1])
 
 
+def test_hand_built_pages():
+    """Streams that take turns, packets over three pages and ending on a lacing edge, pages of nothing, granule -1."""
+    page = media._page
+    long_, edge = bytes(range(256)) * 300, b"e" * 255
+    first = [page(media.FIRST, 0, 7, 0, bytes([3]), b"abc")]
+    other = [page(media.FIRST, 0, 9, 0, bytes([0]), b"")]
+    full = bytes([255]) * 255
+    body = [page(0, -1, 7, 1, full, long_[:65025]), page(media.CONTINUED, 5, 7, 2, bytes([255] * 46 + [len(long_) - 65025 - 46 * 255]), long_[65025:]), page(0, -1, 7, 3, b"", b""), page(media.LAST, 9, 7, 4, bytes([255, 0, 2]), edge + b"xy")]
+    turns = [page(0, 3, 9, 1, bytes([1, 2]), b"123"), page(media.LAST, 3, 9, 2, bytes([0]), b"")]
+    whole = b"".join([first[0], other[0], body[0], turns[0], body[1], turns[1], body[2], body[3]])
+    a, b = media.read(whole)
+    assert a.packets == [b"abc", long_, edge, b"xy"] and a.granules == [0, 5, 9] and a.pages == 5
+    assert b.packets == [b"", b"1", b"23", b""] and b.granules == [0, 3, 3]
+    for wrong in ([first[0], body[1]], [first[0], body[0], page(0, 1, 7, 2, bytes([1]), b"x")], [first[0], first[0]], [first[0], page(media.CONTINUED | media.LAST, 1, 7, 1, bytes([1]), b"x")], [first[0], page(media.LAST, -1, 7, 1, bytes([1]), b"x")], [first[0]]):
+        with pytest.raises(media.OggError):
+            media.read(b"".join(wrong))
+
+
 def test_ogg_checksum_by_bits():
     def slow(data):
         r = 0
@@ -666,6 +722,19 @@ def test_packing(spark, docs, odd, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_sequences_follow_the_curve(spark):
+    """Documents stand in the order of their keys; a hot key is dealt by id, over many sequences and tasks."""
+    rng = random.Random(8)
+    path = packing.default_tokenizer()
+    rows = [(i, prose(rng, rng.randrange(5, 80))) for i in range(300)] + [(1000 + i, "one and the same text") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keys = packing.curve_keys([np.append(x, packing.END_ID) for x in Encoder(path).encode([t for _, t in rows])]).tolist()
+    got = packing.pack(docs, path, capacity=64).filter("start = 0").orderBy("sequence_id", "offset").collect()
+    place = {i: (k, i) for (i, _), k in zip(rows, keys, strict=True)}
+    assert [r["doc_id"] for r in got] == [i for _, i in sorted(place.values())]
+    assert len({r["sequence_id"] for r in got if r["doc_id"] >= 1000}) > 10
+
+
 # ---- 10 scoring
 
 

@@ -41,6 +41,12 @@ def test_pipeline(spark, tmp_path):
     assert (full.iloc[:-1] == 2048).all()
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_texts_of_no_learned_language_go(spark, sf, tmp_path):
     """Junk with letters and a language that wasn't learned go; clean documents held out from training stay."""
     rng = random.Random(3)

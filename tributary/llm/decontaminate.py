@@ -3,9 +3,11 @@
 The windows of the benchmark items are hashed into a set that every executor
 holds; each text is scanned once, its window hashes are looked up, and each hit
 is verified against the words themselves.  The set is built from blocks of the
-benchmark whose size is bounded (``BLOCK_BYTES``): a benchmark of one block
-needs one scan; a larger one is taken block by block over the same rows, each
-pass adding to what the earlier ones found.  There is no shuffle of texts.
+benchmark whose size is bounded (``BLOCK_BYTES``): the driver reads items one after
+the other and holds one block at a time; an item longer than a block is cut into
+pieces that overlap by a window.  A benchmark of one block needs one scan and no shuffle.
+A larger one takes a scan a block, one broadcast at a time; each writes the few texts
+it hits, by hash, and those tables are joined to the documents in the end.
 
 Defined cases: null or wordless texts have no words and no hits; items without
 words have no windows; repeated rows each get their own result; columns beyond
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import map_arrow, materialize, release
 from .textbytes import mix, words
 
-#: Benchmark text per broadcast.  A window takes about 100 bytes of memory.
+#: Benchmark text per broadcast.  A window takes about 30 bytes of memory, and there is at most one a word.
 BLOCK_BYTES = 8 << 20
 WINDOW = 10
 
@@ -43,30 +46,49 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of one block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.owners: dict[bytes, set[str]] = {}
-        by_length: dict[int, list[np.ndarray]] = {}
-        if items:
-            for w in words(pa.array([text for _, text in items], pa.large_string())):
-                hashes = w.hashes()
-                for t in range(w.last - w.first):
-                    a, b = int(w.of[t]), int(w.of[t + 1])
-                    n = min(window, b - a)
-                    if not n:
-                        continue
-                    by_length.setdefault(n, []).append(window_hashes(hashes[a:b], n))
-                    name = items[w.first + t][0]
-                    for p in range(a, b - n + 1):
-                        self.owners.setdefault(b" ".join(w.word(q) for q in range(p, p + n)), set()).add(name)
-        self.hashes = {n: np.unique(np.concatenate(x)) for n, x in by_length.items()}
-        bits = max(16, math.ceil(math.log2(16 * (1 + len(self.owners)))))
-        self.shift = np.uint64(64 - bits)
-        self.filters = {}
-        for n, x in self.hashes.items():
-            self.filters[n] = np.zeros(1 << bits, bool)
-            self.filters[n][x >> self.shift] = True
+    """The windows of one block of benchmark items, as arrays.
+
+    ``items`` are (name, text, whether the text is a piece of a longer item).
+    """
+
+    def __init__(self, items: list[tuple[str, str | None, bool]], window: int):
+        self.names = [x[0] for x in items]
+        data, starts, ends, found = [], [], [], {}
+        offset = 0
+        for w in words(pa.array([x[1] for x in items], pa.large_string())) if items else ():
+            base, hashes, length = sum(map(len, starts)), w.hashes(), np.diff(w.of)
+            item_of = np.repeat(np.arange(w.first, w.last), length)
+            for n in np.unique(np.minimum(length, window)):
+                if n == 0:
+                    continue
+                h = window_hashes(hashes, int(n))
+                at = np.arange(len(h))
+                # whole windows inside an item; shorter than ``window`` only where the item is
+                at = at[(item_of[at] == item_of[at + n - 1]) & (np.minimum(length, window)[item_of[at] - w.first] == n)]
+                at = at[(n == window) | ~np.array([items[i][2] for i in item_of[at]], bool)]
+                found.setdefault(int(n), []).append((h[at], item_of[at].astype(np.int32), (at + base).astype(np.int64)))
+            data.append(w.data)
+            starts.append(w.starts + offset)
+            ends.append(w.ends + offset)
+            offset += len(w.data)
+        self.data = np.concatenate(data).tobytes() if data else b""
+        self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.ends = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+        self.tables = {}
+        for n, parts in found.items():
+            h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((item, h))
+            h, item, at = h[order], item[order], at[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (item[1:] != item[:-1])))
+            if len(h):
+                h, item, at = h[new], item[new], at[new]
+                bits = max(16, math.ceil(math.log2(16 * len(h))))
+                near = np.zeros(1 << bits, bool)
+                near[h >> np.uint64(64 - bits)] = True
+                self.tables[n] = h, item, at, near, np.uint64(64 - bits)
+
+    def _words(self, at: int, n: int) -> bytes:
+        return b" ".join(self.data[a:b] for a, b in zip(self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist(), strict=True))
 
     def scan(self, w) -> tuple[np.ndarray, list[set[str]]]:
         """Which words are inside an occurrence, and the items found in each text."""
@@ -76,29 +98,53 @@ class WindowSet:
             return hit, found
         hashes = w.hashes()
         text_of = np.repeat(np.arange(w.last - w.first), np.diff(w.of))
-        for n, known in self.hashes.items():
+        owners: dict[bytes, set[str]] = {}  # of the windows met in these texts, verified word by word
+        for n, (known, item, where, near, shift) in self.tables.items():
             h = window_hashes(hashes, n)
-            at = np.flatnonzero(self.filters[n][h >> self.shift])
-            if not len(at):
-                continue
+            at = np.flatnonzero(near[h >> shift])
             at = at[text_of[at] == text_of[at + n - 1]]
-            at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
-            for p in at.tolist():
-                owners = self.owners.get(b" ".join(w.word(q) for q in range(p, p + n)))
-                if owners:
+            left, right = np.searchsorted(known, h[at], "left"), np.searchsorted(known, h[at], "right")
+            some = right > left
+            for p, a, b in zip(at[some].tolist(), left[some].tolist(), right[some].tolist(), strict=True):
+                own = b" ".join(w.word(q) for q in range(p, p + n))
+                if own not in owners:
+                    owners[own] = {self.names[item[k]] for k in range(a, b) if self._words(int(where[k]), n) == own}
+                if owners[own]:
                     hit[p : p + n] = True
-                    found[text_of[p]] |= owners
+                    found[text_of[p]] |= owners[own]
         return hit, found
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in blocks of about ``block_bytes``, each small enough to broadcast."""
-    own = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    for b in range(blocks):
-        part = own if blocks == 1 else own.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        yield [(r["item"] if r["item"] is not None else "", r["text"]) for r in part.collect()]
+def _pieces(text: str, window: int, block_bytes: int) -> Iterator[str]:
+    """A long text in pieces of about ``block_bytes`` that overlap by window - 1 words, so each window is whole in one."""
+    raw = pa.array([text], pa.large_string())
+    (w,) = words(raw)
+    first = 0
+    while first < len(w.starts):
+        last = int(np.searchsorted(w.starts, w.starts[first] + max(block_bytes, 1), "left"))
+        last = max(last, first + window)
+        yield w.data[w.starts[first] : w.ends[min(last, len(w.ends)) - 1]].tobytes().decode()
+        if last >= len(w.starts):
+            return
+        first = last - window + 1
+
+
+def benchmark_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> Iterator[list[tuple[str, str | None, bool]]]:
+    """The items in blocks of about ``block_bytes``, each small enough to broadcast; one block is held at a time."""
+    block, size = [], 0
+    for row in benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).toLocalIterator():
+        name, own = row["item"] if row["item"] is not None else "", row["text"] or ""
+        bytes_ = len(own.encode())
+        parts = [(own, False)] if bytes_ <= block_bytes else [(x, True) for x in _pieces(own, window, block_bytes)]
+        if len(parts) == 1:
+            parts = [(own, False)]
+        for part, cut in parts:
+            if block and size + len(part) > block_bytes:
+                yield block
+                block, size = [], 0
+            block.append((name, part, cut))
+            size += len(part)
+    yield block
 
 
 def _runs(hit: np.ndarray) -> list[int]:
@@ -107,42 +153,86 @@ def _runs(hit: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-REPORT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+_FOUND = [T.StructField("__n", T.LongType()), T.StructField("__runs", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
+_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
+
+
+def _scanned(docs: DataFrame, text_col: str, items: list, window: int, hits_only: bool) -> tuple[DataFrame, object]:
+    """``docs`` (without the text, and only those with hits, if ``hits_only``) with __n, __runs and __items; and the broadcast in use."""
+    windows = docs.sparkSession.sparkContext.broadcast(WindowSet(items, window))
+    fields = [f for f in docs.schema.fields if not (hits_only and f.name == text_col)]
+
+    def scan(batches):
+        for batch in batches:
+            n_words, runs, found = [], [], []
+            for w in words(batch.column(text_col)):
+                hit, items = windows.value.scan(w)
+                for t in range(w.last - w.first):
+                    own = hit[w.of[t] : w.of[t + 1]]
+                    n_words.append(len(own))
+                    runs.append(_runs(own) if items[t] else [])
+                    found.append(sorted(items[t]))
+            out = pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *(pa.array(x, k) for x, k in zip((n_words, runs, found), _KINDS, strict=True))], [*(f.name for f in fields), *(f.name for f in _FOUND)])
+            yield out.filter(pa.array([bool(r) for r in runs], pa.bool_())) if hits_only else out
+
+    return map_arrow(docs, scan, T.StructType([*fields, *_FOUND])), windows
+
+
+def _merged(docs: DataFrame, text_col: str, hits: DataFrame) -> DataFrame:
+    """``docs`` with __n, __runs and __items from the hits of all blocks, met by the hashes of the text."""
+    each = hits.groupBy("__t1", "__t2").agg(F.flatten(F.collect_list("__runs")).alias("__all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+    own = docs.withColumns(_text_keys(text_col)).join(each.withColumnsRenamed({"__t1": "__u1", "__t2": "__u2"}), (F.col("__t1") == F.col("__u1")) & (F.col("__t2") == F.col("__u2")), "left")
+    own = own.select(*docs.columns, "__all", F.coalesce("__items", F.array().cast("array<string>")).alias("__items"))
+
+    names = docs.columns
+
+    def merge(batches):
+        for batch in batches:
+            n_words, runs = [], []
+            for w in words(batch.column(text_col)):
+                for t in range(w.last - w.first):
+                    hit = np.zeros(w.of[t + 1] - w.of[t], bool)
+                    spans = batch.column("__all")[w.first + t].as_py() or []
+                    for a, b in zip(spans[::2], spans[1::2], strict=True):
+                        hit[a:b] = True
+                    n_words.append(len(hit))
+                    runs.append(_runs(hit) if spans else [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n_words, _KINDS[0]), pa.array(runs, _KINDS[1]), batch.column("__items").cast(_KINDS[2])], [*names, "__n", "__runs", "__items"])
+
+    return map_arrow(own, merge, T.StructType([*docs.schema.fields, *_FOUND]))
+
+
+def _text_keys(text_col: str) -> dict:
+    return {"__t1": F.xxhash64(text_col), "__t2": F.xxhash64(F.lit(7), text_col)}
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
+    """``docs`` with __n (words), __runs (word positions hit, as start and end by turns) and __items (found, sorted)."""
+    blocks = benchmark_blocks(benchmark, item_col, item_text, window, block_bytes)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        return _scanned(docs, text_col, block, window, False)[0]
+    texts = docs.select(F.col(text_col).alias("__text")).filter("__text IS NOT NULL").withColumns(_text_keys("__text"))
+    parts = []
+    while block is not None:
+        hits, windows = _scanned(texts, "__text", block, window, True)
+        parts.append(materialize(hits.dropDuplicates(["__t1", "__t2"]), "benchmark-hits"))
+        windows.destroy()
+        if len(parts) == 64:  # plans stay small however many blocks there are
+            whole = materialize(reduce(DataFrame.union, parts), "benchmark-hits")
+            release(docs.sparkSession, *parts)
+            parts = [whole]
+        block, after = after, next(blocks, None)
+    return _merged(docs, text_col, reduce(DataFrame.union, parts))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
     """One row per document: its id, n_words, runs (word positions hit, as start and
     end by turns), items (ids of items with occurring windows), and the text if asked."""
-    kind = docs.schema[id_col].dataType
-    base = T.StructType([T.StructField("id", kind), T.StructField("text", T.StringType())])
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = list(benchmark_blocks(benchmark, item_col, item_text, block_bytes))
-    for k, items in enumerate(blocks):
-        last = k == len(blocks) - 1
-        windows = docs.sparkSession.sparkContext.broadcast(WindowSet(items, window))
-        fields = [f for f in base.fields if f.name != "text" or keep_text or not last]
-
-        def scan(batches, windows=windows, k=k, names=[f.name for f in fields]):
-            for batch in batches:
-                n_words, runs, found = [], [], []
-                for w in words(batch.column("text")):
-                    hit, items = windows.value.scan(w)
-                    for t in range(w.last - w.first):
-                        own = hit[w.of[t] : w.of[t + 1]]
-                        i = w.first + t
-                        if k:
-                            before = batch.column("runs")[i].as_py()
-                            own = own.copy()
-                            for a, b in zip(before[::2], before[1::2], strict=True):
-                                own[a:b] = True
-                            items[t] |= set(batch.column("items")[i].as_py())
-                        n_words.append(len(own))
-                        runs.append(_runs(own) if items[t] else [])
-                        found.append(sorted(items[t]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], [*names, "n_words", "runs", "items"])
-
-        out = map_arrow(out, scan, T.StructType([*fields, *REPORT.fields]))
-    return out.withColumnRenamed("id", id_col)
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    out = _marked(own, benchmark, "__text", item_col, item_text, window, block_bytes)
+    text = [F.col("__text").alias(text_col)] if keep_text else []
+    return out.select(F.col("__id").alias(id_col), *text, F.col("__n").alias("n_words"), F.col("__runs").alias("runs"), F.col("__items").alias("items"))
 
 
 def overlap_digest(report: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -159,36 +249,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    out = docs
-    for items in benchmark_blocks(benchmark, item_col, item_text, block_bytes):
-        windows = docs.sparkSession.sparkContext.broadcast(WindowSet(items, window))
-
-        def clean(batches, windows=windows):
-            for batch in batches:
-                at = batch.schema.get_field_index(text_col)
-                bad = np.zeros(batch.num_rows, bool)
-                cut: dict[int, str] = {}
-                for w in words(batch.column(at)):
-                    hit, _ = windows.value.scan(w)
-                    for t in np.unique(np.searchsorted(w.of, np.flatnonzero(hit), "right") - 1).tolist():
-                        bad[w.first + t] = True
-                        if remove == "spans":
-                            raw = batch.column(at)[w.first + t].as_py().encode()
-                            base, pieces, end = int(w.bounds[t]), [], 0
-                            runs = _runs(hit[w.of[t] : w.of[t + 1]])
-                            for a, b in zip(runs[::2], runs[1::2], strict=True):
-                                pieces.append(raw[end : int(w.starts[w.of[t] + a]) - base])
-                                end = int(w.ends[w.of[t] + b - 1]) - base
-                            cut[w.first + t] = b"".join([*pieces, raw[end:]]).decode()
-                if remove == "documents":
-                    yield batch.filter(pa.array(~bad))
-                elif cut:
-                    texts = batch.column(at).to_pylist()
-                    for i, x in cut.items():
-                        texts[i] = x
-                    yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                else:
-                    yield batch
-
-        out = map_arrow(out, clean, docs.schema)
-    return out
+    marked = _marked(docs, benchmark, text_col, item_col, item_text, window, block_bytes)
+    if remove == "documents":
+        return marked.filter(F.size("__runs") == 0).select(*docs.columns)
+
+    names = docs.columns
+
+    def clean(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = batch.column(at).to_pylist()
+            for w in words(batch.column(at)):
+                for t in range(w.last - w.first):
+                    runs = batch.column("__runs")[w.first + t].as_py()
+                    if runs:
+                        raw, base, pieces, end = texts[w.first + t].encode(), int(w.bounds[t]), [], 0
+                        for a, b in zip(runs[::2], runs[1::2], strict=True):
+                            pieces.append(raw[end : int(w.starts[w.of[t] + a]) - base])
+                            end = int(w.ends[w.of[t] + b - 1]) - base
+                        texts[w.first + t] = b"".join([*pieces, raw[end:]]).decode()
+            out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield out.select(names)
+
+    return map_arrow(marked, clean, docs.schema)
