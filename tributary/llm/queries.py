@@ -85,5 +85,35 @@ FROM r
 """
 
 
+#: A CRC-32 in SQL: its table of 256, then byte by byte over the hexadecimal form.
+_HEX = "'0123456789ABCDEF'"
+SHARDING_SQL = f"""
+WITH crc AS (SELECT list(c ORDER BY n) AS entry FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(n))),
+d AS (SELECT doc_id, source, encode(coalesce(text, '')) AS raw FROM documents),
+b AS (SELECT doc_id, source, octet_length(raw)::BIGINT + 1 AS size, list_transform(regexp_extract_all(hex(raw), '..'), lambda p: (strpos({_HEX}, p[1]) - 1) * 16 + strpos({_HEX}, p[2]) - 1) AS bytes FROM d),
+e AS (SELECT doc_id, source, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(entry[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)::BIGINT AS text_crc32 FROM b, crc),
+h AS (SELECT *, md5(concat_ws('|', '42', doc_id::VARCHAR, text_crc32::VARCHAR)) AS h, md5(concat_ws('|', '43', source)) AS p FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n,
+      list_reduce([0, strpos('0123456789abcdef', p[1]) - 1, strpos('0123456789abcdef', p[2]) - 1, strpos('0123456789abcdef', p[3]) - 1, strpos('0123456789abcdef', p[4]) - 1, strpos('0123456789abcdef', p[5]) - 1], lambda a, x: a * 16 + x) / 1048576.0::DOUBLE AS phase FROM h),
+g AS (SELECT *, row_number() OVER (ORDER BY (rank + phase) / n, source NULLS FIRST, h) - 1 AS place, count(*) OVER () AS total FROM r),
+s AS (SELECT *, total // 8 AS small, total % 8 AS more FROM g),
+t AS (SELECT *, CASE WHEN place < more * (small + 1) THEN place // (small + 1) ELSE more + (place - more * (small + 1)) // greatest(small, 1) END AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (place - shard * small - least(shard, more))::BIGINT AS slot, NULL::INT AS grown_shard, source AS stratum FROM t
+"""
+
+DECONTAMINATION_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+k AS (SELECT item, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0),
+b AS (SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM k)),
+v AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM k) WHERE len(w) >= k)),
+h AS (SELECT doc_id, k, p, item FROM v JOIN b USING (k, g)),
+n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM h) GROUP BY doc_id),
+f AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op8_line_dedup": LINE_DEDUP_SQL}
+    return {"op3_sharding": SHARDING_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op2_license_scan": licenses.oracle(), "op8_line_dedup": LINE_DEDUP_SQL}

@@ -6,6 +6,10 @@ all stand at one place) orders the rows of all sources into one even mixture, an
 equal cuts of that order are the shards.  Every shard then holds each source in
 proportion, within about a row, and row counts differ by one at most.
 
+The hash is the MD5 of seed, id and checksum of the text, so any engine finds the same
+order; only rows equal in all of these are told apart by where they are read, which
+changes nothing but which of two equal rows stands first.
+
 Both rankings are exact and have no large groups: rows fall into buckets by hash
 (or by fraction), a running sum over the small table of bucket counts gives each
 bucket its first rank, and only rows of one bucket are sorted together.  The
@@ -52,20 +56,20 @@ def interleave(rows: DataFrame, *, stratum: str, unique: str, shuffle_by: list[s
     """``rows`` with ``shard`` and ``slot``.
 
     The columns ``shuffle_by`` decide a row's place in the shuffle; ``unique`` names a
-    column that tells all rows apart, for ties and for rows whose first one is null.
+    column that tells all rows apart, for ties.
     """
     n = rows.count()
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    shuffled = rows.withColumn("__h", F.xxhash64(F.lit(seed), *shuffle_by, F.when(F.col(shuffle_by[0]).isNull(), F.col(unique))))
-    by_hash = F.shiftright(F.pmod(F.col("__h"), F.lit(1 << 40)) * buckets, 40)
-    in_order = [F.pmod(F.col("__h"), F.lit(1 << 40)), F.col(unique)]
+    shuffled = rows.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in shuffle_by])))
+    by_hash = F.shiftright(F.conv(F.substring("__h", 1, 10), 16, 10).cast("bigint") * buckets, 40)
+    in_order = [F.col("__h"), F.col(unique)]
     ranked = _ranked(shuffled, by_hash, in_order, [stratum], "__rank")
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("__n")).withColumnRenamed(stratum, "__s")
-    phase = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(stratum)), F.lit(1 << 20)) / float(1 << 20)
+    phase = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed + 1)), F.col(stratum).cast("string"))), 1, 5), 16, 10).cast("bigint") / float(1 << 20)
     placed = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("__s"))).withColumn("__at", (F.col("__rank") + phase) / F.col("__n"))
-    placed = materialize(placed.select(*rows.columns, "__at"), "shard-order")
+    placed = materialize(placed.select(*rows.columns, "__h", "__at"), "shard-order")
     by_place = F.least(F.floor(F.col("__at") * buckets), F.lit(buckets - 1))
-    whole = _ranked(placed.withColumn("__all", F.lit(0)), by_place, [F.col("__at"), F.col(stratum), F.col(unique)], ["__all"], "__place").drop("__all")
+    whole = _ranked(placed.withColumn("__all", F.lit(0)), by_place, [F.col("__at"), F.col(stratum), F.col("__h"), F.col(unique)], ["__all"], "__place").drop("__all")
     return _cut(whole, n, shards).select(*rows.columns, "shard", "slot")
 
 
