@@ -44,9 +44,15 @@ def normalized(line: Column) -> Column:
 
 def spaced(norm: Column) -> Column:
     """A normalised line with blanks around each character of the scripts that have none between words."""
-    apart = F.trim(F.regexp_replace(F.regexp_replace(norm, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])", " $1 "), " +", " "))
-    # such a character has three bytes, so most lines are told apart without a pattern
-    return F.when(F.octet_length(norm) - F.char_length(norm) >= 2, apart).otherwise(norm)
+    scripts = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+
+    def apart(x: Column) -> Column:
+        # such a character has three bytes, so most lines are told apart without a pattern
+        wide = F.octet_length(x) - F.char_length(x) >= 2
+        return F.when(wide, F.trim(F.regexp_replace(F.regexp_replace(x, scripts, " $1 "), " +", " "))).otherwise(x)
+
+    # by way of an array, so that the line is normalised once
+    return F.transform(F.array(norm), apart)[0]
 
 
 def _half(second: bool, m: Column) -> Column:
