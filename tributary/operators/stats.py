@@ -12,38 +12,49 @@ from pyspark.sql import functions as F
 
 from tributary.functions.scalars import number
 from tributary.operators.keys import assign_dense_ids
+from tributary.session import cut
 
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 #: Ranks are looked for between approximate quantiles this far on either side; each of those is
 #: off by a fifth of it at most, and groups of fewer than ``FEW`` values are looked through whole.
-_REACH, _ACCURACY, FEW = 5e-4, 10_000, 10_000
+_REACH, _ACCURACY, FEW = 2.5e-3, 2_000, 10_000
 
 
-def values_at(df: DataFrame, by: list[str], value: str, places: dict[str, tuple[float, Callable[[Column], Column]]]) -> DataFrame:
-    """(by, n, a column for each place): exactly the elements of given ranks among the values of each group.
+def values_at(df: DataFrame, by: list[str], value: str, places: dict[str, tuple[float, Callable[[Column], Column]]], extra: list[Column] | None = None) -> DataFrame:
+    """(by, n, a column for each place, ``extra`` aggregates): exactly the elements of given ranks among the values of each group.
 
     A place is a share and the rank (from 0, of the group's n values) near that share.
-    A first aggregation brackets each rank by approximate quantiles; a second counts what lies
-    below the bracket, and the values inside, a thousandth of the rows.  No group is sorted or held whole.
+    A first aggregation brackets each rank by approximate quantiles; a second counts how many values lie
+    below each bracket, and the values inside, half a hundredth of the rows.  No group is sorted or held whole.
     """
     shares = sorted({q for q, _ in places.values()})
     ends = [min(max(q + d, 0.0), 1.0) for q in shares for d in (-_REACH, _REACH)]
-    first = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("__min"), F.max(value).alias("__max"), F.percentile_approx(value, ends, _ACCURACY).alias("__p"))
+    first = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("__min"), F.max(value).alias("__max"), F.percentile_approx(value, ends, _ACCURACY).alias("__p"), *(extra or []))
     few = F.col("n") < FEW
-    brackets = F.array(*[F.struct(F.lit(q).alias("q"), F.when(few, F.col("__min")).otherwise(F.get("__p", F.lit(2 * i))).alias("low"), F.when(few, F.col("__max")).otherwise(F.get("__p", F.lit(2 * i + 1))).alias("high")) for i, q in enumerate(shares)])
-    first = first.withColumn("__b", brackets)
-    keys = first.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], "__b")
-    same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)], F.lit(True))
-    near = df.filter(F.col(value).isNotNull()).join(keys, same).select(*by, F.col(value).alias("v"), F.explode("__b").alias("b")).filter("v <= b.high")
-    inside = near.groupBy(*by, F.col("b.q").alias("q"), F.when(F.col("v") >= F.col("b.low"), F.col("v")).alias("v")).agg(F.count("*").alias("m"))
-    upto = F.sum("m").over(Window.partitionBy(*by, "q").orderBy(F.col("v").asc_nulls_first()))
-    inside = inside.withColumn("upto", upto)
-    sizes = first.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], "n")
-    joined = sizes.join(inside, reduce(lambda x, y: x & y, [inside[c].eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)], F.lit(True)), "left")
-    picked = [F.min(F.when((F.col("q") == q) & (F.col("upto") > rank(F.col("n"))), F.col("v"))).alias(name) for name, (q, rank) in places.items()]
-    return joined.groupBy(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(by)], "n").agg(*picked)
+    low = [F.when(few, F.col("__min")).otherwise(F.get("__p", F.lit(2 * i))).alias(f"__low{i}") for i in range(len(shares))]
+    high = [F.when(few, F.col("__max")).otherwise(F.get("__p", F.lit(2 * i + 1))).alias(f"__high{i}") for i in range(len(shares))]
+    first = cut(first.select("*", *low, *high).drop("__p"))
+    ends = [f"__{e}{i}" for i in range(len(shares)) for e in ("low", "high")]
+
+    def alike(left: DataFrame) -> Column:
+        return reduce(lambda x, y: x & y, [left[c].eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)], F.lit(True))
+
+    keys = first.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], "n", *ends)
+    rows = df.filter(F.col(value).isNotNull()).join(keys, alike(df)).select(*by, "n", F.col(value).alias("v"), *ends)
+    within = [F.col("v").between(F.col(f"__low{i}"), F.col(f"__high{i}")) for i in range(len(shares))]
+    inside = F.when(reduce(lambda x, y: x | y, within), F.col("v"))
+    below = [F.count(F.when(F.col("v") < F.col(f"__low{i}"), 1)).alias(f"__below{i}") for i in range(len(shares))]
+    counted = rows.groupBy(*by, "n", *ends, inside.alias("v")).agg(F.count("*").alias("m"), *below)
+    whole = Window.partitionBy(*by)
+    for i, inner in enumerate(within):
+        upto = F.sum(F.when(inner, F.col("m"))).over(whole.orderBy(F.col("v").asc_nulls_first()))
+        counted = counted.withColumn(f"__upto{i}", F.when(inner, upto + F.sum(f"__below{i}").over(whole)))
+    picked = [F.min(F.when(F.col(f"__upto{shares.index(q)}") > rank(F.col("n")), F.col("v"))).alias(name) for name, (q, rank) in places.items()]
+    found = counted.groupBy(*by).agg(*picked)
+    named = found.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], *places)
+    return first.drop("__min", "__max", *ends).join(named, alike(first), "left").drop(*[f"__k{i}" for i in range(len(by))])
 
 
 def numeric_stats(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
@@ -55,22 +66,22 @@ def numeric_stats(df: DataFrame, columns: list[str], group: list[str] | None = N
     by = [*(group or []), "column"]
     cells = F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("x")) for c in columns])
     long = df.select(*(group or []), F.explode(cells).alias("c")).select(*(group or []), "c.column", "c.x")
-    whole = long.groupBy(*by).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("q0"), F.max("x").alias("q100"))
     places = {}
     for q in QUANTILES[1:-1]:
-        places[f"low{q}"] = (q, lambda n, q=q: F.floor((n - 1) * q))
-        places[f"high{q}"] = (q, lambda n, q=q: F.ceil((n - 1) * q))
-    found = values_at(long, by, "x", places)
-    at = {}
+        places[f"low{100 * q:.0f}"] = (q, lambda n, q=q: F.floor((n - 1) * q))
+        places[f"high{100 * q:.0f}"] = (q, lambda n, q=q: F.ceil((n - 1) * q))
+    whole = [F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("q0"), F.max("x").alias("q100")]
+    out = values_at(long, by, "x", places, whole)
+    between = []
     for q in QUANTILES[1:-1]:
         rest = (F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)
-        low, high = F.col(f"`low{q}`"), F.col(f"`high{q}`")
-        at[f"q{int(100 * q)}"] = F.when(low == high, low).otherwise((1 - rest) * low + rest * high)
-    named = found.select(*[F.col(c).alias(f"__{c}") for c in by], "n", *[x.alias(name) for name, x in at.items()])
-    out = whole.join(named, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]))
-    if not group:  # columns of a table without rows
-        out = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(out, "column", "left")
-    return out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "q0", *at, "q100")
+        low, high = F.col(f"low{100 * q:.0f}"), F.col(f"high{100 * q:.0f}")
+        between.append(F.when(low == high, low).otherwise((1 - rest) * low + rest * high).alias(f"q{int(100 * q)}"))
+    out = out.select(*by, "n", "mean", "std", "q0", *between, "q100")
+    if group:
+        return out
+    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")  # columns of a table without rows, too
+    return named.join(out, "column", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def vocabulary(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
