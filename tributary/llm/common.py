@@ -36,6 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Folders of tables that ``materialize`` wrote and nothing has deleted yet.
+_held: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -48,6 +52,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    _held.append(path)
     return out
 
 
@@ -55,12 +60,31 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Free the disk that finished steps hold: tables of ``materialize`` that are no longer
     read, and shuffle files, which Spark drops once their plans are collected as garbage."""
     for t in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._written)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, t._written)
     gc.collect()
     spark._jvm.System.gc()
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if name in _held:
+        _held.remove(name)
+
+
+def held() -> int:
+    """How many tables are held now: a mark for ``release_since``."""
+    return len(_held)
+
+
+def release_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete the tables written since the mark, save ``keep``, whose rows have been computed from them."""
+    for name in _held[mark:]:
+        if name != keep._written:
+            _delete(spark, name)
+    release(spark)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches of bounded bytes, since rows hold whole texts.
 
