@@ -23,9 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
 
     For values that must not be computed twice and for plans that grow with every
     step.  The folder is the one ``spark.checkpoint.dir`` names; a temporary one is
-    set only where none is.
+    set only where none is and the master is local, as other machines would not see it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tributary-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tributary-"))
     return df.checkpoint()
