@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, linededup, lmscore, media, minhash, packing, pii, sharding
+from . import decontaminate, filteraudit, langid, licenses, linededup, lmscore, media, minhash, packing, pii, sharding
 from .common import documents
 
 
@@ -54,8 +54,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(lmscore.count(docs, lmscore.good_documents(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_sharding, op4_personal_data, op5_language_id, op6_media_columns, op7_decontamination, op8_line_dedup, op9_packing, op10_lm_scoring)}
+    registered = (
+        op1_near_dedup, op2_license_scan, op3_sharding, op4_personal_data, op5_language_id, op6_media_columns, op7_decontamination,
+        op8_line_dedup, op9_packing, op10_lm_scoring, op13_filter_audit,
+    )
+    return {f.__name__: f for f in registered}
 
 
 LINE_DEDUP_SQL = r"""
@@ -116,4 +124,10 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": SHARDING_SQL, "op7_decontamination": DECONTAMINATION_SQL, "op2_license_scan": licenses.oracle(), "op8_line_dedup": LINE_DEDUP_SQL}
+    return {
+        "op2_license_scan": licenses.oracle(),
+        "op3_sharding": SHARDING_SQL,
+        "op7_decontamination": DECONTAMINATION_SQL,
+        "op8_line_dedup": LINE_DEDUP_SQL,
+        "op13_filter_audit": filteraudit.ORACLE_SQL,
+    }
