@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filteraudit, langid, licenses, linededup, lmscore, media, minhash, packing, pii, search, sharding
+from . import bpe, decontaminate, filteraudit, langid, licenses, linededup, lmscore, media, minhash, packing, pii, search, sharding
 from .common import documents
 
 
@@ -54,6 +54,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(lmscore.count(docs, lmscore.good_documents(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digest(documents(spark, sf_dir), bpe.default_tokenizer())
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -65,7 +69,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_near_dedup, op2_license_scan, op3_sharding, op4_personal_data, op5_language_id, op6_media_columns, op7_decontamination,
-        op8_line_dedup, op9_packing, op10_lm_scoring, op12_ranked_search, op13_filter_audit,
+        op8_line_dedup, op9_packing, op10_lm_scoring, op11_bpe_round_trip, op12_ranked_search, op13_filter_audit,
     )
     return {f.__name__: f for f in registered}
 
