@@ -57,7 +57,7 @@ ROLLS = 5
 #: Characters of the next chunk in the first window over a join.
 AHEAD = 24
 #: Characters worked on at a time, and bytes of chunks that a worker remembers.
-GROUP_CHARS, MEMORY_BYTES = 1 << 20, 96 << 20
+GROUP_CHARS, MEMORY_BYTES = 1 << 19, 32 << 20
 END, UNSURE = 4, 5
 
 
