@@ -82,16 +82,8 @@ def split_rows(db: Database, task: TaskConfig) -> DataFrame:
 
 
 def _keys(db: Database, query: str, task: TaskConfig) -> DataFrame:
-    """Keys of a split query, over views whose names are the tables'."""
-    spark = db[task.table].sparkSession
-    for name in db.frames:
-        if name in query:
-            db[name].createOrReplaceTempView(name)
-    try:
-        return splits.query_keys(spark, query, list(task.key))
-    finally:
-        for name in db.frames:
-            spark.catalog.dropTempView(name)
+    """Keys of a split query over the database's tables."""
+    return splits.query_keys(db[task.table].sparkSession, db.frames, query, list(task.key))
 
 
 def check_data(db: Database, valid: ValidatedTask, rows: DataFrame) -> DataFrame:

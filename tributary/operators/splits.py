@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tributary.functions.scalars import order_key
 from tributary.operators.checks import safe_select
+from tributary.operators.keys import null_keys
+from tributary.session import sql_over
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
@@ -80,13 +82,13 @@ def default_split(rows: DataFrame, key: list[str], *, time: str | None = None, l
     return time_split(rows, time, label=label, fraction=fraction)
 
 
-def query_keys(spark: SparkSession, query: str, key: list[str]) -> DataFrame:
-    """Keys that one SELECT gives, with exactly the key's columns; null or repeated keys raise."""
-    found = spark.sql(safe_select(query))
+def query_keys(spark: SparkSession, frames: Mapping[str, DataFrame], query: str, key: list[str]) -> DataFrame:
+    """Keys that one SELECT over ``frames`` gives, with exactly the key's columns; null or repeated keys raise."""
+    found = sql_over(spark, frames, safe_select(query))
     if sorted(found.columns) != sorted(key):
         raise SplitError(f"a split query must give the columns {key}, not {found.columns}")
     bad = found.groupBy(*key).count().filter("count > 1").limit(1).count()
-    null = found.filter(" OR ".join(f"`{k}` IS NULL" for k in key)).limit(1).count()
+    null = null_keys(found, key).limit(1).count()
     if bad or null:
         raise SplitError("a split query gives a key twice or a null key")
     return found.select(*key)

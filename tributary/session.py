@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +14,7 @@ def session(app: str = "tributary", master: str | None = None, **conf: str) -> S
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.python.filterPushdown.enabled": "true"}
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -32,3 +34,20 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tributary-"))
     return df.checkpoint()
+
+
+def sql_over(spark: SparkSession, frames: Mapping[str, DataFrame], sql: str, params: Mapping[str, object] | None = None) -> DataFrame:
+    """A query over frames by name, which shadow tables and views of those names.
+
+    The names are of the query alone: it is put under a WITH over views that are gone
+    when this returns, so nothing of the session's is overwritten or left behind.
+    """
+    views = {name: f"__{uuid.uuid4().hex}" for name in frames}
+    try:
+        for name, view in views.items():
+            frames[name].createTempView(view)
+        named = ", ".join(f"`{name.replace('`', '``')}` AS (SELECT * FROM `{view}`)" for name, view in views.items())
+        return spark.sql(f"WITH {named} SELECT * FROM ({sql.strip().rstrip(';')}\n)" if views else sql, args=dict(params or {}))
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)

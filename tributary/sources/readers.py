@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
@@ -9,6 +10,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tributary.schema import Keys
+from tributary.session import sql_over
+from tributary.sources.arrowstream import arrow_stream
+
 
 class ReaderClosedError(RuntimeError):
     pass
@@ -68,48 +73,36 @@ class Reader:
         self._check()
         return {n: self.table(n) for n in self.names()}
 
+    def keys(self) -> Keys:
+        """Ids and links that the database itself declares; files declare none."""
+        return Keys()
+
     def query(self, sql: str, **params) -> DataFrame:
         """SQL over the tables; ``:name`` marks a parameter, which is bound and never written into the text."""
         self._check()
-        sql_tables = {n: df for n, df in self.tables().items() if n in sql}
-        spark = self.spark.newSession()
-        spark.conf.set("spark.sql.session.timeZone", self.spark.conf.get("spark.sql.session.timeZone"))
-        for n in sql_tables:
-            self._view(spark, n)
-        return spark.sql(sql, args=params)
-
-    def _view(self, spark: SparkSession, name: str) -> None:
-        """A view in a session of the query's own, so no name leaks."""
-        raise NotImplementedError
+        meant = [n for n in self.names() if re.search(rf"(?<!\w){re.escape(n)}(?!\w)", sql, re.IGNORECASE)]
+        return sql_over(self.spark, {n: self.table(n) for n in meant}, sql, params)
 
     def read_query(self, sql: str, **params) -> pd.DataFrame:
         """The whole result; integers that may be null keep all their digits."""
         return self.query(sql, **params).toArrow().to_pandas(types_mapper=pd.ArrowDtype)
 
-    def iter_query(self, sql: str, *, batch_size: int, **params) -> Iterator[pd.DataFrame]:
-        """The result in frames of up to ``batch_size`` rows, a partition at a time on the driver."""
-        if batch_size <= 0:
-            raise ValueError("batch_size must be positive")
+    def stream(self, sql: str, *, batch_size: int | None = None, **params) -> pa.RecordBatchReader:
+        """The result as Arrow record batches, in order, of ``batch_size`` rows where it is given."""
+        return arrow_stream(self.query(sql, **params), batch_size)
+
+    def iter_query(self, sql: str, *, batch_size: int | None, **params) -> Iterator[pd.DataFrame]:
+        """The result in frames of up to ``batch_size`` rows, or in one frame without a size."""
+        if batch_size is None:
+            return iter([self.read_query(sql, **params)])
         return batches(self.query(sql, **params), batch_size)
 
 
 def batches(df: DataFrame, batch_size: int) -> Iterator[pd.DataFrame]:
-    schema, rows = df.schema, []
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def frame() -> pd.DataFrame:
-        columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
-        return pa.table(columns, schema=arrow).to_pandas(types_mapper=pd.ArrowDtype)
-
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        rows.append(row)
-        if len(rows) == batch_size:
-            yield frame()
-            rows = []
-    if rows:
-        yield frame()
+    """Rows as pandas frames of Arrow columns, so integers that may be null keep all their digits."""
+    if batch_size <= 0:
+        raise ValueError("batch_size must be positive")
+    return (b.to_pandas(types_mapper=pd.ArrowDtype) for b in arrow_stream(df, batch_size))
 
 
 class FileReader(Reader):
@@ -126,16 +119,10 @@ class FileReader(Reader):
         end = f".{self.fmt}"
         return [n.removesuffix(end) for n, folder in listing(self.spark, self.path) if not n.startswith(("_", ".")) and (n.endswith(end) or folder)]
 
-    def _load(self, spark: SparkSession, name: str) -> DataFrame:
-        whole = f"{self.path}/{name}.{self.fmt}"
-        return spark.read.format(self.fmt).options(**self.options).load(whole if exists(spark, whole) else f"{self.path}/{name}")
-
     def table(self, name: str) -> DataFrame:
         self._check()
-        return self._load(self.spark, name)
-
-    def _view(self, spark: SparkSession, name: str) -> None:
-        self._load(spark, name).createOrReplaceTempView(name)
+        whole = f"{self.path}/{name}.{self.fmt}"
+        return self.spark.read.format(self.fmt).options(**self.options).load(whole if exists(self.spark, whole) else f"{self.path}/{name}")
 
 
 # JDBC prefixes by dialect.
@@ -175,20 +162,14 @@ class JdbcReader(Reader):
         self._check()
         return self._names
 
-    def _load(self, spark: SparkSession, name: str) -> DataFrame:
-        read = spark.read.format("jdbc").option("url", self.url).option("dbtable", name).options(**self.options)
+    def table(self, name: str) -> DataFrame:
+        self._check()
+        read = self.spark.read.format("jdbc").option("url", self.url).option("dbtable", name).options(**self.options)
         if name in self.partitions:
             column, low, high, n = self.partitions[name]
             read = read.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=n)
         return read.load()
 
-    def table(self, name: str) -> DataFrame:
-        self._check()
-        return self._load(self.spark, name)
-
-    def _view(self, spark: SparkSession, name: str) -> None:
-        self._load(spark, name).createOrReplaceTempView(name)
-
 
 _READERS: dict[str, Callable[..., Reader]] = {}
 
@@ -203,7 +184,10 @@ def register_reader(name: str, make: Callable[..., Reader]) -> None:
 
 def open_database(spark: SparkSession, location: str, *, reader: str | None = None, **options) -> Reader:
     """A reader for a folder or an address; the kind is told from the address unless named."""
-    kind = _name(reader) if reader else ("jdbc" if location.startswith("jdbc:") or urlsplit(location).scheme.split("+")[0] in JDBC else "parquet")
+    dialect = urlsplit(location).scheme.split("+")[0]
+    kind = _name(reader) if reader else "sqlite" if dialect == "sqlite" else "jdbc" if dialect == "jdbc" or dialect in JDBC else "parquet"
+    if kind == "sqlite" and kind not in _READERS:
+        import tributary.sources.sqlite  # noqa: F401 - registers itself
     if kind not in _READERS:
         raise ValueError(f"unknown reader {kind!r}; there are {sorted(_READERS)}")
     return _READERS[kind](spark, location, **options)
