@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tributary.config import ConfigError, parse_config
 from tributary.functions import scalars, text
-from tributary.operators import checks, features, graph, keys, metrics, paths, processors, sampling, seeds, splits, stats
+from tributary.operators import checks, features, graph, keys, metrics, paths, processors, ranks, sampling, seeds, splits, stats
 from tributary.schema import Database, Keys, Link, SchemaError
 from tributary.sources import artifacts, catalog, readers
 
@@ -195,6 +195,32 @@ def test_values_at_ranks(spark, monkeypatch):
         assert {r["g"]: tuple(r)[1:] for r in metrics.nearest_rank(df, ["g"], "x", shares).collect()} == want
 
 
+def test_values_by_rank(spark, monkeypatch):
+    """Exact elements, whether columns are looked through whole, by brackets, by narrowed ones or by such that missed."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.gauss(0, 9) if rng.random() < 0.9 else None, rng.randrange(4), float(k % 3 == 0), None) for k in range(4000)]
+    df = spark.createDataFrame(rows, "a double, b long, c double, d double").repartition(5)
+    places = {c: [("low", 0.0, lambda n: 0), ("some", 0.3, lambda n: (3 * n) // 10), ("mid", 0.5, lambda n: n // 2), ("high", 1.0, lambda n: n - 1)] for c in "abcd"}
+    want = {}
+    for i, c in enumerate("abcd"):
+        v = sorted(r[i] for r in rows if r[i] is not None)
+        want[c] = {"n": len(v), "min": v[0] if v else None, "max": v[-1] if v else None} | {name: v[rank(len(v))] if v else None for name, _, rank in places[c]}
+    for few, inside, sample, reach in ((ranks.FEW, ranks.MOST_INSIDE, ranks.SAMPLE, ranks.REACH), (10, 1 << 22, 2000, 0.03), (10, 60, 3000, 0.03), (10, 1 << 22, 40, 0.0)):
+        for name, value in (("FEW", few), ("MOST_INSIDE", inside), ("SAMPLE", sample), ("REACH", reach)):
+            monkeypatch.setattr(ranks, name, value)
+        assert ranks.values_by_rank(df, {c: F.col(c) for c in "abcd"}, places)[0] == want
+
+
+def test_large_vocabularies_are_numbered_alike(spark, monkeypatch):
+    df = spark.range(300).select((F.col("id") % 37).cast("string").alias("a"), F.when(F.col("id") % 5 > 0, F.split(F.concat_ws(" ", F.col("id") % 7, F.col("id") % 11), " ")).alias("b"))
+    small = sorted(map(tuple, stats.vocabularies(df, {"a": False, "b": True}).collect()))
+    monkeypatch.setattr(stats, "FEW_VALUES", 5)
+    assert sorted(map(tuple, stats.vocabularies(df, {"a": False, "b": True}).collect())) == small
+    assert [r[3] for r in small if r[0] == "a"] and sorted(r[3] for r in small if r[0] == "b") == list(range(11))
+
+
 def test_dangling_modes(spark):
     child = spark.createDataFrame([(1, 0), (2, 9), (3, None)], "id int, p int")
     parent = spark.createDataFrame([(0,)], "id int")

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.functions.scalars import number
 from tributary.operators.keys import assign_dense_ids
+from tributary.operators.ranks import Place, values_by_rank
 from tributary.session import cut
 
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
+#: Vocabularies of up to so many values, all columns together, are numbered at once; larger ones over ranges.
+FEW_VALUES = 10_000
 
 
 #: Ranks are looked for between approximate quantiles this far on either side; each of those is
@@ -57,64 +64,128 @@ def values_at(df: DataFrame, by: list[str], value: str, places: dict[str, tuple[
     return first.drop("__min", "__max", *ends).join(named, alike(first), "left").drop(*[f"__k{i}" for i in range(len(by))])
 
 
-def numeric_stats(df: DataFrame, columns: list[str], group: list[str] | None = None) -> DataFrame:
+def _linear(q: float) -> list[Place]:
+    """The two elements that a quantile lies between."""
+    name = f"{100 * q:.0f}"
+    return [(f"low{name}", q, lambda n: math.floor((n - 1) * q)), (f"high{name}", q, lambda n: math.ceil((n - 1) * q))]
+
+
+_QUARTILES = [p for q in QUANTILES[1:-1] for p in _linear(q)]
+_MEDIAN: list[Place] = [("median", 0.5, lambda n: n // 2)]
+
+
+def _quantile(found: dict, q: float) -> float | None:
+    low, high = found[f"low{100 * q:.0f}"], found[f"high{100 * q:.0f}"]
+    if low is None or low == high:
+        return low
+    rest = (found["n"] - 1) * q - math.floor((found["n"] - 1) * q)
+    return (1 - rest) * low + rest * high
+
+
+@dataclass(frozen=True)
+class TableStatistics:
+    """What encoders need to know of a table's columns; all rows but those of vocabularies are in memory."""
+
+    types: Mapping[str, str]
+    numbers: Mapping[str, Mapping[str, float | int | None]]
+    times: Mapping[str, Mapping[str, int | None]]
+    texts: Mapping[str, int]
+    words: DataFrame | None  # (column, value, n, idx)
+
+    def vocabulary(self, column: str) -> DataFrame:
+        return self.words.filter(F.col("column") == column)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """(column, kind, name, value, number, n): every statistic as a row."""
+        rows = [(c, "numerical", name, None, None if v is None else float(v), s["n"]) for c, s in self.numbers.items() for name, v in s.items() if name != "n"]
+        rows += [(c, "timestamp", name, None, None if v is None else float(v), s["n"]) for c, s in self.times.items() for name, v in s.items() if name != "n"]
+        rows += [(c, "text_embedded", "filled", None, None, n) for c, n in self.texts.items()]
+        out = spark.createDataFrame(rows, "column string, kind string, name string, value string, number double, n bigint")
+        if self.words is None:
+            return out
+        kinds = F.create_map(*[F.lit(x) for c, k in self.types.items() for x in (c, k)])
+        return out.unionByName(self.words.select("column", kinds[F.col("column")].alias("kind"), F.lit("value").alias("name"), "value", F.col("idx").cast("double").alias("number"), "n"))
+
+
+def statistics(df: DataFrame, types: Mapping[str, str], *, separator: str | None = None) -> TableStatistics:
+    """Statistics of all columns by semantic type: one scan of the table, a second near the ranks
+    that quantiles and medians stand at, and one for all its vocabularies.
+
+    numerical: n, mean and deviation (of the population) of finite values, exact interpolated quantiles.
+    timestamp: n, first and last year, oldest, newest and the element of rank n div 2, in microseconds.
+    categorical, multicategorical: counts of values (of elements of arrays, or of texts cut at
+    ``separator``), numbered by falling count.  text_embedded: how many are there.
+    """
+    of = lambda kind: [c for c, k in types.items() if k == kind]
+    numbers, times, texts = of("numerical"), of("timestamp"), of("text_embedded")
+    columns = {c: number(c) for c in numbers} | {c: F.unix_micros(F.col(c).cast("timestamp")) for c in times}
+    places = dict.fromkeys(numbers, _QUARTILES) | dict.fromkeys(times, _MEDIAN)
+    extra = {f"{k}{i}": f(f"__v{i}") for i in range(len(numbers)) for k, f in (("mean", F.avg), ("std", F.stddev_pop))}
+    extra |= {f"text{i}": F.count(c) for i, c in enumerate(texts)}
+    found, row = values_by_rank(df.select(*types), columns, places, extra) if columns or texts else ({}, None)
+    out_numbers = {}
+    for i, c in enumerate(numbers):
+        f = found[c]
+        middle = {f"q{100 * q:.0f}": _quantile(f, q) for q in QUANTILES[1:-1]}
+        out_numbers[c] = {"n": f["n"], "mean": row[f"mean{i}"], "std": row[f"std{i}"], "q0": f["min"], **middle, "q100": f["max"]}
+    out_times = {c: {"n": found[c]["n"], "oldest": found[c]["min"], "median": found[c]["median"], "newest": found[c]["max"]} for c in times}
+    listed = [c for c, k in types.items() if k in ("categorical", "multicategorical")]
+    words = vocabularies(df, {c: types[c] == "multicategorical" for c in listed}, separator) if listed else None
+    return TableStatistics(dict(types), out_numbers, out_times, {c: row[f"text{i}"] for i, c in enumerate(texts)}, words)
+
+
+def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, mean, std, q0, q25, q50, q75, q100) of the finite values of each column, all columns together.
 
     The deviation is of the population, quantiles are exact and interpolated; a column
     without values has n 0 and nulls.
     """
-    by = [*(group or []), "column"]
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), number(c).alias("x")) for c in columns])
-    long = df.select(*(group or []), F.explode(cells).alias("c")).select(*(group or []), "c.column", "c.x")
-    places = {}
-    for q in QUANTILES[1:-1]:
-        places[f"low{100 * q:.0f}"] = (q, lambda n, q=q: F.floor((n - 1) * q))
-        places[f"high{100 * q:.0f}"] = (q, lambda n, q=q: F.ceil((n - 1) * q))
-    whole = [F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("q0"), F.max("x").alias("q100")]
-    out = values_at(long, by, "x", places, whole)
-    between = []
-    for q in QUANTILES[1:-1]:
-        rest = (F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)
-        low, high = F.col(f"low{100 * q:.0f}"), F.col(f"high{100 * q:.0f}")
-        between.append(F.when(low == high, low).otherwise((1 - rest) * low + rest * high).alias(f"q{int(100 * q)}"))
-    out = out.select(*by, "n", "mean", "std", "q0", *between, "q100")
-    if group:
-        return out
-    named = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")  # columns of a table without rows, too
-    return named.join(out, "column", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    names = ["n", "mean", "std", *[f"q{100 * q:.0f}" for q in QUANTILES]]
+    found = statistics(df, dict.fromkeys(columns, "numerical")).numbers
+    kinds = "column string, n bigint, " + ", ".join(f"{n} double" for n in names[1:])
+    return df.sparkSession.createDataFrame([(c, *[found[c][n] for n in names]) for c in columns], kinds)
+
+
+def vocabularies(df: DataFrame, columns: Mapping[str, bool], separator: str | None = None) -> DataFrame:
+    """(column, value, n, idx) for several columns, each read once; ``columns`` says of each whether it holds many values a row."""
+    items = {c: F.explode(F.split(F.col(c), separator) if separator else F.col(c)) if many else F.col(c) for c, many in columns.items()}
+    values = [df.select(F.lit(c).alias("column"), x.alias("value")).select("column", F.col("value").cast("string").alias("value")) for c, x in items.items()]
+    counts = reduce(DataFrame.unionByName, values).filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    few = counts.limit(FEW_VALUES + 1).toArrow()
+    if few.num_rows <= FEW_VALUES:
+        rows = sorted(few.to_pylist(), key=lambda r: (r["column"], -r["n"], r["value"]))
+        out = [(r["column"], r["value"], r["n"], i) for _, group in groupby(rows, key=itemgetter("column")) for i, r in enumerate(group)]
+        return df.sparkSession.createDataFrame(out, "column string, value string, n bigint, idx bigint")
+    counts = cut(counts)  # many: numbered over ranges, column by column
+    parts = [_numbered(counts.filter(F.col("column") == c)) for c in columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _numbered(counts: DataFrame) -> DataFrame:
+    ranked = assign_dense_ids(counts.withColumn("__less", -F.col("n")), ["__less", "value"], "idx")
+    return ranked.select("column", "value", "n", F.col("idx").cast("bigint").alias("idx"))
 
 
 def vocabulary(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """(column, value, n, idx) of the values that are not null, by falling count, then by value."""
-    n = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    ranked = assign_dense_ids(n.withColumn("__less", -F.col("n")), ["__less", "value"], "idx")
-    return ranked.select(F.lit(name or column).alias("column"), "value", "n", F.col("idx").cast("bigint").alias("idx"))
+    return vocabularies(df, {column: False}).withColumn("column", F.lit(name or column))
 
 
 def element_vocabulary(df: DataFrame, column: str, separator: str | None = None) -> DataFrame:
     """As ``vocabulary``, over the elements of arrays, or of text split at ``separator``."""
-    items = F.split(F.col(column), separator) if separator else F.col(column)
-    return vocabulary(df.select(F.explode(items).alias(column)), column)
+    return vocabularies(df, {column: True}, separator)
 
 
 def time_stats(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """(column, n, min_year, max_year, oldest, median, newest): the median is the element of rank n div 2 from 0.
 
-    The rank is found by counts of seconds, so only one second's rows are ordered; no
-    column is sorted in one task.  An empty column has n 0 and years -1.
+    An empty column has n 0 and years -1.
     """
-    t = F.col(column).cast("timestamp")
-    counts = df.filter(t.isNotNull()).groupBy(t.alias("t")).agg(F.count("*").alias("n")).withColumn("block", F.date_trunc("day", "t"))
-    days = counts.groupBy("block").agg(F.sum("n").alias("n"))
-    running = days.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
-    total = df.agg(F.count(t).alias("total"), F.min(t).alias("oldest"), F.max(t).alias("newest"))
-    inside = F.sum("n").over(Window.partitionBy("block").orderBy("t"))
-    middle = F.call_function("div", df.agg(F.count(t)).scalar(), F.lit(2))
-    upto = F.col("before") + F.col("upto")
-    median = counts.withColumn("upto", inside).join(running, "block").filter((upto > middle) & (upto - F.col("n") <= middle)).agg(F.min("t")).scalar()
-    out = total.withColumn("median", median)
-    year = lambda c: F.coalesce(F.year(c), F.lit(-1))
-    return out.select(F.lit(name or column).alias("column"), F.col("total").alias("n"), year("oldest").alias("min_year"), year("newest").alias("max_year"), *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("oldest", "median", "newest")])
+    found = statistics(df, {column: "timestamp"}).times[column]
+    out = df.sparkSession.createDataFrame([(name or column, *[found[k] for k in ("n", "oldest", "median", "newest")])], "column string, n bigint, oldest bigint, median bigint, newest bigint")
+    at = {k: F.timestamp_micros(k).cast("timestamp_ntz") for k in ("oldest", "median", "newest")}
+    year = {k: F.coalesce(F.year(at[t]), F.lit(-1)) for k, t in (("min_year", "oldest"), ("max_year", "newest"))}
+    return out.select("column", "n", *[c.alias(k) for k, c in {**year, **at}.items()])
 
 
 def table_stats(df: DataFrame, name: str, time: str | None = None, cutoff=None) -> DataFrame:

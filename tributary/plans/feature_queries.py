@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tributary.functions import scalars, text
 from tributary.operators import checks, features, graph, metrics, processors, sampling, stats
 from tributary.plans.fixture import Registry, database, table
+from tributary.session import together
 from tributary.sources.catalog import Task
 
 REGISTRY = Registry()
@@ -34,7 +35,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @REGISTRY.add(" UNION ALL ".join(_stats_sql(t, c) for t, cs in _NUMERIC.items() for c in cs))
 def numeric_stats(spark, sf_dir):
-    return _rounded(_union([stats.numeric_stats(table(spark, sf_dir, t), cs).withColumn("table", F.lit(t)) for t, cs in _NUMERIC.items()]))
+    return _rounded(_union(together(lambda t: stats.numeric_stats(table(spark, sf_dir, t), _NUMERIC[t]).withColumn("table", F.lit(t)), _NUMERIC)))
 
 
 _DIRTY = "CASE WHEN event_id % 11 = 0 THEN 'bad' WHEN event_id % 13 = 0 THEN 'Infinity' WHEN event_id % 17 = 0 THEN NULL ELSE CAST(value AS string) END"
@@ -56,7 +57,11 @@ def _vocabulary_sql(t: str, c: str) -> str:
 
 @REGISTRY.add(" UNION ALL ".join(_vocabulary_sql(*x) for x in _CATEGORIES))
 def category_vocabulary(spark, sf_dir):
-    return _union([stats.vocabulary(table(spark, sf_dir, t), c) for t, c in _CATEGORIES])
+    """Vocabularies of several tables, one scan of each."""
+    columns = {}
+    for t, c in _CATEGORIES:
+        columns.setdefault(t, {})[c] = False
+    return _union(together(lambda t: stats.vocabularies(table(spark, sf_dir, t), columns[t]), columns))
 
 
 @REGISTRY.add(_vocabulary_sql("(SELECT unnest(string_split(p_type, ' ')) AS p_type FROM part)", "p_type"))
@@ -70,7 +75,8 @@ def _time_sql(t: str, c: str) -> str:
 
 @REGISTRY.add(" UNION ALL ".join(_time_sql(t, c) for t, c in (("orders", "o_orderdate"), ("events", "ts"), ("lineitem", "l_shipdate"))))
 def timestamp_order_stats(spark, sf_dir):
-    return _union([stats.time_stats(table(spark, sf_dir, t), c) for t, c in (("orders", "o_orderdate"), ("events", "ts"), ("lineitem", "l_shipdate"))])
+    columns = {"orders": "o_orderdate", "events": "ts", "lineitem": "l_shipdate"}
+    return _union(together(lambda t: stats.time_stats(table(spark, sf_dir, t), columns[t]), columns))
 
 
 @REGISTRY.add("SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 AS seconds, year(o_orderdate)::INT AS year, month(o_orderdate)::INT - 1 AS month, day(o_orderdate)::INT - 1 AS day, isodow(o_orderdate)::INT - 1 AS weekday, hour(o_orderdate)::INT AS hour, minute(o_orderdate)::INT AS minute, second(o_orderdate)::INT AS second FROM orders")
@@ -90,7 +96,7 @@ def category_encode_with_unknown(spark, sf_dir):
 @REGISTRY.add("SELECT CAST(0 AS BIGINT) AS n_bad, count(DISTINCT p_brand) AS n_values FROM part")
 def category_range_check(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    v = stats.vocabulary(part, "p_brand").persist()
+    v = stats.vocabulary(part, "p_brand")
     n = v.count()
     encoded = features.encode_category(part, "p_brand", v, "idx")
     return checks.out_of_range(encoded, "idx", n).agg(F.count("*").alias("n_bad")).withColumn("n_values", F.lit(n).cast("bigint"))
