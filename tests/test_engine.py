@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tributary.functions import scalars, text
 from tributary.operators import checks, features, graph, keys, metrics, paths, processors, ranks, sampling, seeds, splits, stats
 from tributary.schema import Database, Keys, Link, SchemaError
 from tributary.sources import artifacts, catalog, readers
+from tributary.sources.encoded import EncodedStore
 
 
 def day(n):
@@ -358,18 +360,92 @@ def test_encode_and_processors(spark):
         assert set(p.output_spec()) <= set(df2.columns)
     with pytest.raises(ValueError):
         processors.plan({"x": "unknown"})
-    with pytest.raises(RuntimeError):
+    with pytest.raises(processors.NotFittedError):
         processors.processor("index", "c").transform(df)
 
 
+def test_processors_keep_their_state(spark, tmp_path):
+    rows = [(0, "x", 1.0, day(1), "a,b", "one two"), (1, "y", None, None, "a", None), (2, "x", 3.0, day(2), None, "two"), (3, None, 8.0, day(3), "c,a,zz", "")]
+    df = spark.createDataFrame(rows, "k long, c string, v double, t timestamp_ntz, m string, s string")
+    types = {"c": "categorical", "v": "numerical", "t": "timestamp", "m": "multicategorical", "s": "text_embedded"}
+    chosen = {"v": ("standardize", {"center": "median", "scale": "quartiles", "fill": "center"}), "c": ("index", {"least_count": 2}), "m": (None, {"separator": ","}), "s": (None, {"dim": 8})}
+    plan = processors.fit_all(df.filter("k < 3"), processors.plan(types, chosen))
+    out = {r["k"]: r for r in processors.transform_all(df, "k", plan).collect()}
+    assert [out[k]["v_std"] for k in range(4)] == [-1.0, 0.0, 1.0, 6.0]
+    assert [out[k]["c_idx"] for k in range(4)] == [0, -1, 0, -1]
+    assert [out[k]["m_idx"] for k in range(4)] == [[0, 1], [0], [], [-1, 0, -1]]
+    assert len(out[0]["s_vec"]) == 8 and out[1]["t_parts"] == [-1] * 7
+    whole = processors.assemble(processors.transform_all(df, "k", plan), "k", plan)
+    assert set(whole.columns) == {"k", "categorical", "multicategorical", "numerical", "text_embedded", "timestamp"}
+    path = str(tmp_path / "plan")
+    processors.save(spark, path, {"t": plan}, {"cutoff": 3})
+    again = processors.load(spark, path, {"cutoff": 3})["t"]
+    assert [p.digest() for p in again] == [p.digest() for p in plan]
+    assert sorted(map(str, processors.transform_all(df, "k", again).collect())) == sorted(map(str, out.values()))
+    with pytest.raises(artifacts.ArtifactError):
+        processors.load(spark, path, {"cutoff": 4})
+    with pytest.raises(ValueError):
+        processors.processor("standardize", "v", scale="much")
+    with pytest.raises(ValueError):
+        processors.processor("standardize", "v", other=1)
+    with pytest.raises(ValueError):
+        processors.plan({"v": "numerical"}, {"v": ("index", {})})
+
+
+def test_encoded_columns_are_kept(spark, tmp_path):
+    df = spark.createDataFrame([(k, "ab"[k % 2], float(k), k) for k in range(20)], "k long, c string, v double, w long")
+    types = {"c": "categorical", "v": "numerical", "w": "numerical"}
+    store = EncodedStore(spark, str(tmp_path / "store"))
+    plan = processors.fit_all(df.filter("k < 10"), processors.plan(types))
+    want = sorted(map(tuple, processors.transform_all(df, "k", plan).collect()))
+    for made in ([("t", c) for c in types], [("t", c) for c in types]):  # the second time nothing is made
+        assert sorted(map(tuple, store.columns("t", df, "k", plan).collect())) == want and store.made == made
+    other = processors.fit_all(df.filter("k < 12"), processors.plan(types))  # numbers are standardised otherwise, the vocabulary is too
+    store.made = []
+    assert sorted(map(tuple, store.columns("t", df, "k", [plan[0], *other[1:]]).collect())) == sorted(map(tuple, processors.transform_all(df, "k", [plan[0], *other[1:]]).collect()))
+    assert store.made == [("t", "v"), ("t", "w")]
+    store.made = []
+    changed = df.withColumn("w", F.col("w") + F.when(F.col("k") == 3, 1).otherwise(0))
+    store.columns("t", changed, "k", plan).collect()
+    assert store.made == [("t", "w")]
+    assert store.spec("t") == {"c": {"c_idx": "bigint"}, "v": {"v_std": "double"}, "w": {"w_std": "double"}}
+
+
 def test_text_vectors(spark, tmp_path):
     df = spark.createDataFrame([(0, "a b"), (1, "a b"), (2, None), (3, "c")], "k int, s string")
-    calls = text.hashed_embedder(16)
-    got = {r["k"]: r["embedding"] for r in text.embed_column(df, "s", calls).collect()}
+    got = {r["k"]: r["embedding"] for r in text.embed_column(df, "s", text.hashed_embedder(16)).collect()}
     assert got[0] == got[1] and got[2] == [0.0] * 16 and got[0] != got[3]
-    cache = str(tmp_path / "cache")
-    assert text.refresh_cache(df, "s", cache, calls, "m").count() == 3
-    assert text.refresh_cache(df, "s", cache, calls, "m").count() == 3
+    cache, hashed = str(tmp_path / "cache"), text.HashedVectors(16)
+    assert text.refresh_cache(df, "s", cache, hashed).count() == 3
+    assert text.refresh_cache(df, "s", cache, hashed).count() == 3
+    first = text.WordVectors(spark.createDataFrame([("a", [1.0, 0.0]), ("c", [0.0, 2.0])], "word string, vector array<float>"), dim=2)
+    other = text.WordVectors(spark.createDataFrame([("a", [5.0, 0.0]), ("c", [0.0, 2.0])], "word string, vector array<float>"), dim=2)
+    assert sorted(r["embedding"] for r in text.refresh_cache(df, "s", cache, first).collect()) == [[0.0, 0.0], [0.0, 2.0], [1.0, 0.0]]
+    assert sorted(r["embedding"] for r in text.refresh_cache(df, "s", cache, other).collect()) == [[0.0, 0.0], [0.0, 2.0], [5.0, 0.0]]  # no stale hit
+    text.compact_cache(spark, f"{cache}/embedder={first.digest()}", str(tmp_path / "small"), 1)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "small")).collect())) == sorted(map(tuple, text.refresh_cache(df, "s", cache, first).collect()))
+
+
+def test_bags_equal_joined_vectors(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(30)]
+    vectors = spark.createDataFrame([(w, [rng.uniform(-1, 1) for _ in range(5)]) for w in words[:25]], "word string, vector array<float>")
+    df = spark.createDataFrame([(k, None if k == 7 else " ".join(rng.choices(words, k=rng.randrange(9)))) for k in range(60)], "k long, s string").repartition(3)
+    monkeypatch.setattr(text, "BAG_IDS", 10)
+    bags = {r["k"]: r["embedding"] for r in text.WordVectors(vectors, dim=5).embed(df, "s", "embedding").collect()}
+    monkeypatch.setattr(text, "BROADCAST_BYTES", 0)
+    joined = {r["k"]: r["embedding"] for r in text.WordVectors(vectors, dim=5).embed(df, "s", "embedding").collect()}
+    assert bags.keys() == joined.keys() and all(bags[k] == pytest.approx(joined[k], abs=1e-6) for k in bags)
+
+
+def test_weighted_bags(spark):
+    matrix = np.array([[1, 0], [0, 1], [4, 4]], np.float32)
+    df = spark.createDataFrame([(0, [0, 1], [1.0, 3.0]), (1, [2, -1], [2.0, 9.0]), (2, [], []), (3, None, None), (4, [0, 1], [1.0, -1.0])], "k long, ids array<int>, w array<double>")
+    got = {r["k"]: r["embedding"] for r in text.embed_bags(df, "ids", matrix, weights="w").collect()}
+    assert got == {0: [0.25, 0.75], 1: [4.0, 4.0], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 0.0]}
+    assert {r["k"]: r["embedding"] for r in text.embed_bags(df, "ids", matrix).collect()}[0] == [0.5, 0.5]
 
 
 def test_reports(spark):

@@ -45,16 +45,16 @@ def nodes(db: Database, *, cutoff=None, strict: bool = False, at_seconds: bool =
 
 
 def key_edges(db: Database, link: Link, *, cutoff=None, reverse: bool = False, on_dangling: str = "drop", at_seconds: bool = True) -> DataFrame:
-    """Edges of one link, in one direction.  Rows with a null in the key give none; a key of several columns goes by the parent's id."""
+    """Edges of one link, in one direction.  Rows with a null in the key give none; a key that is no node id is looked up."""
     child, parent, own_id = link.child, link.parent, db.id_of(link.child)
     rows = before_cutoff(db[child], db.times.get(child), cutoff).dropna(subset=list(link.columns))
     others = before_cutoff(db[parent], db.times.get(parent), cutoff)
-    if reverse or len(link.columns) > 1:
-        parent_id = F.col(link.key[0] if len(link.key) == 1 else db.id_of(parent))
-        known = others.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(link.key)], parent_id.alias("__parent"), _time(db, parent, at_seconds).alias("__time"))
+    direct = link.key == (db.id_of(parent),)
+    if reverse or not direct:
+        known = others.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(link.key)], F.col(db.id_of(parent)).alias("__parent"), _time(db, parent, at_seconds).alias("__time"))
         same = reduce(lambda a, b: a & b, [rows[c] == known[f"__k{i}"] for i, c in enumerate(link.columns)])
         rows = rows.join(known, same, "inner" if on_dangling == "drop" else "left")
-        parent_id = F.col("__parent") if len(link.columns) > 1 else F.col(link.columns[0])
+        parent_id = F.col(link.columns[0] if direct else "__parent")
     else:
         rows, parent_id = resolve_dangling(rows, link.columns[0], others, link.key[0], on_dangling), F.col(link.columns[0])
     types, ids = ((parent, child), (parent_id, F.col(own_id))) if reverse else ((child, parent), (F.col(own_id), parent_id))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.schema import Database
 from tributary.session import cut
 
 NODE_ID = "__node_id__"
@@ -58,6 +59,21 @@ def key_mapping(df: DataFrame, key: list[str], name: str = NODE_ID) -> DataFrame
     return assign_dense_ids(df.select(*key).distinct(), key, name)
 
 
+def with_node_ids(db: Database, tables: list[str] | None = None) -> Database:
+    """Tables whose id is no single whole number get dense node ids beside it, by the order of their keys.
+
+    Rows without a whole key can't be nodes and drop out; links go on by the columns they name.
+    """
+    frames, nodes = dict(db.frames), dict(db.nodes)
+    for t in db.ids if tables is None else tables:
+        key = db.ids[t]
+        whole = len(key) == 1 and db[t].schema[key[0]].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+        if not whole and t not in nodes:
+            frames[t] = db[t].join(key_mapping(db[t].dropna(subset=list(key)), list(key)), list(key))
+            nodes[t] = NODE_ID
+    return Database(frames, db.keys, nodes)
+
+
 def duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -38,9 +38,11 @@ def coverage(order: DataFrame) -> DataFrame:
 
 
 def target_value(df: DataFrame, label: str, task_type: str) -> DataFrame:
-    """``df`` with the label in the type its task trains on."""
+    """``df`` with the label in the type its task trains on; rows without one keep null, and lists of destinations stay."""
+    if task_type == "recommendation":
+        return df
     c = {"binary_classification": binary_label(label), "multiclass_classification": F.col(label).cast("bigint"), "multilabel_classification": F.col(label).cast("array<float>")}.get(task_type, F.col(label).cast("double"))
-    return df.withColumn(label, c)
+    return df.withColumn(label, F.when(F.col(label).isNotNull(), c))
 
 
 def class_count(rows: DataFrame, label: str) -> int:

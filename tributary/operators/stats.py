@@ -13,6 +13,7 @@ from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tributary.functions.scalars import number
 from tributary.operators.keys import assign_dense_ids
@@ -209,7 +210,7 @@ def fill_counts(df: DataFrame, name: str) -> DataFrame:
 
 
 def infer_types(df: DataFrame, *, key: str, rows: int = 1000, seed: int = 42, text_words: float = 3.0) -> dict[str, str]:
-    """A semantic type for each column, from at most ``rows`` rows drawn by hash of the key."""
+    """A semantic type for each column, from at most ``rows`` rows drawn by hash of the key; binary values, maps and structs are of none."""
     sample = df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(rows)
     out: dict[str, str] = {}
     parts, asked = [], []
@@ -225,7 +226,7 @@ def infer_types(df: DataFrame, *, key: str, rows: int = 1000, seed: int = 42, te
             asked.append(f.name)
             parts += [F.countDistinct(f.name).alias(f"{f.name}__d"), F.count(f.name).alias(f"{f.name}__n"), F.avg(F.size(F.split(f.name, r"\s+"))).alias(f"{f.name}__w")]
         else:
-            out[f.name] = "numerical"
+            out[f.name] = "numerical" if isinstance(f.dataType, NumericType) else "other"
     if asked:
         r = sample.agg(*parts).first()
         for c in asked:

@@ -46,8 +46,10 @@ class Keys:
 
 
 class Database:
-    def __init__(self, frames: Mapping[str, DataFrame], keys: Keys = Keys()):
-        self.frames = dict(frames)
+    """Frames with their keys; ``nodes`` names the column of node ids in tables whose own id is no single number."""
+
+    def __init__(self, frames: Mapping[str, DataFrame], keys: Keys = Keys(), nodes: Mapping[str, str] | None = None):
+        self.frames, self.nodes = dict(frames), dict(nodes or {})
         links = tuple(x if x.key else replace(x, key=tuple(keys.ids.get(x.parent, ()))) for x in keys.links)
         self.ids, self.links, self.times = {t: tuple(k) for t, k in keys.ids.items()}, links, dict(keys.times)
         used = [*self.ids.items(), *((t, (c,)) for t, c in self.times.items()), *((x.child, x.columns) for x in links), *((x.parent, x.key) for x in links)]
@@ -73,7 +75,9 @@ class Database:
             raise SchemaError(f"{table} has no columns {missing}")
 
     def id_of(self, table: str) -> str:
-        """The one column that is a table's id."""
+        """The one column that tells a table's nodes apart."""
+        if table in self.nodes:
+            return self.nodes[table]
         key = self.ids.get(table, ())
         if len(key) != 1:
             raise SchemaError(f"{table}: a node needs one id column; map its key or assign ids first")
@@ -81,10 +85,10 @@ class Database:
 
     def only(self, tables: Iterable[str]) -> Database:
         own = {t: self[t] for t in tables}
-        return Database(own, self.keys.within(own))
+        return Database(own, self.keys.within(own), {t: c for t, c in self.nodes.items() if t in own})
 
     def feature_columns(self, table: str, hidden: Iterable[tuple[str, str]] = ()) -> list[str]:
         """Columns that may be features: no keys, none that are hidden."""
         keys = {*self.ids.get(table, ()), *(c for x in self.links if x.child == table for c in x.columns)}
-        gone = keys | {c for t, c in hidden if t == table}
+        gone = keys | {c for t, c in hidden if t == table} | {self.nodes.get(table)}
         return [c for c in self[table].columns if c not in gone]

@@ -13,7 +13,7 @@ from tributary.functions.scalars import encoding_of
 from tributary.operators.checks import violations
 from tributary.operators.keys import NODE_ID, assign_dense_ids
 from tributary.schema import Database, Keys, Link, SchemaError
-from tributary.sources.readers import exists, listing, remove
+from tributary.sources.readers import Reader, exists, listing, register_reader, remove
 
 VERSION = "1"
 RESERVED = ("_catalog_metadata", "_catalog_tables", "_catalog_columns", "_catalog_foreign_keys", "_catalog_tasks")
@@ -141,11 +141,12 @@ def write_dataset(dataset: Dataset, path: str, *, overwrite: bool = False, check
     return path
 
 
-class DatasetReader:
-    """A dataset that ``write_dataset`` made."""
+class DatasetReader(Reader):
+    """A dataset that ``write_dataset`` made: its data and task tables, keys and tasks."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        super().__init__(spark)
+        self.path = path.rstrip("/")
         if (v := self.metadata().get("version", VERSION)) != VERSION:
             raise SchemaError(f"catalogue of version {v}, not {VERSION}")
 
@@ -160,13 +161,21 @@ class DatasetReader:
         order = [r["name"] for r in sorted(self._catalog(2), key=lambda r: r["ordinal"]) if r["table"] == name]
         return df.select(*order) if order else df
 
-    def database(self) -> Database:
+    def names(self) -> list[str]:
+        return sorted(r["name"] for r in self._catalog(1))
+
+    def keys(self) -> Keys:
         rows = [r for r in self._catalog(1) if r["kind"] == "data"]
-        frames = {r["name"]: self.table(r["name"]) for r in rows}
         ids = {r["name"]: tuple(json.loads(r["identity_key"])) for r in rows if json.loads(r["identity_key"])}
         links = sorted(self._catalog(3), key=lambda r: (r["table"], r["ordinal"]))
         links = tuple(Link(r["table"], tuple(json.loads(r["columns"])), r["target"], tuple(json.loads(r["target_columns"]))) for r in links)
-        return Database(frames, Keys(ids, links, {r["name"]: r["time_column"] for r in rows if r["time_column"]}))
+        return Keys(ids, links, {r["name"]: r["time_column"] for r in rows if r["time_column"]})
+
+    def database(self) -> Database:
+        return Database({r["name"]: self.table(r["name"]) for r in self._catalog(1) if r["kind"] == "data"}, self.keys())
+
+    def hidden(self, table: str, task: str | None = None) -> list[tuple[str, str]]:
+        return sorted({h for t in self.tasks().values() if t.table == table and task in (None, t.name) for h in t.hides()})
 
     def tasks(self) -> dict[str, Task]:
         return {r["name"]: Task(*[r[c] for c in ("name", "table", "task_type", "entity_table", "entity_column", "target_column", "time_column", "destination_table", "split_column")], json.loads(r["extra"])) for r in self._catalog(4)}
@@ -241,3 +250,6 @@ def writer(name: str) -> Callable[..., str]:
     if name.lower() not in _WRITERS:
         raise ValueError(f"unknown writer {name!r}; there are {sorted(_WRITERS)}")
     return _WRITERS[name.lower()]
+
+
+register_reader("dataset", DatasetReader)

@@ -74,9 +74,13 @@ class Reader:
         return {n: self.table(n) for n in self.names()}
 
     def keys(self) -> Keys:
-        """Ids and links that the database itself declares; files declare none."""
+        """Ids, links and times that the database itself declares; files declare none."""
         return Keys()
 
+    def hidden(self, table: str, task: str | None = None) -> list[tuple[str, str]]:
+        """(table, column) of what the tasks of a task table hide, where the database lists tasks."""
+        return []
+
     def query(self, sql: str, **params) -> DataFrame:
         """SQL over the tables; ``:name`` marks a parameter, which is bound and never written into the text."""
         self._check()
@@ -125,6 +129,25 @@ class FileReader(Reader):
         return self.spark.read.format(self.fmt).options(**self.options).load(whole if exists(self.spark, whole) else f"{self.path}/{name}")
 
 
+class FramesReader(Reader):
+    """Tables that are DataFrames already, with the keys they are known to have."""
+
+    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame], keys: Keys | None = None):
+        super().__init__(spark)
+        self.frames, self._keys = dict(frames), keys or Keys()
+
+    def names(self) -> list[str]:
+        self._check()
+        return sorted(self.frames)
+
+    def table(self, name: str) -> DataFrame:
+        self._check()
+        return self.frames[name]
+
+    def keys(self) -> Keys:
+        return self._keys
+
+
 # JDBC prefixes by dialect.
 JDBC = {"postgresql": "postgresql", "postgres": "postgresql", "mysql": "mysql", "mariadb": "mariadb", "mssql": "sqlserver", "oracle": "oracle:thin", "clickhouse": "clickhouse", "sqlite": "sqlite"}
 
