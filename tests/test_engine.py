@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.config import ConfigError, parse_config
-from tributary.functions import scalars, text
+from tributary.functions import encodings, scalars, text
 from tributary.operators import checks, features, graph, keys, metrics, paths, processors, ranks, sampling, seeds, splits, stats
 from tributary.schema import Database, Keys, Link, SchemaError
-from tributary.sources import artifacts, catalog, readers
+from tributary.sources import artifacts, catalog, readers, versions
 from tributary.sources.encoded import EncodedStore
 
 
@@ -223,6 +223,46 @@ def test_large_vocabularies_are_numbered_alike(spark, monkeypatch):
     assert [r[3] for r in small if r[0] == "a"] and sorted(r[3] for r in small if r[0] == "b") == list(range(11))
 
 
+def test_encodings_are_told_from_values(spark):
+    many = [f"v{k}" for k in range(40)]
+    rows = [(k, ["red", "blue", None][k % 3], many[k], f'{{"k": {k}, "t": ["x"]}}' if k % 4 else None, f"{k}.{k % 7}0", f"2024-01-{1 + k % 28:02} 0{k % 10}:00:00", f"2024-01-02T03:04:05.5+0{k % 9}:30", f"0x{k:04x}", f"INTERVAL '{k} 01:02:03' DAY TO SECOND", ["1", "x"][k % 2] + str(k), None, "007" + str(k), f"[{k}" if k == 3 else f"[{k}]", "9" * (20 + k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, color string, word string, js string, money string, at string, zoned string, raw string, span string, mixed string, empty string, zeros string, broken string, huge string")
+    found = encodings.infer_encodings(df)
+    kinds = {c: e.kind for c, e in found.items()}
+    assert kinds == {"id": "scalar", "color": "scalar", "word": "scalar", "js": "json", "money": "decimal", "at": "datetime", "zoned": "datetime", "raw": "bytes", "span": "timedelta_ns", "mixed": "scalar", "empty": "scalar", "zeros": "scalar", "broken": "scalar", "huge": "scalar"}
+    assert (found["money"].type, found["at"].type, found["zoned"].type, found["js"].type.upper().replace(" ", "")) == ("decimal(4,2)", "timestamp_ntz", "timestamp", "STRUCT<K:BIGINT,T:ARRAY<STRING>>")
+    got = {r["id"]: r for r in encodings.decode_frame(df, found).collect()}
+    assert got[5]["js"]["k"] == 5 and got[5]["js"]["t"] == ["x"] and got[4]["js"] is None
+    assert str(got[8]["money"]) == "8.10" and got[3]["at"] == dt.datetime(2024, 1, 4, 3) and bytes(got[255 % 40]["raw"]) == b"\x00\x0f"
+    assert got[2]["span"] == dt.timedelta(days=2, hours=1, minutes=2, seconds=3)
+    few = df.withColumn("color", F.element_at(F.array(F.lit("red"), F.lit("blue")), (F.col("id") % 2 + 1).cast("int")))
+    assert encodings.infer_encodings(few.unionAll(few))["color"] == encodings.Encoding("category", "string", ("blue", "red"))
+    assert encodings.infer_encodings(df.limit(0))["js"].kind == "scalar"
+
+
+def test_every_type_comes_back_from_its_stored_form(spark):
+    df = spark.sql("""SELECT id, id % 2 = 0 AS b, id / 3.0D AS d, concat('t', id) AS s, CAST(id AS decimal(20,4)) AS m, timestamp_ntz'2024-01-02 03:04:05.123456' + make_dt_interval(CAST(id AS int)) AS t,
+        make_dt_interval(1, CAST(id AS int), 2, 3.000004) AS i, array(named_struct('a', id, 'b', array('x', NULL))) AS j, map('k', id) AS p, CAST(concat('é', id) AS binary) AS r FROM range(6)
+        UNION ALL SELECT 99, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""")
+    stored, known = encodings.encode_frame(df)
+    assert {f.dataType.simpleString() for f in stored.select("m", "t", "i", "j", "p", "r").schema.fields} == {"string"}
+    back = encodings.decode_frame(stored, known)
+    assert [f.dataType.simpleString() for f in back.schema.fields] == [f.dataType.simpleString() for f in df.schema.fields]
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_moments_of_mixed_texts(spark):
+    texts = ["2024-01-02 03:04:05", "2024-01-02T03:04:05+02:00", "2024-01-02T03:04:05.25Z", "2024-01-02", "2460311.5", "2024-01-02T03:04:05-0130", "soon", "", None, "12", "2024-13-45"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, s string")
+    got = [r[0] for r in df.orderBy("k").select(scalars.instant("s").cast("timestamp_ntz")).collect()]
+    at = dt.datetime(2024, 1, 2)
+    assert got == [at.replace(hour=3, minute=4, second=5), at.replace(hour=1, minute=4, second=5), at.replace(hour=3, minute=4, second=5, microsecond=250000), at, at, at.replace(hour=4, minute=34, second=5), None, None, None, None, None]
+    assert df.filter("k = 3").select(scalars.julian_day(scalars.instant("s"))).first()[0] == 2460311.5
+    assert sorted(r["k"] for r in keys.before_cutoff(df, "s", dt.datetime(2024, 1, 2, 2)).collect()) == [1, 3, 4]
+    db = Database({"t": df}, Keys({"t": ("k",)}, (), {"t": "s"}))
+    assert graph.nodes(db).filter("node_time IS NULL").count() == 5
+
+
 def test_dangling_modes(spark):
     child = spark.createDataFrame([(1, 0), (2, 9), (3, None)], "id int, p int")
     parent = spark.createDataFrame([(0,)], "id int")
@@ -288,11 +328,68 @@ def test_dataset_from_a_folder(spark, tmp_path):
     assert "division" in catalog.materialize_all(spark, {"b": lambda: 1 / 0}, target)["b"]
     catalog.write_dataset(data, f"{target}/a", overwrite=True)
     assert sorted(catalog.DatasetReader(spark, f"{target}/a").task_splits("rate")) == ["train", "val"]
-    spark.createDataFrame([("version", "0")], "key string, value string").write.mode("overwrite").parquet(f"{target}/a/{catalog.RESERVED[0]}.parquet")
+    places = catalog.DatasetReader(spark, f"{target}/a")._places
+    spark.createDataFrame([("version", "0")], "key string, value string").write.mode("overwrite").parquet(places[catalog.RESERVED[0]])
     with pytest.raises(SchemaError):
         catalog.DatasetReader(spark, f"{target}/a")
 
 
+def test_a_crash_leaves_the_old_dataset(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "set")
+    made = lambda k: catalog.Dataset(Database({"t": spark.createDataFrame([(i, k) for i in range(5)], "id long, k long")}, Keys({"t": ("id",)})), metadata={"k": str(k)})
+    catalog.write_dataset(made(1), path)
+    first = catalog.DatasetReader(spark, path)
+    for step in range(7):  # a crash after some tables, and one before the version is published
+        left = [step]
+
+        def fail(self, name, left=left, real=versions.Versions.new_folder):
+            left[0] -= 1
+            if left[0] < 0:
+                raise RuntimeError("crash")
+            return real(self, name)
+
+        with monkeypatch.context() as m:
+            m.setattr(versions.Versions, "new_folder", fail)
+            if step == 6:
+                m.setattr(versions.Versions, "publish", lambda self, tables, after: fail(self, "", [0]))
+            with pytest.raises(RuntimeError):
+                catalog.write_dataset(made(2), path, overwrite=True)
+        again = catalog.DatasetReader(spark, path)
+        assert again.metadata()["k"] == "1" and again.database()["t"].select("k").distinct().first()[0] == 1
+    catalog.write_dataset(made(3), path, overwrite=True)
+    assert first.database()["t"].first()["k"] == 1 and catalog.DatasetReader(spark, path).database()["t"].first()["k"] == 3
+    with pytest.raises(versions.VersionError):
+        versions.Versions(spark, path).publish({}, 1)
+    assert versions.Versions(spark, path).vacuum() and catalog.DatasetReader(spark, path).database()["t"].count() == 5
+    assert catalog.DatasetReader(spark, path).version == 2
+    with pytest.raises(FileNotFoundError):
+        catalog.DatasetReader(spark, str(tmp_path))
+
+
+def test_datasets_stored_as_text(spark, tmp_path):
+    df = spark.sql("SELECT id, CAST(id / 4 AS decimal(10,2)) AS m, timestamp_ntz'2024-01-02 03:04:05' AS t, array(id, NULL) AS a, CAST('é' AS binary) AS r FROM range(4)")
+    path = catalog.write_dataset(catalog.Dataset(Database({"t": df}, Keys({"t": ("id",)}))), str(tmp_path / "set"), as_text=True)
+    reader = catalog.DatasetReader(spark, path)
+    assert {f.dataType.simpleString() for f in spark.read.parquet(reader._places["t"]).schema.fields} == {"bigint", "string"}
+    back = reader.table("t")
+    assert back.schema.simpleString() == df.schema.simpleString() and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_ranges_of_ids_reach_the_scan(spark, tmp_path):
+    spark.range(0, 100_000, 1, 4).withColumn("x", F.col("id") * 2).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    asked = spark.createDataFrame([(i, i % 7 * 1000 + i) for i in range(300)] + [(999, 99_999), (5, 3)], "pos long, node_id long")
+    assert features.id_ranges(asked, "node_id", block_rows=1000) == [(0, 6999), (99_000, 99_999)]
+    got = features.gather(asked, table, "id", block_rows=1000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, features.gather(asked, table, "id").collect()))
+    plan = got._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(id,99000)" in plan and "LessThanOrEqual(id,6999)" in plan
+    scattered = spark.range(0, 5_000_000, 50_000).select(F.col("id").alias("node_id"))
+    ranges = features.id_ranges(scattered, "node_id", block_rows=10)
+    assert len(ranges) <= features.MOST_RANGES and ranges[0][0] == 0 and ranges[-1][1] == 4_950_009
+    assert features.within(table, "id", []).count() == 0
+
+
 def test_entity_and_list_checks(spark):
     make = lambda rows, kind: spark.createDataFrame(rows, kind)
     checks.check_entity(make([(1,), (2,)], "k int"), ["k"])

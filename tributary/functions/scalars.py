@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def col(c: Column | str) -> Column:
@@ -29,6 +25,25 @@ def parse_time(c: Column | str) -> Column:
     return F.try_to_timestamp(col(c))
 
 
+#: The Julian day of midnight, 1970-01-01.
+JULIAN_EPOCH = 2440587.5
+
+
+def instant(c: Column | str) -> Column:
+    """The moment that a text names, as a timestamp: ISO dates and times in any of their forms, with and without a zone
+    (then UTC), or a Julian day number.  Text that is none of these is null."""
+    x = F.trim(col(c))
+    day = F.when(x.rlike(r"^\d{7}(\.\d+)?$"), x.try_cast("double"))
+    julian = F.timestamp_micros(F.round((day - JULIAN_EPOCH) * 86_400_000).cast("bigint") * 1000)
+    zone = F.regexp_replace(x, r"([+-]\d{2})(\d{2})$", "$1:$2")  # +0200 is +02:00
+    return F.coalesce(julian, F.when(x.rlike("^[0-9]{4}-"), zone.try_cast("timestamp")))
+
+
+def julian_day(c: Column | str) -> Column:
+    """The Julian day of a timestamp, a double."""
+    return F.unix_micros(col(c).cast("timestamp")) / F.lit(86_400e6) + F.lit(JULIAN_EPOCH)
+
+
 def iso(c: Column | str) -> Column:
     return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
@@ -88,12 +103,6 @@ def bucket(c: Column | str, edges: tuple[int, ...]) -> Column:
     return out.otherwise(F.lit(f"{low}+"))
 
 
-@F.pandas_udf(T.StringType())
-def blake2b_key(seed: pd.Series, key: pd.Series) -> pd.Series:
-    """BLAKE2b over the seed and key as text, for orders that must match that hash."""
-    return pd.Series([hashlib.blake2b(repr((int(s), (k,))).encode(), digest_size=16).hexdigest() for s, k in zip(seed, key, strict=True)])
-
-
 def encode_value(kind: str, c: Column | str) -> Column:
     """A value in the stored form of its encoding."""
     x = col(c)

@@ -14,14 +14,53 @@ class MissingRowError(KeyError):
     pass
 
 
-def gather(requests: DataFrame, table: DataFrame, key: str, *, request_key: str = "node_id", columns: list[str] | None = None, strict: bool = False) -> DataFrame:
+#: Blocks of ids that are looked at one by one, and ranges that a scan is told at most.
+MOST_BLOCKS, MOST_RANGES = 100_000, 64
+
+
+def id_ranges(ids: DataFrame, key: str, *, block_rows: int = 4096) -> list[tuple[int, int]] | None:
+    """Ranges of ids (ends included) that hold all of ``ids``: the blocks they fall in, neighbours joined.
+
+    Where there are more ranges than a scan should be told, those with the least gaps between
+    them are joined; ids in very many blocks have no ranges that would help (None).
+    """
+    blocks = ids.select(F.call_function("div", F.col(key).cast("bigint"), F.lit(block_rows)).alias("b")).filter("b IS NOT NULL").distinct()
+    found = sorted(blocks.limit(MOST_BLOCKS + 1).toArrow()["b"].to_pylist())
+    if len(found) > MOST_BLOCKS:
+        return None
+    gaps = sorted((b - a for a, b in zip(found, found[1:], strict=False) if b > a + 1), reverse=True)
+    least = gaps[MOST_RANGES - 1] if len(gaps) >= MOST_RANGES else 1
+    out: list[tuple[int, int]] = []
+    for b in found:
+        if out and b - out[-1][1] <= least:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((b, b))
+    return [(a * block_rows, b * block_rows + block_rows - 1) for a, b in out]
+
+
+def within(table: DataFrame, key: str, ranges: list[tuple[int, int]] | None) -> DataFrame:
+    """Rows with ids in the ranges: comparisons that reach the scan, and skip row groups of a table sorted by id."""
+    if ranges is None:
+        return table
+    test = F.lit(False)
+    for low, high in ranges:
+        test |= F.col(key).between(low, high)
+    return table.filter(test)
+
+
+def gather(requests: DataFrame, table: DataFrame, key: str, *, request_key: str = "node_id", columns: list[str] | None = None, strict: bool = False, block_rows: int | None = None) -> DataFrame:
     """Features of requested ids, with repeats, beside the request's columns (its ``pos`` restores the order).
 
     The ids are made distinct before the table is read through a semi-join, so a hot id
-    meets the wide row once; ``strict`` raises for ids that the table does not have.
+    meets the wide row once; ``strict`` raises for ids that the table does not have.  With
+    ``block_rows`` the scan is told the ranges of ids it needs, at the cost of a look at the
+    requests first: for tables sorted by id and requests that are dense in a part of them.
     """
     columns = columns or [c for c in table.columns if c != key]
     wanted = requests.select(F.col(request_key).alias("__id")).distinct()
+    if block_rows:
+        table = within(table, key, id_ranges(requests, request_key, block_rows=block_rows))
     rows = table.select(F.col(key).alias("__id"), *columns).join(wanted, "__id", "left_semi")
     if strict:
         missing = [r[0] for r in wanted.join(rows.select("__id"), "__id", "left_anti").limit(10).collect()]

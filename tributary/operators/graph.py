@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.scalars import seconds
+from tributary.functions.scalars import instant, seconds
 from tributary.operators.keys import before_cutoff, require_dense, resolve_dangling
 from tributary.schema import Database, Link
 
@@ -30,7 +30,8 @@ def _time(db: Database, table: str, at_seconds: bool):
     time = db.times.get(table)
     if time is None:
         return F.lit(None).cast("bigint" if at_seconds else "timestamp")
-    return seconds(time) if at_seconds else F.col(time).cast("timestamp")
+    moment = instant(time) if db[table].schema[time].dataType.simpleString() == "string" else F.col(time).cast("timestamp")
+    return seconds(moment) if at_seconds else moment
 
 
 def nodes(db: Database, *, cutoff=None, strict: bool = False, at_seconds: bool = True) -> DataFrame:

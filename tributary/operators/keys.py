@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.functions.scalars import instant
 from tributary.schema import Database
 from tributary.session import cut
 
@@ -51,7 +52,12 @@ def require_dense(df: DataFrame, key: str, what: str = "table") -> int:
 
 def before_cutoff(df: DataFrame, time: str | None, cutoff) -> DataFrame:
     """Rows up to and with the cutoff; rows without a time drop out; tables without a time column stay whole."""
-    return df if time is None or cutoff is None else df.filter(F.col(time) <= F.lit(cutoff).cast(df.schema[time].dataType))
+    if time is None or cutoff is None:
+        return df
+    kind = df.schema[time].dataType.simpleString()
+    if kind == "string":  # compared as moments, whatever forms they are written in
+        return df.filter(instant(time) <= F.lit(cutoff).cast("timestamp"))
+    return df.filter(F.col(time) <= F.lit(cutoff).cast(kind))
 
 
 def key_mapping(df: DataFrame, key: list[str], name: str = NODE_ID) -> DataFrame:

@@ -9,11 +9,13 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.functions.encodings import Encoding, decode_frame, encode_frame
 from tributary.functions.scalars import encoding_of
 from tributary.operators.checks import violations
 from tributary.operators.keys import NODE_ID, assign_dense_ids
 from tributary.schema import Database, Keys, Link, SchemaError
-from tributary.sources.readers import Reader, exists, listing, register_reader, remove
+from tributary.sources.readers import Reader, exists, listing, register_reader
+from tributary.sources.versions import Versions
 
 VERSION = "1"
 RESERVED = ("_catalog_metadata", "_catalog_tables", "_catalog_columns", "_catalog_foreign_keys", "_catalog_tasks")
@@ -119,47 +121,67 @@ def _rows(spark: SparkSession, dataset: Dataset) -> dict[str, DataFrame]:
     }
 
 
-def write_dataset(dataset: Dataset, path: str, *, overwrite: bool = False, check_keys: bool = True) -> str:
-    """Write tables, task tables and the catalogue.
+def write_dataset(dataset: Dataset, path: str, *, overwrite: bool = False, check_keys: bool = True, as_text: bool = False) -> str:
+    """Write tables, task tables and the catalogue as a new version of the dataset at ``path``.
 
-    The catalogue's metadata are what makes a folder a dataset: they are removed before the first table
-    is written and written after the last, so a folder that has them is whole.
+    The version becomes visible when all is written, so a crash leaves the dataset that was
+    there.  Tables of one id are sorted by it over ranges, so readers that ask for ranges of ids skip
+    row groups.  ``as_text`` stores every column in the form of its encoding, which readers decode.
     """
     db = with_ids(dataset.database)
     spark = next(iter(db.frames.values())).sparkSession
-    if exists(spark, path) and not overwrite:
+    versions = Versions(spark, path)
+    last = max(versions.numbers(), default=0)
+    if not overwrite and (last or exists(spark, path)):
         raise FileExistsError(path)
     if check_keys and db.links and (bad := violations(db).filter("n > 0").collect()):
         raise SchemaError("; ".join(f"{r['child']}.{r['fk']}: {r['n']} rows without {r['parent']}" for r in bad))
     whole = Dataset(db, dataset.tasks, dataset.task_frames, dataset.metadata)
-    rows = _rows(spark, whole)
-    last = rows.pop(RESERVED[0])
-    remove(spark, f"{path}/{RESERVED[0]}.parquet")
-    for name, df in (db.frames | dataset.task_frames | rows).items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}.parquet")
-    last.write.parquet(f"{path}/{RESERVED[0]}.parquet")
+    places = {}
+    for name, df in (db.frames | dataset.task_frames | _rows(spark, whole)).items():
+        key = db.ids.get(name, ()) if name in db.frames else ()
+        if len(key) == 1:
+            df = df.repartitionByRange(key[0]).sortWithinPartitions(key[0])
+        if as_text and name not in RESERVED:
+            df, _ = encode_frame(df)
+        places[name] = versions.new_folder(name)
+        df.write.parquet(places[name])
+    versions.publish(places, last)
     return path
 
 
+def is_dataset(spark: SparkSession, path: str) -> bool:
+    return bool(Versions(spark, path).numbers())
+
+
 class DatasetReader(Reader):
-    """A dataset that ``write_dataset`` made: its data and task tables, keys and tasks."""
+    """A dataset that ``write_dataset`` made, at the version that was the last when it was opened: tables, keys and tasks."""
 
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark)
         self.path = path.rstrip("/")
+        self.versions = Versions(spark, self.path)
+        self.version = max(self.versions.numbers(), default=0)
+        if not self.version:
+            raise FileNotFoundError(f"{path}: no dataset")
+        self._places = self.versions.tables(self.version)
         if (v := self.metadata().get("version", VERSION)) != VERSION:
             raise SchemaError(f"catalogue of version {v}, not {VERSION}")
 
     def _catalog(self, k: int) -> list:
-        return self.spark.read.parquet(f"{self.path}/{RESERVED[k]}.parquet").collect()
+        return self.spark.read.parquet(self._places[RESERVED[k]]).collect()
 
     def metadata(self) -> dict[str, str]:
         return {r["key"]: r["value"] for r in self._catalog(0)}
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
-        order = [r["name"] for r in sorted(self._catalog(2), key=lambda r: r["ordinal"]) if r["table"] == name]
-        return df.select(*order) if order else df
+        """A table, its columns in order and decoded where they are stored in the form of their encoding."""
+        self._check()
+        df = self.spark.read.parquet(self._places[name])
+        known = sorted((r for r in self._catalog(2) if r["table"] == name), key=lambda r: r["ordinal"])
+        stored = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        coded = {r["name"]: Encoding(r["encoding"], r["type"]) for r in known if stored.get(r["name"]) != r["type"]}
+        return decode_frame(df.select(*[r["name"] for r in known]) if known else df, coded)
 
     def names(self) -> list[str]:
         return sorted(r["name"] for r in self._catalog(1))
@@ -188,13 +210,15 @@ class DatasetReader(Reader):
         return {n: df.filter(F.col(t.split_column) == n).drop(t.split_column, ROW_ID) for n in sorted(names)}
 
     def update_extra(self, name: str, changes: Mapping[str, object]) -> None:
-        """Merge fields into a task's ``extra``; the table of tasks is written anew."""
+        """Merge fields into a task's ``extra``, as a version of its own that this reader then reads."""
         rows = [r.asDict() for r in self._catalog(4)]
         for r in rows:
             if r["name"] == name:
                 r["extra"] = json.dumps(json.loads(r["extra"]) | dict(changes))
-        schema = self.spark.read.parquet(f"{self.path}/{RESERVED[4]}.parquet").schema
-        self.spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows], schema).write.mode("overwrite").parquet(f"{self.path}/{RESERVED[4]}.parquet")
+        schema = self.spark.read.parquet(self._places[RESERVED[4]]).schema
+        places = self._places | {RESERVED[4]: self.versions.new_folder(RESERVED[4])}
+        self.spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows], schema).write.parquet(places[RESERVED[4]])
+        self.version, self._places = self.versions.publish(places, self.version), places
 
 
 def load_folder(spark: SparkSession, path: str, keys: Keys, tasks: Mapping[str, Task] | None = None, *, val_timestamp: str | None = None, test_timestamp: str | None = None) -> Dataset:
@@ -219,7 +243,7 @@ def discover_datasets(spark: SparkSession, roots: Iterable[str]) -> dict[str, st
     found: dict[str, str] = {}
     for root in roots:
         for name, folder in listing(spark, root):
-            if folder and exists(spark, f"{root}/{name}/{RESERVED[0]}.parquet"):
+            if folder and is_dataset(spark, f"{root}/{name}"):
                 found.setdefault(name, f"{root}/{name}")
     return found
 
@@ -228,7 +252,7 @@ def materialize_all(spark: SparkSession, loaders: Mapping[str, Callable[[], Data
     """Write every dataset that is not there yet; the errors of those that failed, by name."""
     errors: dict[str, str] = {}
     for name in sorted(loaders)[:limit]:
-        if exists(spark, f"{target}/{name}/{RESERVED[0]}.parquet"):
+        if is_dataset(spark, f"{target}/{name}"):
             continue
         try:
             write_dataset(loaders[name](), f"{target}/{name}", overwrite=True)
