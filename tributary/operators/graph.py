@@ -64,6 +64,9 @@ def key_edges(db: Database, link: Link, *, cutoff=None, reverse: bool = False, o
 
 
 def edges(db: Database, *, cutoff=None, directions: tuple[bool, ...] = (False, True), on_dangling: str = "drop", at_seconds: bool = True) -> DataFrame:
+    if not db.links:
+        spark = next(iter(db.frames.values())).sparkSession
+        return spark.createDataFrame([], f"edge_type string, src_type string, dst_type string, src_id bigint, dst_id bigint, src_time {'bigint' if at_seconds else 'timestamp'}")
     return union_all([key_edges(db, x, cutoff=cutoff, reverse=r, on_dangling=on_dangling, at_seconds=at_seconds) for x in db.links for r in directions])
 
 

@@ -70,6 +70,11 @@ def choose_positive(rows: DataFrame, candidates: str, *key: str, seed: int = 42,
     return rows.withColumn(name, F.get(F.col(candidates), at.cast("int")))
 
 
+def one_of_each(pairs: DataFrame, candidate: str, *key: str, seed: int = 42, name: str = "positive_id") -> DataFrame:
+    """(key, one of its candidates): the least by hash, so repeats change nothing and no candidates are gathered."""
+    return pairs.groupBy(*key).agg(F.min_by(candidate, order_key(seed, 4, *key, candidate)).alias(name))
+
+
 def branches(triples: DataFrame, source_type: str, target_type: str) -> DataFrame:
     """Seeds of the three trees of each triple: source, positive and negative."""
     parts = [("source", source_type, "source_id"), ("positive", target_type, "positive_id"), ("negative", target_type, "negative_id")]

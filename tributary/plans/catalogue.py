@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tributary.plans import feature_queries, graph_queries, path_queries, task_queries
+from tributary.plans import feature_queries, flow_queries, graph_queries, path_queries, task_queries
 
-MODULES = (graph_queries, task_queries, feature_queries, path_queries)
+MODULES = (graph_queries, task_queries, feature_queries, path_queries, flow_queries)
 
 
 def queries() -> dict:

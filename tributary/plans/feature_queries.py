@@ -287,13 +287,22 @@ def epoch_wall_clock(spark, sf_dir):
 _POOLED = "SELECT word, list_transform(range(8), lambda i: ((ascii(word) + length(word) * (i + 1)) % 17) / 4.0) AS vector FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) <= 6"
 
 
-@REGISTRY.add(f"""WITH v AS ({_POOLED}), d AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS word FROM documents),
+POOLED_SQL = f"""WITH v AS ({_POOLED}),
+d AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS word FROM documents),
 m AS (SELECT doc_id, i, avg(vector[i]) AS x FROM (SELECT doc_id, vector, unnest(range(1, 9)) AS i FROM d JOIN v USING (word)) GROUP BY doc_id, i)
-SELECT doc_id, k - 1 AS i, round(CAST(CAST(coalesce(x, 0) AS FLOAT) AS DOUBLE), 4) AS x FROM (SELECT doc_id, unnest(range(1, 9)) AS k FROM documents) LEFT JOIN m USING (doc_id) WHERE m.i = k OR m.i IS NULL""")
-def text_pooled_word_vectors(spark, sf_dir):
-    """Mean of the vectors of a text's words, from a table of word vectors (made up from the words here)."""
-    docs = table(spark, sf_dir, "documents")
+SELECT doc_id, k - 1 AS i, round(CAST(CAST(coalesce(x, 0) AS FLOAT) AS DOUBLE), 4) AS x
+FROM (SELECT doc_id, unnest(range(1, 9)) AS k FROM documents) LEFT JOIN m USING (doc_id) WHERE m.i = k OR m.i IS NULL"""
+
+
+def word_vectors(docs: DataFrame) -> DataFrame:
+    """Vectors of eight numbers for the shorter words of the documents, made up from the words."""
     words = docs.select(F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]+', 0)")).alias("word")).filter("length(word) <= 6").distinct()
-    vectors = words.withColumn("vector", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: ((F.ascii("word") + F.length("word") * i) % 17) / 4.0))
-    out = text.pool_vectors(docs.select("doc_id", "text"), "text", vectors, dim=8)
+    return words.withColumn("vector", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: ((F.ascii("word") + F.length("word") * i) % 17) / 4.0))
+
+
+@REGISTRY.add(POOLED_SQL)
+def text_pooled_word_vectors(spark, sf_dir):
+    """Mean of the vectors of a text's words, from a table of word vectors."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = text.pool_vectors(docs, "text", word_vectors(docs), dim=8)
     return out.select("doc_id", F.posexplode("embedding").alias("i", "x")).select("doc_id", F.col("i").cast("bigint").alias("i"), F.round(F.col("x").cast("double"), 4).alias("x"))

@@ -221,29 +221,29 @@ def negative_samples(spark, sf_dir):
     return sampling.negatives(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "part").count(), "c_custkey")
 
 
-_BOUGHT = "SELECT o_custkey AS c_custkey, list_sort(list_distinct(list(l_partkey))) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey"
-_POSITIVE = f"parts[CAST({_below('len(parts)', chr(39) + '42' + chr(39), chr(39) + '4' + chr(39), 'CAST(c_custkey AS string)')} AS BIGINT) + 1]"
+_BOUGHT = f"""SELECT o_custkey AS c_custkey, arg_min(l_partkey, md5(concat_ws('|', '42', '4', o_custkey::VARCHAR, l_partkey::VARCHAR))) AS positive_id
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey"""
 
 
 def _bought(spark, sf_dir):
+    """A part of each customer's."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return rows.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    pairs = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c_custkey"), "l_partkey")
+    return sampling.one_of_each(pairs, "l_partkey", "c_custkey")
 
 
-@REGISTRY.add(f"SELECT c_custkey, {_POSITIVE} AS positive_id FROM ({_BOUGHT})")
+@REGISTRY.add(_BOUGHT)
 def positive_choice(spark, sf_dir):
     """One part of those each customer bought."""
-    return sampling.choose_positive(_bought(spark, sf_dir), "parts", "c_custkey").select("c_custkey", "positive_id")
+    return _bought(spark, sf_dir)
 
 
-@REGISTRY.add(f"SELECT c_custkey, {_POSITIVE} AS positive_id, {_NEGATIVE} AS negative_id FROM ({_BOUGHT})")
+@REGISTRY.add(f"SELECT c_custkey, positive_id, {_NEGATIVE} AS negative_id FROM ({_BOUGHT})")
 def recommendation_triples(spark, sf_dir):
-    rows = sampling.choose_positive(_bought(spark, sf_dir), "parts", "c_custkey")
-    return sampling.negatives(rows, table(spark, sf_dir, "part").count(), "c_custkey").select("c_custkey", "positive_id", "negative_id")
+    return sampling.negatives(_bought(spark, sf_dir), table(spark, sf_dir, "part").count(), "c_custkey").select("c_custkey", "positive_id", "negative_id")
 
 
-@REGISTRY.add(f"""WITH t AS (SELECT c_custkey, {_POSITIVE} AS positive_id, {_NEGATIVE} AS negative_id FROM ({_BOUGHT}))
+@REGISTRY.add(f"""WITH t AS (SELECT c_custkey, positive_id, {_NEGATIVE} AS negative_id FROM ({_BOUGHT}))
 SELECT 'source:' || CAST(c_custkey AS string) AS tree_id, 'customer' AS node_type, CAST(c_custkey AS BIGINT) AS node_id FROM t
 UNION ALL SELECT 'positive:' || CAST(c_custkey AS string), 'part', CAST(positive_id AS BIGINT) FROM t
 UNION ALL SELECT 'negative:' || CAST(c_custkey AS string), 'part', CAST(negative_id AS BIGINT) FROM t""")

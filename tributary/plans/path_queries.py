@@ -12,16 +12,22 @@ from tributary.streaming import windows
 
 REGISTRY = Registry()
 
-_KEY_ROWS = ", ".join(f"('{x.child}', '{x.name}', '{x.parent}')" for x in KEYS.links)
+_TABLES = ["nation", "customer", "orders", "lineitem", "part", "supplier", "region"]
+_OWN = KEYS.within(_TABLES).links
+_KEY_ROWS = " UNION ALL ".join(f"SELECT '{x.child}' AS child, '{x.name}' AS fk, '{x.parent}' AS parent, count({x.columns[0]}) AS n_rows FROM {x.child}" for x in _OWN)
 
 
-@REGISTRY.add(f"""WITH k AS (SELECT *, count(*) OVER (PARTITION BY child) AS n FROM (VALUES {_KEY_ROWS}) AS v(child, fk, parent))
-SELECT 'dim-dim' AS kind, child AS source, CAST(NULL AS VARCHAR) AS middle, parent AS destination, fk AS via_in, CAST(NULL AS VARCHAR) AS via_out FROM k WHERE n = 1
-UNION ALL SELECT 'dim-dim', parent, NULL, child, 'rev_' || fk, NULL FROM k WHERE n = 1
-UNION ALL SELECT 'dim-fact-dim', a.parent, a.child, b.parent, a.fk, b.fk FROM k a JOIN k b ON a.child = b.child AND a.fk <> b.fk WHERE a.n > 1""")
+@REGISTRY.add(f"""WITH k AS (SELECT *, count(*) OVER (PARTITION BY child) AS n FROM ({_KEY_ROWS}))
+SELECT 'dim-dim' AS kind, child AS source, CAST(NULL AS VARCHAR) AS middle, parent AS destination, fk AS via_in, CAST(NULL AS VARCHAR) AS via_out, n_rows FROM k WHERE n = 1
+UNION ALL SELECT 'dim-dim', parent, NULL, child, 'rev_' || fk, NULL, n_rows FROM k WHERE n = 1
+UNION ALL SELECT 'dim-fact-dim', a.parent, a.child, b.parent, a.fk, b.fk, a.n_rows FROM k a JOIN k b ON a.child = b.child AND a.fk <> b.fk WHERE a.n > 1""")
 def atomic_routes(spark, sf_dir):
-    rows = [(x.child, x.name, x.parent) for x in KEYS.links]
-    return paths.atomic_routes(spark.createDataFrame(rows, "child string, fk string, parent string"))
+    """Routes between the tables, with the number of rows that have the key each route goes in by."""
+    db = database(spark, sf_dir, _TABLES, dense=False)
+    routes = paths.atomic_routes(paths.foreign_key_table(db))
+    counts = graph.counts(graph.union_all([graph.key_edges(db, x, on_dangling="null") for x in db.links]))
+    own = counts.select(F.regexp_replace("edge_type", "^f2p_", "").alias("fk"), F.col("n_edges").alias("n_rows"))
+    return routes.join(own, F.regexp_replace("via_in", "^rev_", "") == own["fk"]).drop("fk")
 
 
 @REGISTRY.add("SELECT c_nationkey::BIGINT AS node_id, round(avg(m), 6) AS value FROM (SELECT o_custkey, avg(o_totalprice) AS m FROM orders GROUP BY 1) JOIN customer ON c_custkey = o_custkey GROUP BY 1")

@@ -102,7 +102,8 @@ def label_domain_check(spark, sf_dir):
 @REGISTRY.add("SELECT count(*) AS n_rows, (SELECT max(quality) + 1 FROM labels) AS classes_quality, (SELECT max(toxic) + 1 FROM labels) AS classes_toxic FROM labels")
 def class_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "labels")
-    return rows.agg(F.count("*").alias("n_rows"), (F.max("quality") + 1).alias("classes_quality"), (F.max("toxic") + 1).alias("classes_toxic"))
+    found = (rows.count(), seeds.class_count(rows, "quality"), seeds.class_count(rows, "toxic"))
+    return spark.createDataFrame([found], "n_rows bigint, classes_quality int, classes_toxic int")
 
 
 _VERSIONS = {"doc_id % 4 = 0": ("' Yes '", "' No '"), "doc_id % 4 = 1": ("'T'", "'f'"), "doc_id % 4 = 2": ("'1'", "'0'")}
