@@ -80,6 +80,19 @@ def test_overlaps_equal_brute_force(spark, odd, docs, benchmark):
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_a_large_benchmark_takes_one_scan_for_candidates(spark, docs, benchmark):
+    """Rows do not depend on whether windows are broadcast or joined, and characters of several bytes count as such."""
+    wide = spark.createDataFrame([(1, "日本語 " * 12), (2, "é ü ß")], "item_id long, text string")
+    texts = spark.createDataFrame([(k, f"x {'日本語 ' * k} é ü ß") for k in range(20)], "doc_id long, text string")
+    for d, b in ((docs, benchmark), (texts, wide)):
+        whole = sorted(map(tuple, decontaminate.overlap_digest(decontaminate.find_overlaps(d, b)).collect()))
+        for size in (1, 60, 10_000):
+            joined = decontaminate.find_overlaps(d, b, block_bytes=size)
+            assert sorted(map(tuple, decontaminate.overlap_digest(joined).collect())) == whole
+        plan = decontaminate.find_overlaps(d, b, block_bytes=1)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 2 and "Cartesian" not in plan  # one pass for candidates, one for the result
+
+
 def test_decontaminate(spark, odd, none, docs, benchmark):
     kept = decontaminate.decontaminate(docs, benchmark)
     bad = {r["doc_id"] for r in decontaminate.overlap_digest(decontaminate.find_overlaps(docs, benchmark)).filter("contaminated").collect()}
@@ -486,6 +499,12 @@ def test_written_shards(spark, docs, tmp_path):
     sharding.write_shards(own, str(tmp_path / "s"), shards=4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 50 and {r["count"] for r in back.groupBy("shard").count().collect()} == {12, 13}
+    clashing = own.withColumns({"shard": F.lit("x"), "slot": F.lit(1), "__row": F.lit(2)})
+    with pytest.raises(ValueError, match="shard"):
+        sharding.write_shards(clashing, str(tmp_path / "t"))
+    sharding.write_shards(clashing, str(tmp_path / "t"), shards=4, shard_col="part")
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(back.columns) == sorted([*clashing.columns, "part"]) and {r["shard"] for r in back.select("shard").distinct().collect()} == {"x"}
 
 
 # ---- 4 personal data

@@ -1,8 +1,12 @@
 """The pipeline against its stages by hand on a small table with planted cases."""
 
 import random
+import re
 
 import pytest
+from test_corpus import classes_by_hand, lines_by_hand, overlap_by_hand
+
+from tributary.llm import minhash, packing, tokens
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -13,6 +17,53 @@ def prose(rng, n):
     return " ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(2, 4))) for _ in range(n))
 
 
+def without_repeated_lines(rows):
+    """Texts without the lines that have an earlier like; a text that loses all its lines with words goes."""
+    gone, out = lines_by_hand(rows), []
+    for d, t in rows:
+        lines = t.split("\n")
+        own = gone.get(d, set())
+        if not own or own != {i for i, x in enumerate(lines) if re.search(r"[^\W_]", x)}:
+            out.append((d, "\n".join(x for i, x in enumerate(lines) if i not in own)))
+    return out
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    """From the documents of a known language on, every stage is done again by comparing everything with everything."""
+    rng = random.Random(21)
+    passage, long_lines = prose(rng, 25), [prose(rng, 200).split() for _ in range(6)]
+    rows = [(i, "\n".join(prose(rng, 25) for _ in range(3)), "en" if i % 2 else "fr") for i in range(40)]
+    for g, line in enumerate(long_lines):  # near copies that no two of which share a line, one of them with the passage
+        for k in range(4):
+            own = list(line)
+            for at in rng.sample(range(0, 200, 20), 2 + k % 2):
+                own[at] = prose(rng, 1)
+            rows.append((1000 + 10 * k + g, " ".join(own) + (f"\n{passage} {g}" if k == 0 and g < 2 else ""), "en"))
+    rows += [(500, f"{prose(rng, 30)} {passage}", "fr"), (501, rows[3][1] + "\n" + prose(rng, 20), "en"), (502, rows[4][1], "fr")]
+    docs = spark.createDataFrame([(i, t, lang, f"s{i % 3}", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, passage), (2, prose(rng, 12))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    now = stages["language_id"](spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    want = sorted((r["doc_id"], r["text"]) for r in now.collect())
+    assert len(want) >= len(rows) - 1
+    want = without_repeated_lines(want)
+    now = stages["line_dedup"](spark, now, str(tmp_path))
+    assert sorted((r["doc_id"], r["text"]) for r in now.collect()) == want
+    classes = classes_by_hand([t for _, t in want], minhash.shingle_weights(now))
+    assert sum(c != i for i, c in enumerate(classes)) >= 10  # there is something to remove
+    want = [r for i, r in enumerate(want) if classes[i] == i]
+    now = stages["near_dedup"](spark, now, str(tmp_path))
+    assert sorted((r["doc_id"], r["text"]) for r in now.collect()) == want
+    want = [(d, t) for d, t in want if not overlap_by_hand(t, items)[-1]]
+    encoder = tokens.Encoder(packing.default_tokenizer())
+    sizes = {d: len(ids) + 1 for (d, _), ids in zip(want, encoder.encode([t for _, t in want]), strict=True)}
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert out.groupby("doc_id").length.sum().to_dict() == sizes == out.groupby("doc_id").doc_tokens.first().to_dict()
+    assert (out.groupby("sequence_id").length.sum().sort_index().iloc[:-1] == 2048).all()
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(12)
     passage, shared = prose(rng, 30), prose(rng, 60)

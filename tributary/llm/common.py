@@ -36,8 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-#: Folders of tables that ``materialize`` wrote and nothing has deleted yet.
-_held: list[str] = []
+#: By folder: tables that ``materialize`` wrote there and nothing has deleted yet.  Sessions of different
+#: folders do not see each other's.
+_held: dict[str, list[str]] = {}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +53,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
-    _held.append(path)
+    _held.setdefault(shared_dir(spark), []).append(path)
     return out
 
 
@@ -68,18 +69,19 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
 def _delete(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if name in _held:
-        _held.remove(name)
+    own = _held.get(shared_dir(spark), [])
+    if name in own:
+        own.remove(name)
 
 
-def held() -> int:
-    """How many tables are held now: a mark for ``release_since``."""
-    return len(_held)
+def held(spark: SparkSession) -> set[str]:
+    """The tables held now: a mark for ``release_since``."""
+    return set(_held.get(shared_dir(spark), []))
 
 
-def release_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+def release_since(spark: SparkSession, mark: set[str], keep: DataFrame) -> None:
     """Delete the tables written since the mark, save ``keep``, whose rows have been computed from them."""
-    for name in _held[mark:]:
+    for name in [n for n in _held.get(shared_dir(spark), []) if n not in mark]:
         if name != keep._written:
             _delete(spark, name)
     release(spark)

@@ -2,12 +2,13 @@
 
 The windows of the benchmark items are hashed into a set that every executor
 holds; each text is scanned once, its window hashes are looked up, and each hit
-is verified against the words themselves.  The set is built from blocks of the
-benchmark whose size is bounded (``BLOCK_BYTES``): the driver reads items one after
-the other and holds one block at a time; an item longer than a block is cut into
-pieces that overlap by a window.  A benchmark of one block needs one scan and no shuffle.
-A larger one takes a scan a block, one broadcast at a time; each writes the few texts
-it hits, by hash, and those tables are joined to the documents in the end.
+is verified against the words themselves.  That takes one scan and no shuffle while the
+benchmark has at most ``BLOCK_BYTES`` of text.
+
+A larger one is never gathered: its windows are made in Spark and written to the shared
+folder, and what is broadcast is a bitmap of their hashes, of at most ``MOST_BITS`` bits whatever
+their number.  One scan of the texts finds the windows whose bit is set; these meet the
+benchmark's by hash in a join, are verified word by word, and are put together by text.
 
 Defined cases: null or wordless texts have no words and no hits; items without
 words have no windows; repeated rows each get their own result; columns beyond
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, materialize, release
+from .common import map_arrow, materialize
 from .textbytes import mix, words
 
-#: Benchmark text per broadcast.  A window takes about 30 bytes of memory, and there is at most one a word.
+#: Bytes of benchmark text whose windows are broadcast whole.  A window takes about 30 bytes of memory, and there is at most one a word.
 BLOCK_BYTES = 8 << 20
+#: The bitmap for a larger benchmark has 2**28 bits (32 MB) at most.
+MOST_BITS = 28
 WINDOW = 10
 
 
@@ -46,12 +48,9 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of one block of benchmark items, as arrays.
-
-    ``items`` are (name, text, whether the text is a piece of a longer item).
-    """
+    """The windows of benchmark items, (name, text) each, as arrays."""
 
-    def __init__(self, items: list[tuple[str, str | None, bool]], window: int):
+    def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.names = [x[0] for x in items]
         data, starts, ends, found = [], [], [], {}
         offset = 0
@@ -65,7 +64,6 @@ class WindowSet:
                 at = np.arange(len(h))
                 # whole windows inside an item; shorter than ``window`` only where the item is
                 at = at[(item_of[at] == item_of[at + n - 1]) & (np.minimum(length, window)[item_of[at] - w.first] == n)]
-                at = at[(n == window) | ~np.array([items[i][2] for i in item_of[at]], bool)]
                 found.setdefault(int(n), []).append((h[at], item_of[at].astype(np.int32), (at + base).astype(np.int64)))
             data.append(w.data)
             starts.append(w.starts + offset)
@@ -115,38 +113,6 @@ class WindowSet:
         return hit, found
 
 
-def _pieces(text: str, window: int, block_bytes: int) -> Iterator[str]:
-    """A long text in pieces of about ``block_bytes`` that overlap by window - 1 words, so each window is whole in one."""
-    raw = pa.array([text], pa.large_string())
-    (w,) = words(raw)
-    first = 0
-    while first < len(w.starts):
-        last = int(np.searchsorted(w.starts, w.starts[first] + max(block_bytes, 1), "left"))
-        last = max(last, first + window)
-        yield w.data[w.starts[first] : w.ends[min(last, len(w.ends)) - 1]].tobytes().decode()
-        if last >= len(w.starts):
-            return
-        first = last - window + 1
-
-
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> Iterator[list[tuple[str, str | None, bool]]]:
-    """The items in blocks of about ``block_bytes``, each small enough to broadcast; one block is held at a time."""
-    block, size = [], 0
-    for row in benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).toLocalIterator():
-        name, own = row["item"] if row["item"] is not None else "", row["text"] or ""
-        bytes_ = len(own.encode())
-        parts = [(own, False)] if bytes_ <= block_bytes else [(x, True) for x in _pieces(own, window, block_bytes)]
-        if len(parts) == 1:
-            parts = [(own, False)]
-        for part, cut in parts:
-            if block and size + len(part) > block_bytes:
-                yield block
-                block, size = [], 0
-            block.append((name, part, cut))
-            size += len(part)
-    yield block
-
-
 def _runs(hit: np.ndarray) -> list[int]:
     """[start, end, start, end, ...] of the true runs."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
@@ -157,12 +123,12 @@ _FOUND = [T.StructField("__n", T.LongType()), T.StructField("__runs", T.ArrayTyp
 _KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
 
 
-def _scanned(docs: DataFrame, text_col: str, items: list, window: int, hits_only: bool) -> tuple[DataFrame, object]:
-    """``docs`` (without the text, and only those with hits, if ``hits_only``) with __n, __runs and __items; and the broadcast in use."""
+def _scanned(docs: DataFrame, text_col: str, items: list[tuple[str, str | None]], window: int) -> DataFrame:
+    """``docs`` with __n, __runs and __items, from a broadcast of all windows."""
     windows = docs.sparkSession.sparkContext.broadcast(WindowSet(items, window))
-    fields = [f for f in docs.schema.fields if not (hits_only and f.name == text_col)]
+    names = docs.columns
 
-    def scan(batches):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, runs, found = [], [], []
             for w in words(batch.column(text_col)):
@@ -172,10 +138,63 @@ def _scanned(docs: DataFrame, text_col: str, items: list, window: int, hits_only
                     n_words.append(len(own))
                     runs.append(_runs(own) if items[t] else [])
                     found.append(sorted(items[t]))
-            out = pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *(pa.array(x, k) for x, k in zip((n_words, runs, found), _KINDS, strict=True))], [*(f.name for f in fields), *(f.name for f in _FOUND)])
-            yield out.filter(pa.array([bool(r) for r in runs], pa.bool_())) if hits_only else out
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip((n_words, runs, found), _KINDS, strict=True))], [*names, *(f.name for f in _FOUND)])
 
-    return map_arrow(docs, scan, T.StructType([*fields, *_FOUND])), windows
+    return map_arrow(docs, scan, T.StructType([*docs.schema.fields, *_FOUND]))
+
+
+def _item_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, n, h, own) of every different window of every item: its number of words, their hash, and the words."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words(batch.column(1)):
+                hashes = w.hashes()
+                for t in range(w.last - w.first):
+                    a, b = int(w.of[t]), int(w.of[t + 1])
+                    if n := min(window, b - a):
+                        h = window_hashes(hashes[a:b], n)
+                        own = [b" ".join(w.word(q) for q in range(p, p + n)) for p in range(a, b - n + 1)]
+                        item = [batch.column(0)[w.first + t].as_py() or ""] * len(h)
+                        yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array([n] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(own, pa.binary())], ["item", "n", "h", "own"])
+
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    return map_arrow(rows, cut, "item string, n int, h long, own binary").distinct()
+
+
+def _bitmap(windows: DataFrame, count: int) -> tuple[np.ndarray, int]:
+    """(bits, how many): those of the windows' hashes by their first bits are set."""
+    bits = min(MOST_BITS, max(16, math.ceil(math.log2(16 * max(count, 1)))))
+    place = F.shiftrightunsigned("h", 64 - bits) + 1  # bitmaps count from 1
+    parts = windows.select(place.alias("i")).groupBy(F.bitmap_bucket_number("i").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("i")).alias("bits"))
+    near = np.zeros((1 << bits) // 8, np.uint8)
+    for b, part in zip(*(c.to_pylist() for c in parts.toArrow().columns), strict=True):
+        held = np.frombuffer(part, np.uint8)
+        near[(b - 1) * len(held) : b * len(held)] = held[: len(near) - (b - 1) * len(held)]
+    return near, bits
+
+
+def _candidates(texts: DataFrame, near: np.ndarray, bits: int, lengths: list[int]) -> DataFrame:
+    """(__t1, __t2, n, p, h, own): windows of the texts whose bit is set, by the texts' hashes."""
+    shared = texts.sparkSession.sparkContext.broadcast(near)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words(batch.column("__text")):
+                hashes, text_of = w.hashes(), np.repeat(np.arange(w.last - w.first), np.diff(w.of))
+                for n in lengths:
+                    h = window_hashes(hashes, n)
+                    i = (h >> np.uint64(64 - bits)).astype(np.int64)
+                    at = np.flatnonzero((shared.value[i >> 3] >> (i & 7).astype(np.uint8)) & 1)
+                    at = at[text_of[at] == text_of[at + n - 1]]
+                    if len(at):
+                        t = pa.array(text_of[at] + w.first)
+                        own = [b" ".join(w.word(q) for q in range(p, p + n)) for p in at.tolist()]
+                        place = at - w.of[text_of[at]]
+                        arrays = [pa.array([n] * len(at), pa.int32()), pa.array(place.astype(np.int64)), pa.array(h[at].view(np.int64)), pa.array(own, pa.binary())]
+                        yield pa.RecordBatch.from_arrays([batch.column("__t1").take(t), batch.column("__t2").take(t), *arrays], ["__t1", "__t2", "n", "p", "h", "own"])
+
+    return map_arrow(texts, scan, "__t1 long, __t2 long, n int, p long, h long, own binary")
 
 
 def _merged(docs: DataFrame, text_col: str, hits: DataFrame) -> DataFrame:
@@ -208,22 +227,17 @@ def _text_keys(text_col: str) -> dict:
 
 def _marked(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, block_bytes: int) -> DataFrame:
     """``docs`` with __n (words), __runs (word positions hit, as start and end by turns) and __items (found, sorted)."""
-    blocks = benchmark_blocks(benchmark, item_col, item_text, window, block_bytes)
-    block, after = next(blocks), next(blocks, None)
-    if after is None:
-        return _scanned(docs, text_col, block, window, False)[0]
+    size = benchmark.agg(F.sum(F.octet_length(item_text) + 8)).first()[0] or 0
+    if size <= block_bytes:
+        items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(item_text)).toArrow()
+        return _scanned(docs, text_col, list(zip(*(c.to_pylist() for c in items.columns), strict=True)), window)
+    windows = materialize(_item_windows(benchmark, item_col, item_text, window), "benchmark-windows")
+    kinds = windows.groupBy("n").count().collect()
+    near, bits = _bitmap(windows, sum(k["count"] for k in kinds))
     texts = docs.select(F.col(text_col).alias("__text")).filter("__text IS NOT NULL").withColumns(_text_keys("__text"))
-    parts = []
-    while block is not None:
-        hits, windows = _scanned(texts, "__text", block, window, True)
-        parts.append(materialize(hits.dropDuplicates(["__t1", "__t2"]), "benchmark-hits"))
-        windows.destroy()
-        if len(parts) == 64:  # plans stay small however many blocks there are
-            whole = materialize(reduce(DataFrame.union, parts), "benchmark-hits")
-            release(docs.sparkSession, *parts)
-            parts = [whole]
-        block, after = after, next(blocks, None)
-    return _merged(docs, text_col, reduce(DataFrame.union, parts))
+    met = _candidates(texts, near, bits, sorted(k["n"] for k in kinds)).dropDuplicates(["__t1", "__t2", "n", "p"])
+    found = met.join(windows.withColumnRenamed("own", "__known"), ["n", "h"]).filter("own = __known")
+    return _merged(docs, text_col, found.select("__t1", "__t2", F.array("p", F.col("p") + F.col("n")).alias("__runs"), F.array("item").alias("__items")))
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:

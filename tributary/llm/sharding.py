@@ -22,7 +22,7 @@ stratifies by source and does not hold copies together.
 
 Defined cases: null text has size 1 and the checksum of the empty text; null
 sources are one stratum; repeated rows are ranked each; an empty table gives no
-rows; further columns are ignored here and carried by ``assign``.
+rows; further columns are ignored here and carried by ``write_shards``.
 """
 
 from __future__ import annotations
@@ -97,9 +97,16 @@ def shard_report(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED, id_
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("source").alias("stratum"))
 
 
-def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", stratum: str = "source", shards: int = SHARDS, seed: int = SEED) -> None:
-    """Write whole rows under ``path/shard=k``, each shard in slot order by files of bounded size."""
-    held = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*docs.columns).alias("__doc")), "shard-docs")
-    placed = interleave(held.select("__row", F.col(f"__doc.{id_col}").alias("__id"), F.col(f"__doc.{stratum}").alias("__stratum")), stratum="__stratum", unique="__row", shuffle_by=["__id"], shards=shards, seed=seed)
-    joined = held.join(placed.select("__row", "shard", "slot"), "__row")
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select("shard", "__doc.*").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", stratum: str = "source", shards: int = SHARDS, seed: int = SEED, shard_col: str = "shard") -> None:
+    """Write whole rows under ``path/<shard_col>=k``, each shard in slot order by files of bounded size.
+
+    Rows are shuffled as in ``shard_report``; a column of the name ``shard_col`` is an error.
+    """
+    if shard_col in docs.columns:
+        raise ValueError(f"the table has a column {shard_col}; give another shard_col")
+    held = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(c) for c in docs.columns]).alias("__doc")), "shard-docs")
+    own = held.select("__row", F.col(f"__doc.{id_col}").alias("__id"), text_crc(f"__doc.{text_col}").alias("__crc"), F.col(f"__doc.{stratum}").alias("__stratum"))
+    placed = interleave(own, stratum="__stratum", unique="__row", shuffle_by=["__id", "__crc"], shards=shards, seed=seed)
+    joined = held.join(placed.select("__row", F.col("shard").alias("__shard"), "slot"), "__row")
+    sorted_rows = joined.repartitionByRange("__shard", "slot").sortWithinPartitions("__shard", "slot")
+    sorted_rows.select(F.col("__shard").alias(shard_col), "__doc.*").write.partitionBy(shard_col).parquet(path)
