@@ -361,6 +361,33 @@ all copies or substantial portions of it."""
     assert [got[i] for i in range(len(rows))] == [[w] for _, w in rows]
 
 
+def test_licences_in_the_wild(spark):
+    rows = [
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT", ["Apache-2.0", "MIT"]),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;", ["Apache-2.0", "MIT"]),
+        ("/* SPDX-License-Identifier: GPL-2.0-only OR MIT */", ["GPL-2.0", "MIT"]),
+        ("# SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", ["Apache-2.0"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND (BSD-3-Clause OR ISC)", ["BSD-3-Clause", "GPL-2.0-or-later", "ISC"]),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+        ("This project is licensed under the Apache License 2.0 - see the LICENSE.md file for more details.", ["Apache-2.0"]),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("Content is available under CC BY-SA 3.0 unless otherwise noted.", ["CC-BY-SA"]),
+        ("This is an Open Access article distributed under the terms of the Creative Commons Attribution License (http://creativecommons.org/licenses/by/4.0), which permits unrestricted use, distribution, and reproduction in any medium, provided the original work is properly cited.", ["CC-BY"]),
+        ('Released under the <a href="https://opensource.org/licenses/MIT">MIT License</a>', ["MIT"]),
+        ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", ["OFL-1.1"]),
+        ("Released under the Artistic License 2.0.", ["Artistic-2.0"]),
+        ("Licensed under the WTFPL.", ["WTFPL"]),
+        ("We permit others to exit, or to admit with an exception.", []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [w for _, w in rows]
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    digest = licenses.scan_digest(licenses.scan(docs))
+    assert sorted(map(tuple, digest.collect())) == sorted(con.sql(licenses.oracle()).fetchall())
+
+
 # ---- 1 near-duplicates
 
 

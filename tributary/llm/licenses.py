@@ -54,6 +54,12 @@ SENTENCES = [
     ("ZLIB_NOTICE", "This notice may not be removed or altered from any source distribution."),
     ("BSL_GRANT", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""),
     ("BSL_TITLE", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    # two licences at once are two identifiers
+    ("NAMED_Apache-2.0><NAMED_MIT", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    ("NAMED_Apache-2.0><NAMED_MIT", "Dual licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    ("NAMED_Apache-2.0><NAMED_MIT", "This project is licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    ("CC_BY_TITLE", "This is an Open Access article distributed under the terms of the Creative Commons Attribution License, which permits unrestricted use, distribution, and reproduction in any medium, provided the original work is properly cited."),
+    ("CC_BY_TITLE", "This is an Open Access article distributed under the terms of the Creative Commons Attribution License {}, which permits unrestricted use, distribution, and reproduction in any medium, provided the original work is properly cited."),
     ("UNLICENSE", "This is free and unencumbered software released into the public domain."),
     ("APACHE2_MAY", "you may not use this file except in compliance with the License."),
     ("APACHE2_MAY", "you may not use this work except in compliance with the License."),
@@ -137,15 +143,30 @@ NAMES = {
     "CC-BY-ND": "cc by nd|creative commons attribution no ?deriv(?:ative)?s",
     "CC-BY-SA": "cc by sa|creative commons attribution share ?alike",
     "CC-BY": "cc by|creative commons attribution",
+    "OFL-1.1": "sil open font license(?: version)?(?: 1 1)?|sil ofl(?: 1 1)?",
+    "Artistic-2.0": "artistic license(?: version)? 2 0",
+    "WTFPL": "wtfpl|do what the fuck you want to public license(?: version 2)?",
     "CC0-1.0": "cc0(?: 1 0)?(?: universal)?|creative commons zero",
 }
 #: What may stand before and after a name.
-_BEFORE = "(?:(?:this|the|all|our|its) (?:[a-z0-9]+ ){1,4}(?:is|are) )?(?:released|licensed|distributed|available|published|provided|shared) under (?:the |a |an )?(?:terms of the )?"
-_AFTER = "(?: 4 0| 3 0)?(?: international)?(?: licen[sc]e)?(?: the license)?"
+_BEFORE = (
+    "(?:(?:this|the|all|our|its) (?:[a-z0-9]+ ){1,4}(?:is|are) |content is )?(?:released|licensed|distributed|available|published|provided|shared) "
+    "under (?:the |a |an )?(?:terms of the )?(?:a href [a-z0-9 ]{1,200}? )?"
+)
+_AFTER = (
+    "(?: 4 0| 3 0)?(?: international)?(?: licen[sc]e)?(?: the license)?(?: a)?(?: unless otherwise (?:noted|stated|specified))?"
+    "(?: see the licen[sc]e(?: md| txt)?(?: file)? for (?:more )?details)?"
+)
 
 # Licences of which SPDX tags are known; "-only" adds nothing to the name.
 TAGS = "MIT MIT-0 ISC 0BSD Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 Zlib Unlicense WTFPL MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 Artistic-2.0 Python-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0".split()
 
+#: The tags as they are in normalised text, longer ones first.
+_TAG = "|".join(sorted((re.sub("[^a-z0-9]+", " ", t.lower()) for t in TAGS), key=len, reverse=True))
+_WITH = "(?: with [a-z0-9 ]{1,200}? exception(?: [a-z0-9])?(?: [a-z0-9])?)?"
+#: SPDX tags joined by AND and OR, exceptions aside; parentheses are marks like others.
+EXPRESSION = f"spdx license identifier (?:{_TAG}){_WITH}(?: (?:and|or) (?:{_TAG}){_WITH})*"
+
 # Ordered rules, (licence, sequence of identifiers).  X? may be missing; others may not stand between.
 RULES = [
     ("MIT", "RESERVED? MIT_GRANT MIT_NOTICE? MIT_WARRANTY? MIT_LIABILITY?"),
@@ -201,7 +222,7 @@ def table() -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     named = [(f"{_BEFORE}(?:{p}){_AFTER}", f"NAMED_{n}") for n, p in NAMES.items()]
     opened = [(f"{plain(t).replace('{}', slot)}(?: [a-z0-9 ]*)?", i) for i, t in OPENINGS]
     loose = [(plain(t).replace("{}", slot), i) for i, t in SENTENCES if t.startswith("{}")]
-    return sorted(whole, key=lambda x: -len(x[0])), [*slotted, *named, *opened, *loose]
+    return sorted(whole, key=lambda x: -len(x[0])), [*slotted, *named, *opened, *loose, (EXPRESSION, "EXPRESSION")]
 
 
 def rule_pattern(rule: str) -> str:
@@ -211,12 +232,18 @@ def rule_pattern(rule: str) -> str:
 
 
 def identifier(sentence: Column) -> Column:
-    """The identifier of a normalised sentence, or null: whole sentences by hash, the rest by pattern."""
+    """The identifier of a normalised sentence, or null: whole sentences by hash, the rest by pattern.
+
+    A sentence that names several licences has several, written ``A><B``.
+    """
     whole, patterns = table()
     by_hash = F.create_map(*[x for s, i in whole for x in (F.xxhash64(F.lit(s)), F.lit(i))])
     chain = F.when(F.lit(False), F.lit(""))
     for pattern, name in patterns:
         chain = chain.when(sentence.rlike(f"^(?:{pattern})$"), F.lit(name))
+    tags = F.create_map(*[F.lit(x) for t in TAGS for x in (plain(t), f"SPDX_{t}")])
+    listed = F.transform(F.regexp_extract_all(sentence, F.lit(f"\\b({_TAG})\\b"), F.lit(1)), lambda t: tags[t])
+    chain = F.when(chain == "EXPRESSION", F.array_join(listed, "><")).otherwise(chain)
     return F.coalesce(by_hash[F.xxhash64(sentence)], chain)
 
 
@@ -280,6 +307,7 @@ def oracle() -> str:
     whole, patterns = table()
     known = ", ".join(f"('{s}', '{i}', {k})" for k, (s, i) in enumerate(whole))
     case = "CASE " + " ".join(f"WHEN regexp_full_match(s, '{p}') THEN {k}" for k, (p, _) in enumerate(patterns)) + " END"
+    tags = ", ".join(f"'{plain(t)}': 'SPDX_{t}'" for t in TAGS)
     names_of = ", ".join(f"({k}, '{i}')" for k, (_, i) in enumerate(patterns))
     steps, last = [], "seq"
     for k, (_, rule) in enumerate(RULES):
@@ -300,7 +328,8 @@ h AS (SELECT doc_id, p, i, j, regexp_replace(s, '^[0-9a-z] ', '') AS s FROM g),
 known(s, id, k) AS (VALUES {known}),
 pattern(k, id) AS (VALUES {names_of}),
 w AS (SELECT doc_id, p, i, j, id, k FROM h JOIN known USING (s)
-      UNION ALL SELECT doc_id, p, i, j, id, 1000 + k FROM (SELECT doc_id, p, i, j, {case} AS k FROM h) JOIN pattern USING (k)),
+      UNION ALL SELECT doc_id, p, i, j, CASE WHEN id = 'EXPRESSION' THEN array_to_string(list_transform(regexp_extract_all(s, '\b({_TAG})\b'),
+        lambda t: element_at(MAP {{{tags}}}, t)[1]), '><') ELSE id END, 1000 + k FROM (SELECT doc_id, p, i, j, s, {case} AS k FROM h) JOIN pattern USING (k)),
 m AS (SELECT doc_id, p, i, arg_min(j, k * 1000 + j) AS j, arg_min(id, k * 1000 + j) AS id FROM w GROUP BY doc_id, p, i),
 o AS (SELECT doc_id, p, i, id FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS n WHERE n.doc_id = m.doc_id AND n.p = m.p AND n.i < m.i AND n.j >= m.i)),
 q AS (SELECT doc_id, string_agg('<' || id || '>', '' ORDER BY p, i) AS seq FROM o GROUP BY doc_id),
