@@ -569,3 +569,39 @@ def test_config():
     for change in ({"extra": 1}, {"model": {"dropout": 1}}, {"training": {"learning_rate": 0}}, {"task": base["task"] | {"split": {"type": "column"}}}, {"task": base["task"] | {"entity_columns": []}}, {"database": {"path": "a", "url": "b"}}, {"task": base["task"] | {"type": "x"}}, {"task": base["task"] | {"destination_table": "d"}}, {"task": base["task"] | {"split": {"fraction": 2}}}, {"task": base["task"] | {"split": {"queries": {"train": "SELECT 1"}}}}, {"sampling": {"batch_size": 0}}):
         with pytest.raises(ConfigError):
             parse_config(base | change)
+
+
+def test_writers_and_summaries(spark, tmp_path):
+    """A writer of one's own is found by name, and summaries are kept as text with a header."""
+    kept = {}
+    catalog.register_writer("Memory", lambda dataset, path, **how: kept.setdefault(path, dataset) and path)
+    data = catalog.Dataset(Database({"t": spark.range(3)}, Keys({"t": ("id",)})))
+    assert catalog.writer("memory")(data, "there") == "there" and kept["there"] is data
+    assert catalog.writer("parquet") is catalog.write_dataset
+    with pytest.raises(ValueError):
+        catalog.writer("nothing")
+    artifacts.write_csv(spark.createDataFrame([("a", 1.5), ("b,c", None)], "name string, x double"), str(tmp_path / "s"))
+    assert sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / "s")).collect()), key=str) == [("a", "1.5"), ("b,c", None)]
+
+
+def test_processors_of_ones_own(spark):
+    class Length(processors.Processor):
+        name, semantic_type, learns = "length", "categorical", False
+
+        def learn(self, found):
+            return self
+
+        @property
+        def output(self):
+            return f"{self.column}_length"
+
+        def output_spec(self):
+            return {self.output: "int"}
+
+        def transform(self, rows):
+            return rows.withColumn(self.output, F.length(self.column))
+
+    processors.register_processor("length", Length)
+    plan = processors.fit_all(spark.range(2), processors.plan({"s": "categorical"}, {"s": ("length", {})}))
+    df = spark.createDataFrame([(0, "ab"), (1, None)], "k long, s string")
+    assert sorted(map(tuple, processors.transform_all(df, "k", plan).collect()), key=str) == [(0, 2), (1, None)]

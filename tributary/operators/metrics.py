@@ -67,16 +67,6 @@ def draw(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(k)
 
 
-def binary_loss(prediction: Column, target: Column) -> Column:
-    """Cross-entropy of a logit."""
-    return F.greatest(prediction, F.lit(0.0)) - prediction * target + F.log1p(F.exp(-F.abs(prediction)))
-
-
-def link_loss(positive: Column, negative: Column) -> Column:
-    x = negative - positive
-    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
-
-
 def pages(df: DataFrame, key: str, anchors: list[int], size: int) -> DataFrame:
     """The first ``size`` rows from each anchor on, by key, repeats left out."""
     parts = [df.filter(F.col(key) >= a).orderBy(key).limit(size) for a in anchors]
