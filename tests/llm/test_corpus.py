@@ -459,6 +459,30 @@ def test_copies_in_a_crowd_are_found(spark, n, share):
     assert sizes[2] >= 0.99 * (n // 2) and sizes[1] + 2 * sizes[2] == len(rows)
 
 
+def test_copies_of_common_parts_in_a_crowd_are_found(spark):
+    """Texts put together from common parts: what copies share, hundreds share, and no centre is near them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    between, parts = [word() for _ in range(5)], [[word() for _ in range(20)] for _ in range(16)]
+    rows = []
+    for i in range(260):
+        of = sorted(rng.sample(range(16), 10))
+        rows.append((i, " ".join(x for p in of for x in parts[p] + between)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    weights = spark.sparkContext.broadcast(minhash.shingle_weights(docs))
+    want = classes_by_hand([t for _, t in rows], weights.value)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.class_report(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == want and 20 < len(set(want)) < len(rows)
+
+    # the pairs themselves, in blocks: none of the pairs that reach the threshold is missing, and few others are there
+    texts = docs.select(F.col("doc_id").alias("v"), "text")
+    crowd = texts.select(F.lit(0).alias("key"), "v", F.col("v").alias("label"))
+    pairs = {(r["a"], r["b"]) for r in minhash.prefix_pairs(crowd, texts, weights, 0.8, block=7).collect()}
+    all_ = texts.select(F.col("v").alias("a")).join(texts.select(F.col("v").alias("b")), F.col("a") < F.col("b"))
+    alike = {(r["a"], r["b"]) for r in minhash.verified(all_, texts, weights, 0.8).collect()}
+    assert alike and alike <= pairs
+
+
 def test_samples_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 44, 300, dtype=np.uint64)

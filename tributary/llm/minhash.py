@@ -21,14 +21,12 @@ similarity.  Documents that agree in all samples of a band meet in a group.
   document with the partner it meets most often; then, after links are joined into
   components, all pairs that still stand between two components.
 * A large group that still holds several components (filled-in forms, texts about one
-  long passage) may hide copies in the crowd.  Its documents go on to a prefix-filter
-  join: two sets of similarity t share a shingle among the rarest that make up more
-  than 1 - t of either's weight.  Each document gives its rarest shingles of those few
-  documents hold (``RARE`` at most); all pairs of a shingle that lie in two components
-  are verified.  Copies within a crowd share what sets them apart from it, which is
-  rare, so none is lost to the size of the crowd.  What is left are pairs that share
-  nothing but the crowd's common text: those meet through its centres, and through the
-  document with the least text that no other has, which others were copied from.
+  long passage) may hide copies in the crowd.  Its documents go on to an exact join: with
+  shingles ordered from rare to frequent, two sets of similarity t share one among those
+  that make up 1 - t or less of either's weight, and at the first they share, the weight
+  from there on bounds what the two have in common.  All pairs within that bound that
+  lie in two components are candidates, whatever the size of a shingle's group, and are
+  verified as above.  So no two documents of a group are left apart that should be linked.
 
 Equal texts are folded beforehand.
 
@@ -45,7 +43,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,8 +61,10 @@ HEAVY, PLACES = 1 << 14, 1 << 18
 DAMPED = 0.75
 #: Groups up to this size compare all their pairs; larger ones draw this many centres in each band.
 SMALL, CENTRES = 8, 1
-#: Most documents of a shingle that counts as rare.
-RARE = 64
+#: Members of a shingle's group that one task pairs with the whole group.
+BLOCK = 4096
+#: Room for rounding in bounds by weight.
+SLACK = 1 + 1e-6
 #: Bits of a shingle's hash.
 _HASH_BITS = 44
 
@@ -295,9 +295,14 @@ def crowded(large: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(open_, "key", "left_semi")
 
 
-def prefix_pairs(crowd: DataFrame, texts: DataFrame, weights, threshold: float, rare: int = RARE) -> DataFrame:
-    """Pairs (a, b) of ``crowd`` (key, v, label) in two components: those that share one of their
-    rarest shingles, and each member with the document of its group that has least of its own."""
+def prefix_pairs(crowd: DataFrame, texts: DataFrame, weights, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, times): all pairs of ``crowd`` (key, v, label) in two components that may reach the threshold,
+    and how many shingles of both their prefixes they share.
+
+    A prefix is a document's rarest shingles, as long as those before weigh 1 - ``threshold`` of it or less.
+    Where two documents share their first shingle, they have in common at most what either weighs from
+    there on, so ``most`` is the weight up to which a partner's can be.  Large groups are dealt in blocks.
+    """
     docs = crowd.select("v", "label").distinct()
 
     def run(batches):
@@ -311,26 +316,41 @@ def prefix_pairs(crowd: DataFrame, texts: DataFrame, weights, threshold: float,
     sets = map_arrow(texts.join(docs.select("v"), "v", "left_semi"), run, "v long, s long, w double, total double")
     sets = materialize(sets, "near-sets")
     held = sets.groupBy("s").agg(F.count("*").alias("df"))
-    shared = sets.join(held.filter(F.col("df").between(2, rare)), "s")
-    once = sets.join(held.filter("df = 1"), "s", "left_semi").groupBy("v").agg(F.sum("w").alias("alone"))
-    # a document's rare shingles, at most its own length of them, the rarest first, as long as those before weigh 1 - threshold or less
-    lists = shared.groupBy("v").agg(F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("df", "s", "w"))).alias("e")).join(once, "v", "left")
-    before = F.coalesce("alone", F.lit(0.0))
-    start = F.struct(before.alias("sum"), F.array().cast("array<bigint>").alias("keep"))
-    room = F.col("total") * (1 - threshold) * (1 + 1e-6)
-    taken = F.aggregate("e", start, lambda acc, x: F.struct((acc["sum"] + x["w"]).alias("sum"), F.when(acc["sum"] <= room, F.array_append(acc["keep"], x["s"])).otherwise(acc["keep"]).alias("keep")))
-    keys = lists.select("v", F.explode(taken["keep"]).alias("s")).join(docs, "v")
-    group = keys.groupBy("s").agg(F.collect_list(F.struct("v", "label")).alias("e"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
-    pairs = group.select(F.explode("e").alias("p"), "e").select("p", F.explode("e").alias("q")).filter("p.v < q.v AND p.label <> q.label")
-    pairs = pairs.select(F.col("p.v").alias("a"), F.col("q.v").alias("b"))
-    own = crowd.join(once, "v", "left").withColumn("alone", F.coalesce("alone", F.lit(0.0)))
-    centre = own.groupBy("key").agg(F.min(F.struct("alone", "v", "label")).alias("c"))
-    star = crowd.join(centre, "key").filter("label <> c.label").select(F.least("v", "c.v").alias("a"), F.greatest("v", "c.v").alias("b"))
-    out = materialize(pairs.union(star).distinct(), "near-prefix")
+    before = F.sum("w").over(Window.partitionBy("v").orderBy("df", "s")) - F.col("w")
+    ranked = sets.join(held, "s").withColumn("before", before)
+    ranked = ranked.filter((F.col("df") > 1) & (F.col("before") <= F.col("total") * (1 - threshold) * SLACK))
+    most = ((F.col("total") - F.col("before")) * (1 + threshold) / threshold - F.col("total")) * SLACK
+    keys = materialize(ranked.select("v", "s", "total", most.alias("most")).join(docs, "v"), "near-prefixes")
     release(crowd.sparkSession, sets)
+
+    group = keys.groupBy("s").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
+    keys_ = keys.join(group.select("s", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "s")
+    # the lighter of two has the shingle among fewer: its partner weighs as much as itself at least
+    light = keys_.filter("most >= total").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).alias("p")
+    heavy = keys_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("q")
+    near = F.expr("p.s = q.s AND p.block = q.block AND p.label <> q.label AND p.most >= q.total AND q.most >= p.total AND (p.total < q.total OR p.total = q.total AND p.v < q.v)")
+    pairs = light.join(heavy, near).select(F.least("p.v", "q.v").alias("a"), F.greatest("p.v", "q.v").alias("b"))
+    out = materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("times")), "near-prefix")
+    release(crowd.sparkSession, keys)
     return out
 
 
+def linked(pairs: DataFrame, texts: DataFrame, weights, threshold: float, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) among ``pairs`` (a, b, times): first each document's with the partner it meets most often,
+    then, once those and the ``known`` links are joined, of all pairs that still lie in two components."""
+    best = F.max(F.struct(F.col("times").alias("times"), (-F.col("a")).alias("minus")))
+    first = pairs.groupBy("b").agg(best.alias("m")).select((-F.col("m.minus")).alias("a"), "b")
+    one = verified(first, texts, weights, threshold)
+    labels = connected_components(one if known is None else known.union(one))
+    at = {side: labels.select(F.col("v").alias(side), F.col("label").alias(f"of_{side}")) for side in ("a", "b")}
+    open_ = pairs.join(at["a"], "a", "left").join(at["b"], "b", "left")
+    open_ = open_.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    open_ = materialize(open_, "near-open")
+    two = verified(open_, texts, weights, threshold)
+    release(pairs.sparkSession, labels, open_, pairs)
+    return one, two
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, t1, t2, class_id, class_t1, class_t2, links) of every row with a text; class_* name the class's first document, links counts the texts found alike."""
     spark = docs.sparkSession
@@ -352,24 +372,16 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = materialize(named.join(part.hint("shuffle_hash"), same).select("v", "text").dropDuplicates(["v"]), "near-texts")
     release(spark, part)
 
-    best = F.max(F.struct(F.col("times").alias("times"), (-F.col("a")).alias("minus")))
-    first = pairs.groupBy("b").agg(best.alias("m")).select((-F.col("m.minus")).alias("a"), "b")
-    one = verified(first, texts, weights, threshold)
-    labels = connected_components(one)
-    at = {side: labels.select(F.col("v").alias(side), F.col("label").alias(f"of_{side}")) for side in ("a", "b")}
-    open_ = pairs.join(at["a"], "a", "left").join(at["b"], "b", "left")
-    open_ = open_.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    open_ = materialize(open_, "near-open")
-    two = verified(open_, texts, weights, threshold)
-    release(spark, labels, open_, pairs)
-
-    labels = connected_components(one.union(two))
+    one, two = linked(pairs, texts, weights, threshold)
+    found = one.union(two)
+    labels = connected_components(found)
     crowd = materialize(crowded(large, labels), "near-crowd")
     release(spark, labels, large)
     hidden = prefix_pairs(crowd, texts, weights, threshold)
-    three = verified(hidden, texts, weights, threshold)
-    release(spark, texts, crowd, hidden)
-    links = one.union(two).union(three)
+    release(spark, crowd)
+    three, four = linked(hidden, texts, weights, threshold, found)
+    release(spark, texts)
+    links = found.union(three).union(four)
     labels = connected_components(links)
 
     tops = labels.join(nodes.select(F.col("v").alias("label"), F.col("rep").alias("class_id"), F.col("t1").alias("class_t1"), F.col("t2").alias("class_t2")), "label").drop("label")
@@ -377,7 +389,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     named = nodes.select("v", *order).join(tops.join(count, "v"), "v", "left")
     names = [F.when(F.col("class_t1").isNull(), F.col(own)).otherwise(F.col(c)).alias(c) for own, c in (("rep", "class_id"), ("t1", "class_t1"), ("t2", "class_t2"))]
     named = materialize(named.select("t1", "t2", *names, F.coalesce("links", F.lit(0)).cast("long").alias("links")), "near-classes")
-    release(spark, labels, nodes, one, two, three)
+    release(spark, labels, nodes, one, two, three, four)
     return all_rows.select("id", "t1", "t2").join(named, ["t1", "t2"]).select("id", "t1", "t2", "class_id", "class_t1", "class_t2", "links")
 
 
