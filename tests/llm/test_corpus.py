@@ -149,6 +149,19 @@ def test_lines_equal_brute_force(spark):
     assert {r["id"]: set(r["gone"]) for r in got} == lines_by_hand(rows)
 
 
+def test_scripts_without_blanks_are_told_apart(spark):
+    """Letters of every script, at and about the first of those without blanks: each stands alone there, and nowhere else."""
+    import unicodedata
+
+    scripts = ("CJK UNIFIED", "HIRAGANA LETTER", "KATAKANA LETTER", "THAI CHARACTER", "LAO LETTER", "KHMER LETTER", "MYANMAR LETTER")
+    points = [c for c in range(0xA0, 0x3400) if unicodedata.category(chr(c)) in ("Lo", "Ll")]
+    rows = [(c, f"é{chr(c)}{chr(c)}é") for c in points]
+    got = spark.createDataFrame(rows, "c int, norm string").select("c", linededup.spaced(F.col("norm")).alias("s")).collect()
+    apart = {r["c"] for r in got if " " in r["s"]}
+    assert {c for c in points if unicodedata.name(chr(c)).startswith(scripts)} <= apart and min(apart) == 0xE01
+    assert all(r["s"] == f"é {chr(r['c'])} {chr(r['c'])} é" for r in got if r["c"] in apart)
+
+
 def test_line_edges(spark, odd, none):
     got = linededup.dedup_lines(odd)
     assert got.columns == odd.columns

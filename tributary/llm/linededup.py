@@ -47,8 +47,8 @@ def spaced(norm: Column) -> Column:
     scripts = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
     def apart(x: Column) -> Column:
-        # such a character has three bytes, so most lines are told apart without a pattern
-        wide = F.octet_length(x) - F.char_length(x) >= 2
+        # such a character has three bytes and none stands below U+0E00, so most lines are told apart without looking up scripts
+        wide = (F.octet_length(x) - F.char_length(x) >= 2) & x.rlike(r"[^\x{0}-\x{DFF}]")
         return F.when(wide, F.trim(F.regexp_replace(F.regexp_replace(x, scripts, " $1 "), " +", " "))).otherwise(x)
 
     # by way of an array, so that the line is normalised once
