@@ -537,6 +537,13 @@ def test_bags_equal_joined_vectors(spark, monkeypatch):
     assert bags.keys() == joined.keys() and all(bags[k] == pytest.approx(joined[k], abs=1e-6) for k in bags)
 
 
+def test_words_are_folded_in_their_text(spark):
+    """No aggregation by text and word stands between the texts and their vectors."""
+    df = spark.createDataFrame([(0, "b a b, B c"), (1, None), (2, "!"), (3, "a")], "k int, s string")
+    counts = df.select("k", F.inline(text._word_counts("s"))).collect()
+    assert sorted(map(tuple, counts)) == [(0, "a", 1), (0, "b", 3), (0, "c", 1), (3, "a", 1)]
+
+
 def test_weighted_bags(spark):
     matrix = np.array([[1, 0], [0, 1], [4, 4]], np.float32)
     df = spark.createDataFrame([(0, [0, 1], [1.0, 3.0]), (1, [2, -1], [2.0, 9.0]), (2, [], []), (3, None, None), (4, [0, 1], [1.0, -1.0])], "k long, ids array<int>, w array<double>")

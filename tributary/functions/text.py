@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,11 +65,11 @@ def pool_vectors(df: DataFrame, column: str, vectors: DataFrame, *, word: str =
     count, and a text without known words has zeros.  Equal texts are pooled once.
 
     Words meet their vectors in a join, so the table may be of any size; sums are kept by
-    text and dimension, so no text's vectors are gathered.
+    text and dimension, so no text's vectors are gathered.  Repeated words are folded
+    within their text, so no task holds the words of many texts.
     """
     distinct = text_cache_misses(df, column, None)
-    words = distinct.select("text_sha256", F.explode(F.expr(WORDS.format("text"))).alias("__w"))
-    times = words.groupBy("text_sha256", "__w").agg(F.count("*").alias("__n"))
+    times = distinct.select("text_sha256", F.inline(_word_counts("text")))
     met = times.join(vectors.select(F.col(word).alias("__w"), F.col(vector).alias("__v")), "__w")
     parts = met.select("text_sha256", "__n", F.posexplode("__v").alias("__i", "__x")).groupBy("text_sha256", "__i").agg((F.sum(F.col("__n") * F.col("__x")) / F.sum("__n")).alias("__x"))
     pooled = parts.groupBy("text_sha256").agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__x"))), lambda e: e["__x"].cast("float")).alias(name))
@@ -78,6 +78,18 @@ def pool_vectors(df: DataFrame, column: str, vectors: DataFrame, *, word: str =
     return own.withColumn(name, F.coalesce(name, zeros)).drop("text_sha256")
 
 
+def _word_counts(column: str) -> Column:
+    """Array of (__w, __n): the distinct words of a text and how often it has them."""
+
+    def folded(words: Column) -> Column:
+        last = F.size(words) - 1
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(words, i) != F.get(words, i + 1)))
+        return F.get(F.transform(F.array(ends), lambda e: F.transform(e, lambda i, k: F.struct(F.get(words, i).alias("__w"), (i - F.coalesce(F.get(e, k - 1), F.lit(-1))).cast("bigint").alias("__n")))), F.lit(0))
+
+    words = F.array_sort(F.expr(WORDS.format(column)))
+    return F.get(F.transform(F.filter(F.array(words), lambda a: F.size(a) > 0), folded), F.lit(0))
+
+
 def bag_mean(ids: np.ndarray, offsets: np.ndarray, matrix: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     """Weighted means of rows of ``matrix``: bag i has the rows ``ids[offsets[i]:offsets[i + 1]]``; negative ids don't count.
 
