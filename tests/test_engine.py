@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -537,6 +538,12 @@ def test_bags_equal_joined_vectors(spark, monkeypatch):
     assert bags.keys() == joined.keys() and all(bags[k] == pytest.approx(joined[k], abs=1e-6) for k in bags)
 
 
+def test_batches_of_words_are_bounded(spark):
+    df = spark.createDataFrame([("a b " * 500,)], "s string")
+    text.bag_words(df, "s", pa.array(["a"]), np.ones((1, 1), np.float32), "v")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= text.BATCH_BYTES
+
+
 def test_words_are_folded_in_their_text(spark):
     """No aggregation by text and word stands between the texts and their vectors."""
     df = spark.createDataFrame([(0, "b a b, B c"), (1, None), (2, "!"), (3, "a")], "k int, s string")

@@ -150,6 +150,8 @@ def _lists(matrix: np.ndarray) -> pa.ListArray:
 
 #: Words of a text, for tables of word vectors.
 WORDS = r"regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+', 0)"
+#: Bound on the words that reach Python at once.
+BATCH_BYTES = 4 << 20
 #: Tables of vectors up to this size are broadcast, larger ones joined.
 BROADCAST_BYTES = 64 << 20
 
@@ -207,6 +209,12 @@ def bag_words(df: DataFrame, column: str, known: pa.Array, matrix: np.ndarray, n
             ids = pc.index_in(lists.flatten(), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bag_mean(ids, np.concatenate(([0], np.cumsum(sizes))), rows))], names=["text_sha256", name])
 
+    # the lists hold whole texts, so bytes bound a batch; Spark reads the bound when the plan runs
+    conf = df.sparkSession.conf
+    size = int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b"))
+    if size <= 0 or size > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
     vectors = distinct.mapInArrow(run, f"text_sha256 string, `{name}` array<float>")
     return df.withColumn("text_sha256", F.sha2(text_value(column), 256)).join(vectors, "text_sha256").drop("text_sha256")
 
