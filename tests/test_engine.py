@@ -538,6 +538,20 @@ def test_bags_equal_joined_vectors(spark, monkeypatch):
     assert bags.keys() == joined.keys() and all(bags[k] == pytest.approx(joined[k], abs=1e-6) for k in bags)
 
 
+def test_edges_are_joined_in_small_tasks(spark, sf):
+    """However large the tables, a task's share is bounded; a tighter bound of the user's own stays."""
+    from tributary import session
+    from tributary.plans.graph_queries import fk_edges_reverse
+
+    size, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    for own, want in (("64m", f"{session.TASK_BYTES}b"), ("1m", "1m")):
+        spark.conf.set(size, own)
+        spark.conf.unset(parts)
+        fk_edges_reverse(spark, sf)
+        assert spark.conf.get(size) == want and int(spark.conf.get(parts)) == session.MOST_TASKS
+    spark.conf.unset(size)
+
+
 def test_batches_of_words_are_bounded(spark):
     df = spark.createDataFrame([("a b " * 500,)], "s string")
     text.bag_words(df, "s", pa.array(["a"]), np.ones((1, 1), np.float32), "v")

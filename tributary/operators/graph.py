@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tributary.functions.scalars import instant, seconds
 from tributary.operators.keys import before_cutoff, require_dense, resolve_dangling
 from tributary.schema import Database, Link
+from tributary.session import small_tasks
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -48,6 +49,7 @@ def nodes(db: Database, *, cutoff=None, strict: bool = False, at_seconds: bool =
 def key_edges(db: Database, link: Link, *, cutoff=None, reverse: bool = False, on_dangling: str = "drop", at_seconds: bool = True) -> DataFrame:
     """Edges of one link, in one direction.  Rows with a null in the key give none; a key that is no node id is looked up."""
     child, parent, own_id = link.child, link.parent, db.id_of(link.child)
+    small_tasks(db[child].sparkSession)
     rows = before_cutoff(db[child], db.times.get(child), cutoff).dropna(subset=list(link.columns))
     others = before_cutoff(db[parent], db.times.get(parent), cutoff)
     direct = link.key == (db.id_of(parent),)

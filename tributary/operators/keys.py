@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions.scalars import instant
 from tributary.schema import Database
-from tributary.session import cut
+from tributary.session import cut, small_tasks
 
 NODE_ID = "__node_id__"
 
@@ -26,6 +26,7 @@ def assign_dense_ids(df: DataFrame, order: list[str] | None = None, name: str =
     if name in df.columns:
         raise KeyCheckError(f"{name} is reserved")
     order = order or df.columns
+    small_tasks(df.sparkSession)
     place = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = cut(ranged.withColumns({"__part": F.spark_partition_id(), "__at": place.bitwiseAND(F.lit((1 << 33) - 1))}))

@@ -37,6 +37,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a shuffle that one task reads, about, and the partitions they are put together from (up to 200, Spark writes without sorting).
+TASK_BYTES, MOST_TASKS = 8 << 20, 200
+
+
+def small_tasks(spark: SparkSession) -> None:
+    """Let joins and sorts of narrow rows be many tasks' work, so that the memory of one does not grow with the tables.
+
+    Columns of ids shrink to a few bytes a row in a shuffle, so the default size of a task's
+    share is millions of rows.  Spark reads the sizes when the plan runs, so they are
+    session settings; a tighter bound of the user's own stays.
+    """
+    size, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > TASK_BYTES:
+        spark.conf.set(size, f"{TASK_BYTES}b")
+    if int(spark.conf.get(parts, None) or spark.conf.get("spark.sql.shuffle.partitions")) < MOST_TASKS:
+        spark.conf.set(parts, str(MOST_TASKS))
+
+
 def together[T, R](fn: Callable[[T], R], items: Iterable[T], most: int = 8) -> list[R]:
     """``fn`` of each item, in order.  Their Spark jobs run side by side, so small tables don't wait for one another's tails."""
     with ThreadPoolExecutor(most) as pool:
