@@ -552,6 +552,35 @@ def test_edges_are_joined_in_small_tasks(spark, sf):
     spark.conf.unset(size)
 
 
+def test_keys_are_looked_up_in_small_tasks(spark, monkeypatch):
+    """Joins of rows with their parents are as many tasks as the bytes ask for, not as few as the session has shuffle partitions."""
+    from tributary import session
+
+    size, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b"}
+    monkeypatch.setattr(session, "TASK_BYTES", 4096)
+    rows = spark.range(40_000).selectExpr("id", "id % 30000 AS fk")
+    parents = spark.range(20_000).withColumnRenamed("id", "key")
+    looked_up = {
+        "drop": (lambda: keys.resolve_dangling(rows, "fk", parents, "key"), 30_000),
+        "null": (lambda: keys.resolve_dangling(rows, "fk", parents, "key", "null"), 40_000),
+        "orphans": (lambda: keys.orphans(rows, ["fk"], parents, ["key"]), 10_000),
+        "composite": (lambda: graph.composite_edges(rows, "id", ["fk"], parents, "key", ["key"]), 30_000),
+    }
+    try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
+        for name, (look_up, n) in looked_up.items():
+            spark.conf.unset(size)
+            spark.conf.unset(parts)
+            found = look_up().cache()
+            assert found.count() == n and found.rdd.getNumPartitions() > 8, name
+            found.unpersist()
+    finally:
+        for key in (size, parts, *own):
+            spark.conf.unset(key)
+
+
 def test_batches_of_words_are_bounded(spark):
     df = spark.createDataFrame([("a b " * 500,)], "s string")
     text.bag_words(df, "s", pa.array(["a"]), np.ones((1, 1), np.float32), "v")

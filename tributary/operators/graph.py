@@ -74,6 +74,7 @@ def edges(db: Database, *, cutoff=None, directions: tuple[bool, ...] = (False, T
 
 def composite_edges(child: DataFrame, child_id: str, columns: list[str], parent: DataFrame, parent_id: str, key: list[str]) -> DataFrame:
     """(src_id, dst_id) by a key of several columns; a null part gives no edge."""
+    small_tasks(child.sparkSession)
     own = child.select(F.col(child_id).alias("src_id"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)])
     other = parent.select(F.col(parent_id).alias("dst_id"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)])
     same = reduce(lambda a, b: a & b, [own[f"__c{i}"] == other[f"__k{i}"] for i in range(len(columns))])

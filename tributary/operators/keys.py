@@ -94,6 +94,7 @@ def null_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 def orphans(child: DataFrame, columns: list[str], parent: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``child`` whose key is set and not in ``parent``."""
+    small_tasks(child.sparkSession)
     known = parent.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(key)])
     same, given = F.lit(True), F.lit(True)
     for i, c in enumerate(columns):
@@ -104,6 +105,7 @@ def orphans(child: DataFrame, columns: list[str], parent: DataFrame, key: list[s
 
 def resolve_dangling(child: DataFrame, column: str, parent: DataFrame, key: str, on_dangling: str = "drop") -> DataFrame:
     """Rows with a key that has no parent: dropped, kept with a null key, or an error.  Null keys stay as they are for ``null``."""
+    small_tasks(child.sparkSession)
     if on_dangling == "error":
         if bad := orphans(child, [column], parent, [key]).limit(1).count():
             raise KeyCheckError(f"{column}: {bad} or more rows without a parent")
